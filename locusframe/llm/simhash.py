@@ -311,7 +311,7 @@ def _jaccard(batches):
         for i, (x, y) in enumerate(zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)):
             p, q = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
             both = len(np.intersect1d(p, q, assume_unique=True))
-            out[i] = both / (len(p) + len(q) - both)
+            out[i] = both / max(1, len(p) + len(q) - both)  # texts without words are grouped elsewhere
         yield pa.RecordBatch.from_arrays([b.column("src"), b.column("dst"), pa.array(out)], names=["src", "dst", "similarity"])
 
 
@@ -367,4 +367,5 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.
     kept = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_name")), "left_anti")
     if keyed.where("_n > 1").isEmpty():
         return kept
-    return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    own = "_" + max(docs.columns, key=len)
+    return kept.withColumn(own, F.xxhash64("text")).dropDuplicates(["doc_id", own]).drop(own)
