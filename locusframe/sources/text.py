@@ -24,14 +24,15 @@ def _fields(n: int | None = None) -> Column:
 def read_geno(spark: SparkSession, path: str, header: list[str] | None = None, scaf_col: int = 0, pos_col: int = 1, first_sample: int = 2) -> DataFrame:
     """scaffold, position, samples (array of sample, gt) of a genotype table.
 
-    The first line names the columns unless ``header`` does; other lines that open with #
-    are comments; a column number of -1 means there is none. gz files are read as they are.
+    The first line that opens with # (or the first line) names the columns unless
+    ``header`` does; other lines that open with # are comments; a column number of -1 means there is none. gz files are read as they are.
     """
     text = _lines(spark, path)
-    names = header or re.split(r"\s+", text.first()["value"].strip())
+    first = None if header else (text.where(F.startswith("value", F.lit("#"))).first() or text.first())["value"]
+    names = header or re.split(r"\s+", first.strip())
     body = text.where(~F.startswith("value", F.lit("#")) & (F.trim("value") != "")).withColumn("f", _fields())
     if header is None and not names[0].startswith("#"):
-        body = body.where(F.col("value") != text.first()["value"])
+        body = body.where(F.col("value") != first)
     samples = F.array(*[F.struct(F.lit(s).alias("sample"), F.get("f", F.lit(first_sample + i)).alias("gt")) for i, s in enumerate(names[first_sample:])])
     scaf = F.get("f", F.lit(scaf_col)) if scaf_col >= 0 else F.lit(None).cast("string")
     pos = F.get("f", F.lit(pos_col)).cast("long") if pos_col >= 0 else F.lit(None).cast("long")
@@ -149,7 +150,7 @@ def read_phylip(spark: SparkSession, path: str) -> DataFrame:
             for t in b["value"]:
                 yield pd.DataFrame(parse_phylip(t), columns=["alignment", "name", "seq"])
 
-    return spark.read.option("wholetext", True).text(path).mapInPandas(parse, "alignment long, name string, seq string")
+    return spark.read.text(path, wholetext=True).mapInPandas(parse, "alignment long, name string, seq string")
 
 
 def read_genes(spark: SparkSession, path: str, fmt: str = "gff") -> DataFrame:
