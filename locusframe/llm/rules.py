@@ -84,22 +84,28 @@ def ledger(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id
     empty table gives an empty ledger; other columns of ``docs`` are not read.
     """
     d = docs.select(*[F.col(k) for k in keys], F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    d = d.select(*keys, "_text", F.array_remove(F.split("_text", r"[\x20\x09-\x0D]+"), "").alias("_words"))
-    lines = F.filter(F.split(F.col("_text"), "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
+    # a generated row is computed once: a filter on a verdict is not pushed below it, where
+    # every use of a measurement would be evaluated anew
+    once = lambda **cols: F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()])))
     d = d.select(
         *keys,
-        F.size("_words").cast("long").alias("n_words"),
-        F.length(F.translate("_text", BLANKS, "")).cast("long").alias("word_chars"),
-        (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        lines.alias("_lines"),
-        _repeated(F.col("_words"), window).alias("n_repeat_words"),
+        "_text",
+        once(
+            _words=F.array_remove(F.split("_text", r"[\x20\x09-\x0D]+"), ""),
+            _lines=F.filter(F.split(F.col("_text"), "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0),
+        ),
     )
     d = d.select(
-        *keys, "n_words", "word_chars", "n_symbols",
-        F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        "n_repeat_words",
-    )
+        *keys,
+        once(
+            n_words=F.size("_words").cast("long"),
+            word_chars=F.length(F.translate("_text", BLANKS, "")).cast("long"),
+            n_symbols=(F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long"),
+            n_lines=F.size("_lines").cast("long"),
+            n_dup_lines=(F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+            n_repeat_words=_repeated(F.col("_words"), window),
+        ),
+    )
     bits = [F.when(F.expr(r.fails), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long") for r in rules]
     failures = bits[0]
     for b in bits[1:]:
