@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
+CHUNK = 1 << 20  # bytes of texts that kernels take at once
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -66,3 +69,24 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if now == state:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         state = now
+
+
+def string_bytes(column: pa.Array):
+    """The bytes of a string column's chunk and where each text starts and ends."""
+    if column.null_count:
+        column = column.fill_null("")
+    if not pa.types.is_large_string(column.type):
+        column = column.cast(pa.large_string())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    buf = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    return buf[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def portions(offsets: np.ndarray):
+    """Ranges of texts of about CHUNK bytes; a longer text is a range of its own."""
+    i, n = 0, len(offsets) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, "right")) - 1)
+        yield i, min(j, n)
+        i = min(j, n)

@@ -20,10 +20,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLANK_BYTES = b" \t\n\x0b\f\r"
+from locusframe.llm.common import portions, string_bytes
+
+_IS_BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\f\r"))
 
 
 def _digest16(data: bytes) -> bytes:
@@ -47,43 +50,69 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _runs(text: str, min_words: int):
-    """Per shortest counting run of a text: (name, first line, number of lines)."""
-    lines = text.encode("utf-8", "surrogatepass").split(b"\n")
-    words = np.fromiter((len(x.split()) for x in lines), np.int64, len(lines))
-    # bytes.split() splits at exactly the six blanks
-    at = np.flatnonzero(words)
-    n = len(at)
-    if not n or words.sum() < min_words:
-        return None
-    names = [np.frombuffer(b"".join(_digest16(lines[i]) for i in at), np.uint64).reshape(-1, 2)]
-    total = np.concatenate([[0], np.cumsum(words[at])])
-    # shortest run from each start, and to each end
-    end = np.searchsorted(total, total[:-1] + min_words)
-    start = np.searchsorted(total, total[1:] - min_words, "right") - 1
-    ok = end <= n
-    back = total[1:] >= min_words
-    runs = np.concatenate([np.stack([np.arange(n)[ok], end[ok]], 1), np.stack([start[back], np.arange(1, n + 1)[back]], 1)])
-    runs = np.unique(runs, axis=0)
-    size = runs[:, 1] - runs[:, 0]
+def _lines(buf: np.ndarray, offsets: np.ndarray):
+    """(document, number, start, end, words) of the lines that hold a word, in order."""
+    n_docs = len(offsets) - 1
+    nl = np.flatnonzero(buf == 10)
+    doc = np.searchsorted(offsets, nl, "right") - 1
+    per = np.bincount(doc, minlength=n_docs)
+    base = np.cumsum(per + 1) - (per + 1)
+    start = np.empty(len(nl) + n_docs, np.int64)
+    end = np.empty_like(start)
+    at = np.arange(len(nl)) + doc
+    start[base], end[base + per] = offsets[:-1], offsets[1:]
+    start[at + 1], end[at] = nl + 1, nl
+    word = ~_IS_BLANK[buf]
+    opens = word.copy()
+    opens[1:] &= ~word[:-1]
+    edge = offsets[:-1][offsets[:-1] < len(buf)]
+    opens[edge] = word[edge]
+    count = np.concatenate([[0], np.cumsum(opens)])
+    words = count[end] - count[start]
+    own = np.repeat(np.arange(n_docs), per + 1)
+    m = words > 0
+    return own[m], (np.arange(len(start)) - base[own])[m], start[m], end[m], words[m]
+
+
+def runs_of(buf: np.ndarray, offsets: np.ndarray, min_words: int):
+    """(document, name, first line, end line) of the shortest counting runs of some texts.
+
+    ``buf`` holds the texts' bytes, ``offsets`` where they start and end.
+    """
+    own, number, start, end, words = _lines(buf, offsets)
+    n = len(own)
+    if not n:
+        return own, np.empty((0, 2), np.uint64), number, number
+    data = buf.tobytes()
+    digests = b"".join([_digest16(data[a:z]) for a, z in zip(start.tolist(), end.tolist(), strict=True)])
+    names = [np.frombuffer(digests, np.uint64).reshape(-1, 2)]
+    total = np.concatenate([[0], np.cumsum(words)])
+    head = np.searchsorted(own, own, "left")
+    tail = np.searchsorted(own, own, "right")
+    # shortest run from each line, and to each line where that is another one
+    i = np.arange(n)
+    stop = np.searchsorted(total, total[:-1] + min_words)
+    forward = stop <= tail
+    begin = np.searchsorted(total, total[1:] - min_words, "right") - 1
+    backward = (begin >= head) & (total[1:] >= min_words)
+    s = np.maximum(begin, 0)
+    backward &= ~(forward[s] & (stop[s] == i + 1))
+    first = np.concatenate([i[forward], begin[backward]])
+    last = np.concatenate([stop[forward], i[backward] + 1])
+    size = last - first
     level = np.zeros(len(size), np.int64)
-    while True:
-        k = len(names)
-        more = size >= 1 << k
-        if not more.any():
-            break
-        level[more] = k
-        half = 1 << (k - 1)
-        below = names[-1]
-        names.append(_pair(below[: len(below) - half], below[half:]))
+    while (more := size >= 1 << len(names)).any():
+        level[more] = len(names)
+        half = 1 << (len(names) - 1)
+        names.append(_pair(names[-1][:-half], names[-1][half:]))
     out = np.empty((len(size), 2), np.uint64)
-    for k, own in enumerate(names):
+    for k, of in enumerate(names):
         m = level == k
         if m.any():
-            out[m] = _pair(own[runs[m, 0]], own[runs[m, 1] - (1 << k)])
+            out[m] = _pair(of[first[m]], of[last[m] - (1 << k)])
     # the length is part of the name
     out[:, 0] ^= size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return out, at[runs[:, 0]], at[runs[:, 1] - 1] + 1
+    return own[first], out, number[first], number[last - 1] + 1
 
 
 def _named(min_words: int):
@@ -91,16 +120,12 @@ def _named(min_words: int):
 
     def run(batches):
         for b in batches:
-            cols: list[list] = [[] for _ in range(6)]
-            for doc, t, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                found = _runs(text, min_words) if text else None
-                if found is None:
-                    continue
-                names, a, z = found
-                for c, x in zip(cols, (names[:, 0].view(np.int64), names[:, 1].view(np.int64), np.full(len(a), doc), np.full(len(a), t), a, z), strict=True):
-                    c.append(x)
-            if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+            buf, offsets = string_bytes(b.column("text"))
+            doc, t = (b.column(k).to_numpy(zero_copy_only=False) for k in ("doc", "t"))
+            for i, j in portions(offsets):
+                own, names, first, last = runs_of(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], min_words)
+                cols = (names[:, 0].view(np.int64), names[:, 1].view(np.int64), doc[i + own], t[i + own], first.astype(np.int32), last.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c), f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     return run
 
@@ -118,12 +143,12 @@ def _cut(text: str | None, spans) -> tuple[str | None, int]:
 
 def _cutter(batches):
     for b in batches:
-        out = [_cut(t, s) for t, s in zip(b.column("_text").to_pylist(), b.column("_spans").to_pylist(), strict=True)]
-        keep = [i for i, n in enumerate(b.schema.names) if n not in ("_text", "_spans")]
-        yield pa.RecordBatch.from_arrays(
-            [*(b.column(i) for i in keep), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64())],
-            names=[*(b.schema.names[i] for i in keep), "_text", "_removed"],
-        )
+        text, spans = b.column("_text"), b.column("_spans")
+        has = pc.is_valid(spans)
+        out = [_cut(t, s) for t, s in zip(text.filter(has).to_pylist(), spans.filter(has).to_pylist(), strict=True)]
+        removed = pc.replace_with_mask(pa.array(np.zeros(b.num_rows, np.int64)), has, pa.array([x[1] for x in out], pa.int64()))
+        text = pc.replace_with_mask(text, has, pa.array([x[0] for x in out], text.type))
+        yield pa.RecordBatch.from_arrays([b.column("_row"), text, removed], names=["_row", "_text", "_removed"])
 
 
 def _id(name: str = "doc_id"):
@@ -158,9 +183,12 @@ def dedup_lines(docs: DataFrame, min_words: int = 20) -> DataFrame:
     """
     spans = repeated_runs(docs, min_words).groupBy("doc", "t").agg(F.collect_set(F.struct("first", "last")).alias("_spans"))  # at most two per line
     spans = spans.select(F.col("doc").alias("_doc"), F.col("t").alias("_t"), "_spans")
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), _id().alias("_key"), F.xxhash64("text").alias("_name"), F.col("text").alias("_text"))
+    others = [c for c in docs.columns if c != "text"]
+    rest = F.struct(*[F.col(f"`{c}`") for c in others], F.lit(0).alias("_"))  # the text travels once
+    packed = docs.select(rest.alias("_row"), _id().alias("_key"), F.xxhash64("text").alias("_name"), F.col("text").alias("_text"))
     both = packed.join(spans, (F.col("_key") == F.col("_doc")) & (F.col("_name") == F.col("_t")), "left").select("_row", "_text", "_spans")
-    row = docs.schema.simpleString()
+    row = both.schema["_row"].dataType.simpleString()
     out = both.mapInArrow(_cutter, f"_row {row}, _text string, _removed long")
     taken = "n_removed_lines"
-    return out.select(*[F.col("_text").alias("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c != taken], F.col("_removed").alias(taken))
+    cells = [F.col("_text").alias("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns if c != taken]
+    return out.select(*cells, F.col("_removed").alias(taken))
