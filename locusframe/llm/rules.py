@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import BLANKS, WORD
+from locusframe.llm.common import BLANKS
 
 SYMBOLS = "#*$%&|<>"
 
