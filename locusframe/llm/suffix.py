@@ -16,17 +16,20 @@ array over the corpus.
 
 from __future__ import annotations
 
-import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from locusframe.llm.common import broadcast_up_to, checkpoint, portions, string_bytes
+
 GRAM = 16
 LENGTH = 100
 MOST = 4095  # windows of a segment
-CHUNK = 1 << 20  # bytes whose names are computed at once
+#: Names of more segments are split among tasks; so many such names are broadcast at most.
+HOT, MAX_BROADCAST_NAMES = 1_000_000, 1_000_000
 SORT = 1 << 21  # bytes of segments that are sorted at once; a single name may exceed it
 _BYTE = np.random.default_rng(0x5EED).integers(0, 2**64, 256, dtype=np.uint64)  # a fixed table
 _BASE = 0x9E3779B97F4A7C15
@@ -105,34 +108,31 @@ def segments(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int
     return name, first, n, twice
 
 
-def _texts(column: pa.Array):
-    """The bytes of a string column's chunk and where each text starts and ends."""
-    if column.null_count:
-        column = column.fill_null("")
-    if not pa.types.is_large_string(column.type):
-        column = column.cast(pa.large_string())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = column.buffers()[2]
-    buf = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
-    return buf[offsets[0] : offsets[-1]], offsets - offsets[0]
+def _powers(base: int, n: int) -> np.ndarray:
+    p = np.full(n + 1, base, np.uint64)
+    p[0] = 1
+    return np.cumprod(p, dtype=np.uint64)
 
 
-def _portions(offsets: np.ndarray):
-    """Ranges of texts of about CHUNK bytes; a longer text is a range of its own."""
-    i, n = 0, len(offsets) - 1
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, "right")) - 1)
-        yield i, min(j, n)
-        i = min(j, n)
+def digests(buf: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each range of bytes, whatever its place, from prefix sums."""
+    inverse = pow(_BASE, -1, 1 << 64)
+    prefix = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(_BYTE[buf] * _powers(inverse, len(buf))[:-1], dtype=np.uint64, out=prefix[1:])
+    h = (prefix[stop] - prefix[first]) * _powers(_BASE, len(buf))[first]
+    h += (stop - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(30))
 
 
 def _named(length: int, places: bool):
     def run(batches):
         for b in batches:
-            buf, offsets = _texts(b.column("text"))
+            buf, offsets = string_bytes(b.column("text"))
             if places:
                 doc, t = (b.column(k).to_numpy(zero_copy_only=False) for k in ("doc", "t"))
-            for i, j in _portions(offsets):
+            for i, j in portions(offsets):
                 o = offsets[i : j + 1] - offsets[i]
                 name, first, n, twice = segments(buf[offsets[i] : offsets[j]], o[:-1], o[1:], length)
                 if not len(name):
@@ -142,7 +142,8 @@ def _named(length: int, places: bool):
                     continue
                 own = np.searchsorted(o, first, "right") - 1
                 at = (t[i + own].astype(np.int64) << 44) | ((first - o[own]) << 13) | (n << 1) | twice
-                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(doc[i + own]), pa.array(at)], names=["h", "doc", "at"])
+                s = digests(buf[offsets[i] : offsets[j]], first, first + n + length - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(s.view(np.int64)), pa.array(doc[i + own]), pa.array(at)], names=["h", "s", "doc", "at"])
 
     return run
 
@@ -291,7 +292,7 @@ def copies(parts: list[bytes], windows: np.ndarray, order: np.ndarray, length: i
 
 
 def _sorted_copies(length: int):
-    schema = pa.schema([("doc", pa.int64()), ("t", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
+    schema = pa.schema([("doc", pa.int64()), ("at", pa.int64())])
 
     def part(h, seg, doc, at):
         t, first, n, _ = _unpack(at)
@@ -306,7 +307,7 @@ def _sorted_copies(length: int):
             if f.any():
                 e = np.flatnonzero(np.diff(np.concatenate([[0], f.view(np.int8), [0]])))
                 for a, z in zip(e[::2].tolist(), e[1::2].tolist(), strict=True):
-                    rows.append((int(doc[i]), int(t[i]), int(first[i]) + a, int(first[i]) + z - 1 + length))
+                    rows.append((int(doc[i]), (int(t[i]) << 44) | ((int(first[i]) + a) << 13) | ((z - a) << 1)))
         if rows:
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=schema)
@@ -346,28 +347,32 @@ def _sorted_copies(length: int):
 # ---- spans and texts ---------------------------------------------------------------
 
 
+def _packed(batches):
+    """Texts as compressed bytes: half of what the shuffle would make of them."""
+    pack = zstandard.ZstdCompressor(level=1)
+    for b in batches:
+        z = [pack.compress(x.encode("utf-8", "surrogatepass")) for x in b.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(k) for k in ("doc_id", "doc", "t")] + [pa.array(z, pa.binary())], names=["doc_id", "doc", "t", "z"])
+
+
 def _cut_out(length: int):
-    schema = pa.schema([("s1", pa.int64()), ("s2", pa.int64()), ("h", pa.int64()), ("doc", pa.int64()), ("at", pa.int64()), ("seg", pa.binary())])
+    """Per segment its name, place and bytes."""
+    schema = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("at", pa.int64()), ("seg", pa.binary())])
 
     def run(batches):
+        unpack = zstandard.ZstdDecompressor()
         for b in batches:
-            cols: list[list] = [[] for _ in range(6)]
-            seen = set()
-            for doc, text, hits in zip(b.column("doc").to_pylist(), b.column("text").to_pylist(), b.column("hits"), strict=True):
-                data = text.encode("utf-8", "surrogatepass")
-                flat = hits.values
-                hs, ats = flat.field(0).to_pylist(), flat.field(1).to_numpy()
-                _, first, n, _ = _unpack(ats)
-                for h, at, a, z in zip(hs, ats.tolist(), first.tolist(), (first + n + length - 1).tolist(), strict=True):
-                    s = data[a:z]
-                    d = hashlib.blake2b(s, digest_size=16).digest()
-                    new = d not in seen
-                    seen.add(d)
-                    for c, x in zip(cols, (d[:8], d[8:], h, doc, at, s if new else None), strict=True):
-                        c.append(x)
-            if cols[0]:
-                s1, s2 = (pa.array(np.frombuffer(b"".join(c), np.int64)) for c in cols[:2])
-                yield pa.RecordBatch.from_arrays([s1, s2, *(pa.array(c, f.type) for c, f in zip(cols[2:], list(schema)[2:], strict=True))], schema=schema)
+            segs: list[bytes] = []
+            own: list[np.ndarray] = []
+            for k, (z, hits) in enumerate(zip(b.column("z").to_pylist(), b.column("hits"), strict=True)):
+                raw = unpack.decompress(z)
+                _, first, n, _ = _unpack(hits.values.field(1).to_numpy())
+                segs += [raw[a:e] for a, e in zip(first.tolist(), (first + n + length - 1).tolist(), strict=True)]
+                own.append(np.full(len(first), k))
+            if segs:
+                flat = b.column("hits").flatten()
+                doc = b.column("doc").take(pa.array(np.concatenate(own)))
+                yield pa.RecordBatch.from_arrays([flat.field(0), doc, flat.field(1), pa.array(segs, pa.binary())], schema=schema)
 
     return run
 
@@ -383,46 +388,75 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _remove(batches):
-    for b in batches:
-        n_bytes, removed, runs, kept = [], [], [], []
-        for text, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
-            data = text.encode("utf-8", "surrogatepass")
-            cut = merged([(s["start"], s["stop"]) for s in spans or ()])
-            at, pieces = 0, []
-            for a, z in cut:
-                pieces.append(data[at:a])
-                at = z
-            pieces.append(data[at:])
-            n_bytes.append(len(data))
-            removed.append(sum(z - a for a, z in cut))
-            runs.append([list(x) for x in cut])
-            kept.append(b"".join(pieces))
-        yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary())],
-            names=["doc_id", "n_bytes", "n_removed", "spans", "kept"],
-        )
-
-
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc, t, start, stop): byte spans of ``docs`` (doc, t, text) that also start earlier."""
+def _remove(length: int):
+    def run(batches):
+        unpack = zstandard.ZstdDecompressor()
+        for b in batches:
+            n_bytes, removed, runs, kept = [], [], [], []
+            for z, places in zip(b.column("z").to_pylist(), b.column("places"), strict=True):
+                data = unpack.decompress(z)
+                cut = []
+                if places.is_valid:
+                    _, first, n, _ = _unpack(places.values.to_numpy())
+                    cut = merged(list(zip(first.tolist(), (first + n + length - 1).tolist(), strict=True)))
+                at, pieces = 0, []
+                for a, z in cut:
+                    pieces.append(data[at:a])
+                    at = z
+                pieces.append(data[at:])
+                n_bytes.append(len(data))
+                removed.append(sum(z - a for a, z in cut))
+                runs.append([list(x) for x in cut])
+                kept.append(b"".join(pieces))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary())],
+                names=["doc_id", "n_bytes", "n_removed", "spans", "kept"],
+            )
+
+    return run
+
+
+def _copies_and_firsts(occ: DataFrame, hot: bool) -> tuple[DataFrame, DataFrame]:
+    """Of segments (h, s, doc, at): (doc, at) of all but the first of equal ones, and the firsts.
+
+    As ``occ`` is partitioned by name, the first of at most ``HOT`` is looked up in place,
+    without a shuffle; for more, partial minima are joined back, and Spark splits the join.
+    """
+    place = F.struct("doc", "at")
+    if hot:
+        first = occ.groupBy("h", "s").agg(F.min(place).alias("least"))
+        later = occ.join(first, ["h", "s"]).where(place > F.col("least"))
+        return later.select("doc", "at"), first.select("h", "least.doc", "least.at")
+    x = occ.withColumn("least", F.min(place).over(Window.partitionBy("h", "s")))
+    return x.where(place > F.col("least")).select("doc", "at"), x.where(place == F.col("least")).select("h", "doc", "at")
+
+
+def repeated_places(docs: DataFrame, packed: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(doc, at): packed places in ``docs`` (doc, t, text) whose windows also start earlier.
+
+    ``packed`` has the same texts compressed. A segment is told from others of its name
+    by a digest of its bytes, 128 bits with the name. A name's segments are compared where
+    the name is; names of more than ``HOT`` segments go another way, that splits them.
+    """
     names = docs.select("text").mapInArrow(_named(length, False), "h long")
-    often = names.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    places = docs.select("doc", "t", "text").mapInArrow(_named(length, True), "h long, doc long, at long")
-    hits = places.join(often, "h").withColumn("t", F.shiftright("at", 44))
+    often = checkpoint(names.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+    places = docs.select("doc", "t", "text").mapInArrow(_named(length, True), "h long, s long, doc long, at long")
+    # never null; said here, because the optimiser would say it in some branches only, and
+    # exchanges that differ in a filter are not reused
+    places = places.where("h is not null and s is not null and doc is not null and at is not null")
+    later, first = _copies_and_firsts(places.join(often.where(F.col("n") <= HOT).select("h").hint("merge"), "h"), False)
+    hot = often.where(F.col("n") > HOT).select("h")
+    if not hot.isEmpty():
+        more, further = _copies_and_firsts(places.join(broadcast_up_to(hot, MAX_BROADCAST_NAMES), "h"), True)
+        later, first = later.unionByName(more), first.unionByName(further)
+    # bytes are gathered for names that have several segments, or one that may repeat inside
+    several = first.groupBy("h").agg(F.count("*").alias("n"), F.max(F.col("at").bitwiseAND(F.lit(1))).alias("twice")).where("n > 1 or twice = 1").select("h")
+    hits = first.join(several.hint("merge"), "h").select("h", "doc", "at", F.shiftright("at", 44).alias("t"))
     hits = hits.groupBy("doc", "t").agg(F.collect_list(F.struct("h", "at")).alias("hits"))  # at most the document's segments
-    cut = docs.join(hits, ["doc", "t"]).select("doc", "text", "hits").mapInArrow(_cut_out(length), "s1 long, s2 long, h long, doc long, at long, seg binary")
-    # equal segments once; partial results keep a passage that many documents share small
-    first = cut.groupBy("s1", "s2").agg(F.min(F.struct("doc", "at")).alias("least"), F.min("h").alias("h"), F.max("seg").alias("seg"))
+    both = packed.join(hits, ["doc", "t"]).select("doc_id", "doc", "z", "hits")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct = first.select("h", "seg", F.col("least.doc").alias("doc"), F.col("least.at").alias("at")).repartition(n, "h")
-    within = distinct.mapInArrow(_sorted_copies(length), "doc long, t long, start long, stop long")
-    # what is not the first of equal segments is a copy from end to end
-    later = cut.select("s1", "s2", "doc", "at").join(first.select("s1", "s2", "least"), ["s1", "s2"]).where(F.struct("doc", "at") > F.col("least"))
-    begin = F.shiftright("at", 13).bitwiseAND(F.lit(0x7FFFFFFF))
-    windows = F.shiftright("at", 1).bitwiseAND(F.lit(0xFFF))
-    later = later.select("doc", F.shiftright("at", 44).alias("t"), begin.alias("start"), (begin + windows + F.lit(length - 1)).alias("stop"))
-    return within.unionByName(later)
+    sets = both.mapInArrow(_cut_out(length), "h long, doc long, at long, seg binary").repartition(n, "h")
+    return sets.mapInArrow(_sorted_copies(length), "doc long, at long").unionByName(later)
 
 
 def dedup_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -438,8 +472,10 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     d = docs.select(
         "doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.coalesce("text", F.lit("")).alias("text")
     ).withColumn("t", F.xxhash64("text").bitwiseAND(F.lit((1 << 19) - 1)))
-    spans = repeated_spans(d.select("doc", "t", "text"), length)
-    spans = spans.groupBy("doc", "t").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    both = d.join(spans, ["doc", "t"], "left").select("doc_id", "text", "spans")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return both.mapInArrow(_remove, f"doc_id {kind}, n_bytes long, n_removed long, spans array<array<long>>, kept binary")
+    packed = d.select("doc_id", "doc", "t", "text").mapInArrow(_packed, f"doc_id {kind}, doc long, t long, z binary")
+    packed = packed.where("doc is not null and t is not null")  # never null; for the exchange's reuse
+    places = repeated_places(d, packed, length).withColumn("t", F.shiftright("at", 44))
+    places = places.groupBy("doc", "t").agg(F.collect_list("at").alias("places"))
+    both = packed.join(places, ["doc", "t"], "left").select("doc_id", "z", "places")
+    return both.mapInArrow(_remove(length), f"doc_id {kind}, n_bytes long, n_removed long, spans array<array<long>>, kept binary")

@@ -444,3 +444,11 @@ def test_policies_and_ablations(spark):
     kept = rules.keep_good(d)
     assert kept.columns == d.columns and [r.doc_id for r in kept.collect()] == [1]
     assert rules.ledger(d.limit(0)).count() == 0
+
+
+def test_substring_dedup_with_hot_names(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "HOT", 3)
+    texts = corpus(3)
+    got = {x.doc_id: x for x in suffix.dedup_substrings(docs(spark, texts)).collect()}
+    for i, (n, cut, runs, kept) in enumerate(brute_bytes(texts)):
+        assert (got[i].n_bytes, got[i].n_removed, len(got[i].spans), bytes(got[i].kept)) == (n, cut, runs, kept), i
