@@ -30,7 +30,7 @@ LENGTH = 100
 MOST = 4095  # windows of a segment
 #: Names of more segments are split among tasks; so many such names are broadcast at most.
 HOT, MAX_BROADCAST_NAMES = 1_000_000, 1_000_000
-SORT = 1 << 21  # bytes of segments that are sorted at once; a single name may exceed it
+SORT = 1 << 20  # bytes of segments that are sorted at once; a single name may exceed it
 _BYTE = np.random.default_rng(0x5EED).integers(0, 2**64, 256, dtype=np.uint64)  # a fixed table
 _BASE = 0x9E3779B97F4A7C15
 
