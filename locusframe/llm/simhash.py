@@ -141,6 +141,33 @@ class _Forest:
         return x
 
 
+def _index(codes: np.ndarray, group: np.ndarray) -> tuple[list, list, list, list, list]:
+    """Levels of nodes: AND and OR of their codes, the range of leaves and children, and the group."""
+    ands, ors, lo, kids, own = [codes], [codes], [np.arange(len(codes) + 1)], [None], [group]
+    while True:
+        g = own[-1]
+        first = np.concatenate([[True], g[1:] != g[:-1]]) if len(g) else np.empty(0, bool)
+        begin = np.maximum.accumulate(np.where(first, np.arange(len(g)), 0)) if len(g) else np.empty(0, np.int64)
+        starts = np.flatnonzero((np.arange(len(g)) - begin) % FAN == 0)
+        if len(starts) == len(g):
+            break
+        ands.append(np.bitwise_and.reduceat(ands[-1], starts, axis=0))
+        ors.append(np.bitwise_or.reduceat(ors[-1], starts, axis=0))
+        kids.append(np.append(starts, len(g)))
+        lo.append(lo[-1][kids[-1]])
+        own.append(g[starts])
+    return ands, ors, lo, kids, own
+
+
+def _children(kids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of a child of a and a child of b; a node meets itself once."""
+    ka, kb = kids[a], kids[b]
+    na, nb = kids[a + 1] - ka, kids[b + 1] - kb
+    i, j = np.arange(FAN)[None, :, None], np.arange(FAN)[None, None, :]
+    ok = (i < na[:, None, None]) & (j < nb[:, None, None]) & ((a != b)[:, None, None] | (i <= j))
+    return np.broadcast_to(ka[:, None, None] + i, ok.shape)[ok], np.broadcast_to(kb[:, None, None] + j, ok.shape)[ok]
+
+
 def link_codes(codes: np.ndarray, group: np.ndarray, steps: tuple[int, ...]) -> tuple[np.ndarray, list]:
     """Spanning links (i, j, bits) among codes of one group at ``steps[-1]`` bits or fewer.
 
@@ -157,20 +184,7 @@ def link_codes(codes: np.ndarray, group: np.ndarray, steps: tuple[int, ...]) ->
         d = _far(codes[i] ^ codes[i + gap])
         m = d <= steps[0]
         forest.link(i[m], i[m] + gap, d[m])
-    # levels: nodes with the AND and OR of their codes, the range of leaves and children
-    ands, ors, lo, kids, own = [codes], [codes], [np.arange(n + 1)], [None], [group]
-    while True:
-        g = own[-1]
-        first = np.concatenate([[True], g[1:] != g[:-1]]) if len(g) else np.empty(0, bool)
-        begin = np.maximum.accumulate(np.where(first, np.arange(len(g)), 0)) if len(g) else np.empty(0, np.int64)
-        starts = np.flatnonzero((np.arange(len(g)) - begin) % FAN == 0)
-        if len(starts) == len(g):
-            break
-        ands.append(np.bitwise_and.reduceat(ands[-1], starts, axis=0))
-        ors.append(np.bitwise_or.reduceat(ors[-1], starts, axis=0))
-        kids.append(np.append(starts, len(g)))
-        lo.append(lo[-1][kids[-1]])
-        own.append(g[starts])
+    ands, ors, lo, kids, own = _index(codes, group)
     top = len(ands) - 1
     for step in steps:
         roots = np.arange(len(own[top]))
@@ -208,30 +222,71 @@ def link_codes(codes: np.ndarray, group: np.ndarray, steps: tuple[int, ...]) ->
                     m = i != j
                     forest.link(i[m], j[m], _far(codes[i[m]] ^ codes[j[m]]))
             a, b = a[~near], b[~near]
-            ka, kb = kids[level][a], kids[level][b]
-            na, nb = kids[level][a + 1] - ka, kids[level][b + 1] - kb
-            i, j = np.arange(FAN)[None, :, None], np.arange(FAN)[None, None, :]
-            ok = (i < na[:, None, None]) & (j < nb[:, None, None]) & ((a != b)[:, None, None] | (i <= j))
-            x = np.broadcast_to(ka[:, None, None] + i, ok.shape)[ok]
-            y = np.broadcast_to(kb[:, None, None] + j, ok.shape)[ok]
+            x, y = _children(kids[level], a, b)
             if len(x):
                 stack.append((level - 1, x, y))
     return order, forest.edges
 
 
+def unlinked_pairs(codes: np.ndarray, group: np.ndarray, label: np.ndarray, most: int):
+    """Every pair (i, j) of codes of one group, but of two labels, at ``most`` bits or fewer.
+
+    Nothing but an equal label prunes a pair. Yields arrays of i and of j.
+    """
+    # codes of a label that has several in the group stand together, the others in Gray order
+    both = np.stack([group.astype(np.int64), label], 1)
+    _, at, n = np.unique(both, axis=0, return_inverse=True, return_counts=True)
+    at = at.reshape(-1)
+    keys = [gray_rank(codes[:, k]) for k in reversed(range(codes.shape[1]))]
+    order = np.lexsort((*keys, np.where(n[at] > 1, at, -1), group))
+    codes, group, label = codes[order], group[order], label[order]
+    ands, ors, lo, kids, own = _index(codes, group)
+    low = [np.minimum.reduceat(label, x[:-1]) if len(label) else label for x in lo]
+    high = [np.maximum.reduceat(label, x[:-1]) if len(label) else label for x in lo]
+    roots = np.arange(len(own[-1]))
+    # roots of one group are one node, as levels grow until each group has one
+    stack = [(len(ands) - 1, roots, roots)]
+    while stack:
+        level, a, b = stack.pop()
+        if len(a) > 40_000:
+            h = len(a) // 2
+            stack += [(level, a[:h], b[:h]), (level, a[h:], b[h:])]
+            continue
+        one = (low[level][a] == high[level][a]) & (low[level][b] == high[level][b]) & (low[level][a] == low[level][b])
+        a, b = a[~one], b[~one]
+        m = _far((ands[level][a] & ~ors[level][b]) | (ands[level][b] & ~ors[level][a])) <= most
+        a, b = a[m], b[m]
+        if not len(a):
+            continue
+        if level == 0:
+            yield order[a], order[b]
+            continue
+        x, y = _children(kids[level], a, b)
+        if len(x):
+            stack.append((level - 1, x, y))
+
+
+def _grouped(batches, n_codes: int):
+    """The rows of a task's batches: table, codes and number of the group, or None."""
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return None
+    t = pa.Table.from_batches(got)
+    codes = np.stack([t.column(f"w{k}").to_numpy().view(np.uint64) for k in range(n_codes)], 1)
+    # a group is a block, its value and, for large groups, a pair of chunks
+    key = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("block", "value", "part")], 1)
+    return t, codes, np.unique(key, axis=0, return_inverse=True)[1].reshape(-1)
+
+
 def _linker(n_codes: int, steps: tuple[int, ...]):
     schema = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("bits", pa.int32())])
 
     def run(batches):
-        got = [b for b in batches if b.num_rows]
-        if not got:
+        got = _grouped(batches, n_codes)
+        if got is None:
             return
-        t = pa.Table.from_batches(got)
+        t, codes, group = got
         node = t.column("node").to_numpy()
-        codes = np.stack([t.column(f"w{k}").to_numpy().view(np.uint64) for k in range(n_codes)], 1)
-        # a group is a block, its value and, for large groups, a pair of chunks
-        key = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("block", "value", "part")], 1)
-        group = np.unique(key, axis=0, return_inverse=True)[1].reshape(-1)
         order, edges = link_codes(codes, group, steps)
         if edges:
             e = np.array(edges)
@@ -240,16 +295,44 @@ def _linker(n_codes: int, steps: tuple[int, ...]):
     return run
 
 
-def hamming_links(codes: DataFrame, n_codes: int, steps: tuple[int, ...], blocks: int, max_group: int = MAX_GROUP) -> DataFrame:
-    """(src, dst, bits): spanning links among the rows (node, w0, ...) of distinct codes.
+def _pairer(n_codes: int, most: int, blocks: int):
+    schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
+    masks = np.zeros((blocks, n_codes), np.uint64)
+    for block, (lo, hi) in enumerate(_bounds(n_codes, blocks)):
+        for bit in range(lo, hi):
+            masks[block, bit // 64] |= np.uint64(1 << (63 - bit % 64))
 
-    Complete for pairs that agree on one of ``blocks`` bit blocks, which are all pairs of
-    fewer than ``blocks`` bits apart. Groups of more than ``max_group`` codes are cut into
-    chunks by hash and dealt out as pairs of chunks, so none goes to one task whole.
-    """
+    def run(batches):
+        got = _grouped(batches, n_codes)
+        if got is None:
+            return
+        t, codes, group = got
+        node, label, block = (t.column(c).to_numpy() for c in ("node", "label", "block"))
+        for i, j in unlinked_pairs(codes, group, label, most):
+            # a pair counts in the first block it agrees on
+            agree = ~((codes[i] ^ codes[j])[:, None, :] & masks).any(axis=2)
+            m = agree.argmax(axis=1) == block[i]
+            x, y = node[i[m]], node[j[m]]
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], schema=schema)
+
+    return run
+
+
+def _bounds(n_codes: int, blocks: int) -> list[tuple[int, int]]:
+    """The first bit of each block and the bit after its last."""
     edges = np.linspace(0, 64 * n_codes, blocks + 1).round().astype(int).tolist()
+    return list(zip(edges[:-1], edges[1:], strict=True))
+
+
+def _routed(codes: DataFrame, n_codes: int, blocks: int, max_group: int) -> DataFrame:
+    """``codes`` (node, w0, ..., others) once per block, dealt out by (block, value, part).
+
+    Groups of more than ``max_group`` codes are cut into chunks by hash and dealt out as
+    pairs of chunks, so none goes to one task whole.
+    """
     parts = []
-    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+    for lo, hi in _bounds(n_codes, blocks):
         at, out = lo, None
         while at < hi:
             k, s = divmod(at, 64)
@@ -258,8 +341,7 @@ def hamming_links(codes: DataFrame, n_codes: int, steps: tuple[int, ...], blocks
             out = v if out is None else F.shiftleft(out, w).bitwiseOR(v)
             at += w
         parts.append(out)
-    words = [f"w{k}" for k in range(n_codes)]
-    x = codes.select("node", *words, F.posexplode(F.array(*parts)).alias("block", "value")).withColumn("part", F.lit(0).cast("long"))
+    x = codes.select("*", F.posexplode(F.array(*parts)).alias("block", "value")).withColumn("part", F.lit(0).cast("long"))
     sizes = codes.select(F.posexplode(F.array(*parts)).alias("block", "value")).groupBy("block", "value").count()
     hot = checkpoint(sizes.where(F.col("count") > max_group))
     if not hot.isEmpty():
@@ -270,10 +352,28 @@ def hamming_links(codes: DataFrame, n_codes: int, steps: tuple[int, ...], blocks
         pairs = F.transform(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1), lambda j: (F.least(c, j).cast("long") * 1_000_000 + F.greatest(c, j)))
         x = x.withColumn("part", F.explode(pairs)).drop("chunks")
     n = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    x = x.repartition(n, "block", "value", "part").select("node", *words, "block", "value", "part")
+    return x.repartition(n, "block", "value", "part").select(*codes.columns, "block", "value", "part")
+
+
+def hamming_links(codes: DataFrame, n_codes: int, steps: tuple[int, ...], blocks: int, max_group: int = MAX_GROUP) -> DataFrame:
+    """(src, dst, bits): spanning links among the rows (node, w0, ...) of distinct codes.
+
+    Complete for pairs that agree on one of ``blocks`` bit blocks, which are all pairs of
+    fewer than ``blocks`` bits apart.
+    """
+    x = _routed(codes.select("node", *(f"w{k}" for k in range(n_codes))), n_codes, blocks, max_group)
     return x.mapInArrow(_linker(n_codes, steps), "src long, dst long, bits int")
 
 
+def hamming_pairs(codes: DataFrame, n_codes: int, most: int, blocks: int, max_group: int = MAX_GROUP) -> DataFrame:
+    """(src, dst): every pair of rows (node, w0, ..., label) of two labels, at ``most`` bits or fewer.
+
+    Complete for pairs that agree on one of ``blocks`` bit blocks. Codes need not be distinct.
+    """
+    x = _routed(codes.select("node", *(f"w{k}" for k in range(n_codes)), "label"), n_codes, blocks, max_group)
+    return x.mapInArrow(_pairer(n_codes, most, blocks), "src long, dst long").distinct()  # pairs of one chunk meet several times
+
+
 # ---- operators --------------------------------------------------------------------
 
 
@@ -324,27 +424,37 @@ def _shingle_sets(width: int):
     return run
 
 
+def _verified(links: DataFrame, t: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The links (src, dst) whose texts ``t`` (node, text) have that Jaccard similarity."""
+    wanted = broadcast_up_to(links.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), MAX_BROADCAST_TEXTS)
+    texts = t.join(wanted, "node", "left_semi").mapInArrow(_shingle_sets(width), "node long, hashes binary").dropDuplicates(["node"])
+    a, b = (texts.select(F.col("node").alias(k), F.col("hashes").alias(v)) for k, v in (("src", "x"), ("dst", "y")))
+    checked = links.join(a, "src").join(b, "dst").select("src", "dst", "x", "y").mapInArrow(_jaccard, "src long, dst long, similarity double")
+    return checkpoint(checked.where(F.col("similarity") >= similarity).select("src", "dst"))
+
+
 def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(node, root): texts, named by hash, that near-copies link, and their group.
 
-    Candidates are the nearest links of a spanning forest over 256-bit SimHash
-    fingerprints (routed by 20 blocks, so two texts of similarity 0.9 meet with
-    probability 0.99, of 0.8 with 0.9); each is verified by the Jaccard similarity of
-    the whole ``width``-word shingle sets. Texts in no link are not listed.
+    Candidates are texts whose 256-bit SimHash fingerprints are near (routed by 20 blocks,
+    so two texts of similarity 0.9 meet with probability 0.99, of 0.8 with 0.9); each is
+    verified by the Jaccard similarity of the whole ``width``-word shingle sets. The links
+    of a spanning forest go first, which join most copies; then every candidate whose ends
+    verified links have not joined yet, as a link of the forest that fails may have hidden
+    it. Texts in no link, or without words, are not listed.
     """
-    t = docs.select(F.xxhash64("text").alias("node"), "text")
+    t = docs.where(F.length(F.translate("text", BLANKS, "")) > 0).select(F.xxhash64("text").alias("node"), "text")
     codes = checkpoint(fingerprints(t, width, CODES, ("node",)).groupBy("node").agg(*[F.first(f"w{k}").alias(f"w{k}") for k in range(CODES)]))
     words = [f"w{k}" for k in range(CODES)]
     # texts with equal fingerprints meet in a star around the least, and one stands for all
     star = codes.groupBy(*words).agg(F.min("node").alias("rep"))
     same = codes.join(star, words).where("node <> rep").select(F.col("rep").alias("src"), F.col("node").alias("dst"))
     near = hamming_links(star.select(F.col("rep").alias("node"), *words), CODES, STEPS, BLOCKS).select("src", "dst")
-    links = checkpoint(near.unionByName(same).distinct())
-    wanted = broadcast_up_to(links.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), MAX_BROADCAST_TEXTS)
-    texts = t.join(wanted, "node", "left_semi").mapInArrow(_shingle_sets(width), "node long, hashes binary").dropDuplicates(["node"])
-    a, b = (texts.select(F.col("node").alias(k), F.col("hashes").alias(v)) for k, v in (("src", "x"), ("dst", "y")))
-    checked = links.join(a, "src").join(b, "dst").select("src", "dst", "x", "y").mapInArrow(_jaccard, "src long, dst long, similarity double")
-    return connected_components(checked.where(F.col("similarity") >= similarity))
+    sure = _verified(checkpoint(near.unionByName(same).distinct()), t, width, similarity)
+    # now each text stands for itself
+    labelled = codes.join(connected_components(sure), "node", "left").withColumn("label", F.coalesce("root", "node"))
+    rest = checkpoint(hamming_pairs(labelled, CODES, STEPS[-1], BLOCKS))
+    return connected_components(sure.unionByName(_verified(rest, t, width, similarity)))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -156,6 +156,46 @@ def test_near_duplicates_one_stays(spark):
     assert twice.columns == docs(spark, ["a"]).columns and simhash.drop_near_duplicates(docs(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_near_duplicates_families_astride_the_threshold(spark):
+    r = random.Random(11)
+    texts = []
+    for _ in range(6):  # pairs of a family are now above, now below a similarity of 0.8
+        base = [f"w{r.randrange(3000)}" for _ in range(300)]
+        for i in range(25):
+            w = list(base)
+            for k in r.sample(range(300), r.randint(2, 11)):
+                w[k] = f"v{i}"
+            texts.append(" ".join(w))
+    # equal fingerprints, as one shingle outweighs the rest, of texts that are not near-copies
+    for a in "ab":
+        for z in "xy":
+            texts.append("same " * 400 + " ".join(f"{a}{i}" for i in range(40)) + f" {z}")
+    hashes = [simhash.shingle_hashes(t, 5) for t in texts]
+    sets = [set(h.tolist()) for h in hashes]
+    prints = [sum(simhash.fingerprint(simhash._mix(h, k)) << (64 * (simhash.CODES - 1 - k)) for k in range(simhash.CODES)) for h in hashes]
+    edges = np.linspace(0, 64 * simhash.CODES, simhash.BLOCKS + 1).round().astype(int).tolist()
+
+    def near(i, j):
+        x = format(prints[i] ^ prints[j], f"0{64 * simhash.CODES}b")
+        met = x.count("1") <= simhash.STEPS[-1] and any("1" not in x[a:z] for a, z in zip(edges[:-1], edges[1:], strict=True))
+        return met and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+
+    comp = brute_components(list(range(len(texts))), near)
+    kept = [x.doc_id for x in simhash.drop_near_duplicates(docs(spark, texts)).collect()]
+    assert sorted(kept) == sorted({c: min(i for i, k in enumerate(comp) if k == c) for c in set(comp)}.values())
+
+
+def test_unlinked_pairs_are_all_pairs(spark):
+    r = np.random.default_rng(8)
+    base = r.integers(0, 2**62, 4)
+    codes = base[r.integers(0, 4, 300)] ^ (1 << r.integers(0, 62, 300)) ^ (1 << r.integers(0, 62, 300))
+    label = r.integers(0, 12, 300)
+    df = spark.createDataFrame([(i, int(c), int(k)) for i, (c, k) in enumerate(zip(codes, label, strict=True))], "node long, w0 long, label long")
+    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if label[i] != label[j] and int(codes[i] ^ codes[j]).bit_count() <= 4}
+    for most in (8192, 20):
+        assert sorted(tuple(x) for x in simhash.hamming_pairs(df, 1, 4, 5, most).collect()) == sorted(want)
+
+
 def test_components(spark):
     e = [(1, 2), (2, 3), (10, 9), (3, 1), (7, 7), (None, 3)] + [(100 + i, 101 + i) for i in range(40)]
     got = {r.node: r.root for r in common.connected_components(spark.createDataFrame(e, "src long, dst long")).collect()}
