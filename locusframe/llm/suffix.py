@@ -141,16 +141,16 @@ def _named(length: int, places: bool):
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([name, name[twice]]).view(np.int64))], names=["h"])
                     continue
                 own = np.searchsorted(o, first, "right") - 1
-                at = (t[i + own].astype(np.int64) << 44) | ((first - o[own]) << 13) | (n << 1) | twice
+                at = ((first - o[own]) << 13) | (n << 1) | twice
                 s = digests(buf[offsets[i] : offsets[j]], first, first + n + length - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(s.view(np.int64)), pa.array(doc[i + own]), pa.array(at)], names=["h", "s", "doc", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(s.view(np.int64)), pa.array(doc[i + own]), pa.array(t[i + own]), pa.array(at)], names=["h", "s", "doc", "t", "at"])
 
     return run
 
 
 def _unpack(at: np.ndarray):
-    """(t, first byte, windows, repeats) of packed places."""
-    return at >> 44, (at >> 13) & 0x7FFFFFFF, (at >> 1) & 0xFFF, (at & 1).astype(bool)
+    """(first byte, windows, repeats) of packed places."""
+    return at >> 13, (at >> 1) & 0xFFF, (at & 1).astype(bool)
 
 
 # ---- two-stage suffix sorting ------------------------------------------------------
@@ -292,10 +292,10 @@ def copies(parts: list[bytes], windows: np.ndarray, order: np.ndarray, length: i
 
 
 def _sorted_copies(length: int):
-    schema = pa.schema([("doc", pa.int64()), ("at", pa.int64())])
+    schema = pa.schema([("doc", pa.int64()), ("t", pa.int64()), ("at", pa.int64())])
 
-    def part(h, seg, doc, at):
-        t, first, n, _ = _unpack(at)
+    def part(h, seg, doc, t, at):
+        first, n, _ = _unpack(at)
         # places as ranks with room for the windows between them: (doc, t, byte)
         by = np.lexsort((first, t, doc))
         new = np.append(True, (doc[by][1:] != doc[by][:-1]) | (t[by][1:] != t[by][:-1]))
@@ -307,7 +307,7 @@ def _sorted_copies(length: int):
             if f.any():
                 e = np.flatnonzero(np.diff(np.concatenate([[0], f.view(np.int8), [0]])))
                 for a, z in zip(e[::2].tolist(), e[1::2].tolist(), strict=True):
-                    rows.append((int(doc[i]), (int(t[i]) << 44) | ((int(first[i]) + a) << 13) | ((z - a) << 1)))
+                    rows.append((int(doc[i]), int(t[i]), ((int(first[i]) + a) << 13) | ((z - a) << 1)))
         if rows:
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=schema)
@@ -317,12 +317,12 @@ def _sorted_copies(length: int):
         if not got:
             return
         table = pa.Table.from_batches(got)
-        h, doc, at = (table.column(k).to_numpy() for k in ("h", "doc", "at"))
+        h, doc, t, at = (table.column(k).to_numpy() for k in ("h", "doc", "t", "at"))
         order = np.argsort(h, kind="stable")
         h = h[order]
         heads = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         count = np.diff(np.append(heads, len(h)))
-        twice = _unpack(at[order])[3]
+        twice = _unpack(at[order])[2]
         # a name with one segment that does not repeat inside has nothing to compare
         live = np.repeat((count > 1) | twice[heads], count)
         order, h = order[live], h[live]
@@ -338,7 +338,7 @@ def _sorted_copies(length: int):
             before = total[i - 1] if i else 0
             j = max(i + 1, int(np.searchsorted(total[:-1], before + SORT, "right")))
             s = slice(heads[i], heads[j] if j < len(heads) else len(h))
-            yield from part(h[s], size[s.start : s.stop].to_pylist(), doc[order[s]], at[order[s]])
+            yield from part(h[s], size[s.start : s.stop].to_pylist(), doc[order[s]], t[order[s]], at[order[s]])
             i = j
 
     return run
@@ -357,7 +357,7 @@ def _packed(batches):
 
 def _cut_out(length: int):
     """Per segment its name, place and bytes."""
-    schema = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("at", pa.int64()), ("seg", pa.binary())])
+    schema = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("t", pa.int64()), ("at", pa.int64()), ("seg", pa.binary())])
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor()
@@ -366,13 +366,13 @@ def _cut_out(length: int):
             own: list[np.ndarray] = []
             for k, (z, hits) in enumerate(zip(b.column("z").to_pylist(), b.column("hits"), strict=True)):
                 raw = unpack.decompress(z)
-                _, first, n, _ = _unpack(hits.values.field(1).to_numpy())
+                first, n, _ = _unpack(hits.values.field(1).to_numpy())
                 segs += [raw[a:e] for a, e in zip(first.tolist(), (first + n + length - 1).tolist(), strict=True)]
                 own.append(np.full(len(first), k))
             if segs:
                 flat = b.column("hits").flatten()
-                doc = b.column("doc").take(pa.array(np.concatenate(own)))
-                yield pa.RecordBatch.from_arrays([flat.field(0), doc, flat.field(1), pa.array(segs, pa.binary())], schema=schema)
+                doc, t = (b.column(k).take(pa.array(np.concatenate(own))) for k in ("doc", "t"))
+                yield pa.RecordBatch.from_arrays([flat.field(0), doc, t, flat.field(1), pa.array(segs, pa.binary())], schema=schema)
 
     return run
 
@@ -397,7 +397,7 @@ def _remove(length: int):
                 data = unpack.decompress(z)
                 cut = []
                 if places.is_valid:
-                    _, first, n, _ = _unpack(places.values.to_numpy())
+                    first, n, _ = _unpack(places.values.to_numpy())
                     cut = merged(list(zip(first.tolist(), (first + n + length - 1).tolist(), strict=True)))
                 at, pieces = 0, []
                 for a, z in cut:
@@ -417,22 +417,22 @@ def _remove(length: int):
 
 
 def _copies_and_firsts(occ: DataFrame, hot: bool) -> tuple[DataFrame, DataFrame]:
-    """Of segments (h, s, doc, at): (doc, at) of all but the first of equal ones, and the firsts.
+    """Of segments (h, s, doc, t, at): (doc, t, at) of all but the first of equal ones, and the firsts.
 
     As ``occ`` is partitioned by name, the first of at most ``HOT`` is looked up in place,
     without a shuffle; for more, partial minima are joined back, and Spark splits the join.
     """
-    place = F.struct("doc", "at")
+    place = F.struct("doc", "t", "at")
     if hot:
         first = occ.groupBy("h", "s").agg(F.min(place).alias("least"))
         later = occ.join(first, ["h", "s"]).where(place > F.col("least"))
-        return later.select("doc", "at"), first.select("h", "least.doc", "least.at")
+        return later.select("doc", "t", "at"), first.select("h", "least.doc", "least.t", "least.at")
     x = occ.withColumn("least", F.min(place).over(Window.partitionBy("h", "s")))
-    return x.where(place > F.col("least")).select("doc", "at"), x.where(place == F.col("least")).select("h", "doc", "at")
+    return x.where(place > F.col("least")).select("doc", "t", "at"), x.where(place == F.col("least")).select("h", "doc", "t", "at")
 
 
 def repeated_places(docs: DataFrame, packed: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc, at): packed places in ``docs`` (doc, t, text) whose windows also start earlier.
+    """(doc, t, at): packed places in ``docs`` (doc, t, text) whose windows also start earlier.
 
     ``packed`` has the same texts compressed. A segment is told from others of its name
     by a digest of its bytes, 128 bits with the name. A name's segments are compared where
@@ -440,10 +440,10 @@ def repeated_places(docs: DataFrame, packed: DataFrame, length: int = LENGTH) ->
     """
     names = docs.select("text").mapInArrow(_named(length, False), "h long")
     often = checkpoint(names.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
-    places = docs.select("doc", "t", "text").mapInArrow(_named(length, True), "h long, s long, doc long, at long")
+    places = docs.select("doc", "t", "text").mapInArrow(_named(length, True), "h long, s long, doc long, t long, at long")
     # never null; said here, because the optimiser would say it in some branches only, and
     # exchanges that differ in a filter are not reused
-    places = places.where("h is not null and s is not null and doc is not null and at is not null")
+    places = places.where("h is not null and s is not null and doc is not null and t is not null and at is not null")
     later, first = _copies_and_firsts(places.join(often.where(F.col("n") <= HOT).select("h").hint("merge"), "h"), False)
     hot = often.where(F.col("n") > HOT).select("h")
     if not hot.isEmpty():
@@ -451,12 +451,12 @@ def repeated_places(docs: DataFrame, packed: DataFrame, length: int = LENGTH) ->
         later, first = later.unionByName(more), first.unionByName(further)
     # bytes are gathered for names that have several segments, or one that may repeat inside
     several = first.groupBy("h").agg(F.count("*").alias("n"), F.max(F.col("at").bitwiseAND(F.lit(1))).alias("twice")).where("n > 1 or twice = 1").select("h")
-    hits = first.join(several.hint("merge"), "h").select("h", "doc", "at", F.shiftright("at", 44).alias("t"))
+    hits = first.join(several.hint("merge"), "h").select("h", "doc", "t", "at")
     hits = hits.groupBy("doc", "t").agg(F.collect_list(F.struct("h", "at")).alias("hits"))  # at most the document's segments
-    both = packed.join(hits, ["doc", "t"]).select("doc_id", "doc", "z", "hits")
+    both = packed.join(hits, ["doc", "t"]).select("doc", "t", "z", "hits")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sets = both.mapInArrow(_cut_out(length), "h long, doc long, at long, seg binary").repartition(n, "h")
-    return sets.mapInArrow(_sorted_copies(length), "doc long, at long").unionByName(later)
+    sets = both.mapInArrow(_cut_out(length), "h long, doc long, t long, at long, seg binary").repartition(n, "h")
+    return sets.mapInArrow(_sorted_copies(length), "doc long, t long, at long").unionByName(later)
 
 
 def dedup_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -465,17 +465,16 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     A byte is removed if a ``length``-byte string covers it that also starts earlier
     (smaller doc_id, or same document and earlier start). Texts are judged as UTF-8 bytes
     on the input; null texts are empty, shorter texts stay whole. Null ids order
-    first. Rows of one id are ordered by 19 bits of their texts' hash; rows with equal id
-    and text count as one document. An empty table gives no rows; other columns are not
+    first. Rows of one id are told apart and ordered by the 64-bit hash of their texts;
+    rows with equal id and text count as one document. An empty table gives no rows; other columns are not
     read. ``kept`` need not be valid UTF-8.
     """
     d = docs.select(
         "doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.coalesce("text", F.lit("")).alias("text")
-    ).withColumn("t", F.xxhash64("text").bitwiseAND(F.lit((1 << 19) - 1)))
+    ).withColumn("t", F.xxhash64("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     packed = d.select("doc_id", "doc", "t", "text").mapInArrow(_packed, f"doc_id {kind}, doc long, t long, z binary")
     packed = packed.where("doc is not null and t is not null")  # never null; for the exchange's reuse
-    places = repeated_places(d, packed, length).withColumn("t", F.shiftright("at", 44))
-    places = places.groupBy("doc", "t").agg(F.collect_list("at").alias("places"))
+    places = repeated_places(d, packed, length).groupBy("doc", "t").agg(F.collect_list("at").alias("places"))
     both = packed.join(places, ["doc", "t"], "left").select("doc_id", "z", "places")
     return both.mapInArrow(_remove(length), f"doc_id {kind}, n_bytes long, n_removed long, spans array<array<long>>, kept binary")

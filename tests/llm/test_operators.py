@@ -400,6 +400,23 @@ def test_substring_dedup_edges(spark):
     assert suffix.dedup_substrings(docs(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_substring_dedup_many_rows_of_one_id(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(8))
+    # every text is its own, but for a passage that each hundredth has between other words
+    shared = " ".join(word() for _ in range(20))
+    texts = [" ".join(word() for _ in range(15)) + (shared if i % 100 == 0 else "") for i in range(20_000)]
+    rows = suffix.dedup_substrings(docs(spark, texts, [None] * len(texts))).collect()
+    size = Counter(len(t) for t in texts)
+    assert len(rows) == len(texts) and Counter(x.n_bytes for x in rows) == size
+    # one text keeps the passage; the others lose it, and a few bytes that agree by chance
+    cut = [x for x in rows if x.n_removed]
+    assert len(cut) == len(texts) // 100 - 1
+    assert all(x.n_bytes > 200 and len(shared) <= x.n_removed < len(shared) + 8 for x in cut)
+    kept = Counter(bytes(x.kept) for x in rows if not x.n_removed)
+    assert sum((kept - Counter(t.encode() for t in texts)).values()) == 0
+
+
 def test_suffix_array():
     rng = np.random.default_rng(0)
     for k in (1, 2, 3, 250):
