@@ -10,8 +10,9 @@ So that a corpus can be sorted in parts, every ``length``-byte window is named b
 least hash of its 16-byte grams. Equal windows have equal names, and neighbouring windows
 mostly share one, so a document falls into segments of some 40 windows. Only segments
 whose name occurs elsewhere can repeat; those are gathered by name, equal segments once,
-and each task builds suffix arrays over whole names. The result is that of one suffix
-array over the corpus.
+and each task builds suffix arrays over whole names. Names of very many segments would
+outgrow a task; their windows are hashed and grouped instead, which combines on the map
+side. The result is that of one suffix array over the corpus.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,8 +30,8 @@ from locusframe.llm.common import broadcast_up_to, checkpoint, portions, string_
 GRAM = 16
 LENGTH = 100
 MOST = 4095  # windows of a segment
-#: Names of more segments are split among tasks; so many such names are broadcast at most.
-HOT, MAX_BROADCAST_NAMES = 1_000_000, 1_000_000
+#: Names of more segments are compared window by window; so many such names are broadcast at most.
+HOT, MAX_BROADCAST_NAMES = 1 << 16, 1_000_000
 SORT = 1 << 20  # bytes of segments that are sorted at once; a single name may exceed it
 _BYTE = np.random.default_rng(0x5EED).integers(0, 2**64, 256, dtype=np.uint64)  # a fixed table
 _BASE = 0x9E3779B97F4A7C15
@@ -377,6 +379,27 @@ def _cut_out(length: int):
     return run
 
 
+def _windows(length: int):
+    """Per window of the segments ``hits`` a 128-bit hash of its bytes, and its place."""
+    schema = pa.schema([("k", pa.binary()), ("doc", pa.int64()), ("t", pa.int64()), ("at", pa.int64())])
+
+    def run(batches):
+        unpack = zstandard.ZstdDecompressor()
+        for b in batches:
+            for z, doc, t, hits in zip(b.column("z").to_pylist(), b.column("doc").to_pylist(), b.column("t").to_pylist(), b.column("hits"), strict=True):
+                raw = unpack.decompress(z)
+                first, n, _ = _unpack(hits.values.field(1).to_numpy())
+                at = np.concatenate([np.arange(a, a + m) for a, m in zip(first.tolist(), n.tolist(), strict=True)])
+                for i in range(0, len(at), 50_000):
+                    part = at[i : i + 50_000]
+                    keys = [xxhash.xxh3_128_digest(raw[a : a + length]) for a in part.tolist()]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(keys, pa.binary()), pa.array(np.full(len(part), doc)), pa.array(np.full(len(part), t)), pa.array((part << 13) | (1 << 1))], schema=schema
+                    )
+
+    return run
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal runs of the bytes that spans cover."""
     out: list[tuple[int, int]] = []
@@ -431,12 +454,19 @@ def _copies_and_firsts(occ: DataFrame, hot: bool) -> tuple[DataFrame, DataFrame]
     return x.where(place > F.col("least")).select("doc", "t", "at"), x.where(place == F.col("least")).select("h", "doc", "t", "at")
 
 
+def _with_hits(packed: DataFrame, segs: DataFrame) -> DataFrame:
+    """The texts that have some of ``segs`` (h, doc, t, at), each with its own as ``hits``."""
+    hits = segs.groupBy("doc", "t").agg(F.collect_list(F.struct("h", "at")).alias("hits"))  # at most the document's segments
+    return packed.join(hits, ["doc", "t"]).select("doc_id", "doc", "t", "z", "hits")  # all columns, so that the exchange is reused
+
+
 def repeated_places(docs: DataFrame, packed: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc, t, at): packed places in ``docs`` (doc, t, text) whose windows also start earlier.
 
     ``packed`` has the same texts compressed. A segment is told from others of its name
     by a digest of its bytes, 128 bits with the name. A name's segments are compared where
-    the name is; names of more than ``HOT`` segments go another way, that splits them.
+    the name is; those of more than ``HOT`` are not gathered, but each of their windows is
+    grouped with its equals.
     """
     names = docs.select("text").mapInArrow(_named(length, False), "h long")
     often = checkpoint(names.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
@@ -445,18 +475,21 @@ def repeated_places(docs: DataFrame, packed: DataFrame, length: int = LENGTH) ->
     # exchanges that differ in a filter are not reused
     places = places.where("h is not null and s is not null and doc is not null and t is not null and at is not null")
     later, first = _copies_and_firsts(places.join(often.where(F.col("n") <= HOT).select("h").hint("merge"), "h"), False)
-    hot = often.where(F.col("n") > HOT).select("h")
-    if not hot.isEmpty():
-        more, further = _copies_and_firsts(places.join(broadcast_up_to(hot, MAX_BROADCAST_NAMES), "h"), True)
-        later, first = later.unionByName(more), first.unionByName(further)
     # bytes are gathered for names that have several segments, or one that may repeat inside
     several = first.groupBy("h").agg(F.count("*").alias("n"), F.max(F.col("at").bitwiseAND(F.lit(1))).alias("twice")).where("n > 1 or twice = 1").select("h")
     hits = first.join(several.hint("merge"), "h").select("h", "doc", "t", "at")
-    hits = hits.groupBy("doc", "t").agg(F.collect_list(F.struct("h", "at")).alias("hits"))  # at most the document's segments
-    both = packed.join(hits, ["doc", "t"]).select("doc", "t", "z", "hits")
+    both = _with_hits(packed, hits)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sets = both.mapInArrow(_cut_out(length), "h long, doc long, t long, at long, seg binary").repartition(n, "h")
-    return sets.mapInArrow(_sorted_copies(length), "doc long, t long, at long").unionByName(later)
+    out = sets.mapInArrow(_sorted_copies(length), "doc long, t long, at long").unionByName(later)
+    hot = often.where(F.col("n") > HOT).select("h")
+    if hot.isEmpty():
+        return out
+    later, first = _copies_and_firsts(places.join(broadcast_up_to(hot, MAX_BROADCAST_NAMES), "h"), True)
+    each = _with_hits(packed, first).mapInArrow(_windows(length), "k binary, doc long, t long, at long")
+    place = F.struct("doc", "t", "at")
+    least = each.groupBy("k").agg(F.min(place).alias("least"))
+    return out.unionByName(later).unionByName(each.join(least, "k").where(place > F.col("least")).select("doc", "t", "at"))
 
 
 def dedup_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -400,6 +400,38 @@ def test_substring_dedup_edges(spark):
     assert suffix.dedup_substrings(docs(spark, ["a"]).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [0, 2, 40])
+def test_substring_dedup_hot_names(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix, "HOT", hot)
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(8))
+    phrase = " ".join(word() for _ in range(9))  # under a window long; what surrounds it differs, or is one of three
+    ends = [" ".join(word() for _ in range(6)) for _ in range(3)]
+    side = lambda: r.choice(ends) if r.random() < 0.4 else " ".join(word() for _ in range(6))
+    texts = [f"{side()} {phrase} {side()}" for _ in range(120)] + ["ab" * 3000, "q" * 5000, ("ab" * 3000)[1:], None, ""]
+    sizes = []
+    cut = suffix._sorted_copies
+
+    def spied(length):
+        run = cut(length)
+
+        def counted(batches):
+            batches = list(batches)
+            h = [x for b in batches for x in b.column("h").to_pylist()]
+            assert not h or max(Counter(h).values()) <= hot, "a task takes a whole hot name"
+            return run(batches)
+
+        sizes.append(length)
+        return counted
+
+    monkeypatch.setattr(suffix, "_sorted_copies", spied)
+    got = {x.doc_id: x for x in suffix.dedup_substrings(docs(spark, texts)).collect()}
+    for i, (n, removed, runs, kept) in enumerate(brute_bytes(texts)):
+        g = got[i]
+        assert (g.n_bytes, g.n_removed, len(g.spans), bytes(g.kept)) == (n, removed, runs, kept), i
+    assert sizes
+
+
 def test_substring_dedup_many_rows_of_one_id(spark):
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(8))
