@@ -5,9 +5,9 @@ A document is the sequence of its lines that hold a word. Level 0 names a line b
 two level k-1 names it consists of, so that names double in reach as the ranks of a
 prefix-doubling suffix array do, but need no global renumbering between rounds and
 hence no shuffle. A run of any length n is named by the two level-k names that cover
-it (2^k <= n). Sorting positions by their names puts suffixes with a common prefix
-next to each other; an interval of equal names is a longest-common-prefix interval, and
-all its members but the first in (document, line) order are later copies.
+it (2^k <= n). Positions are not sorted, and no suffix array or longest-common-prefix
+interval is made: runs are grouped by name, and all of a group but the first in
+(document, line) order are later copies.
 
 A run counts if it has ``min_words`` words. Every line of a counting run lies in a
 shortest counting run that starts or ends inside it, so only the shortest run from each
