@@ -30,12 +30,16 @@ TEMPLATE = (
 )
 
 
+_BREAK = re.compile(r"<(?=/?turn)|#(?=#)")
+
+
 def escape(text: str) -> str:
-    """Double backslashes, and put one after the first character of a control string."""
-    text = text.replace("\\", "\\\\")
-    for c in CONTROL:
-        text = text.replace(c, c[0] + "\\" + c[1:])
-    return text
+    """Double backslashes, and put one where a control string would go on.
+
+    That is after each ``<`` of a turn mark and after each ``#`` before another, so no
+    control string is left however they overlap.
+    """
+    return _BREAK.sub(lambda m: m[0] + "\\", text.replace("\\", "\\\\"))
 
 
 def escape_line(text: str) -> str:
@@ -93,7 +97,9 @@ class Generation:
     body: tuple
 
 
-_TAG = re.compile(r"\{\{(.*?)\}\}|\{%(.*?)%\}", re.S)
+_QUOTED = r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\""
+#: A tag ends at its first mark outside of string constants.
+_TAG = re.compile(rf"\{{\{{((?:{_QUOTED}|(?!\}}\}})[^'\"])*)\}}\}}|\{{%((?:{_QUOTED}|(?!%\}})[^'\"])*)%\}}", re.S)
 _TOKEN = re.compile(r"\s*(?:('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(\d+)|([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*)|(==|!=|[|+()]))")
 
 
@@ -187,6 +193,9 @@ def parse(template: str) -> tuple:
         pieces.append(("emit", m[1]) if m[1] is not None else ("tag", m[2].strip()))
         i = m.end()
     pieces += [("text", template[i:])] * (i < len(template))
+    for kind, value in pieces:
+        if kind == "text" and (m := re.search(r"\{[{%]", value)):
+            raise TemplateError(f"a tag is not closed: {value[m.start() :][:40]!r}")
     at = 0
 
     def block(*ends: str) -> tuple[tuple, str]:
@@ -205,13 +214,18 @@ def parse(template: str) -> tuple:
                 inner, _ = block("endfor")
                 body.append(For(m[1], _Expression.parse(m[2]), inner))
             elif value.startswith("if "):
-                branches, test = [], value[3:]
+                branches, test, after = [], value[3:], ("elif", "else", "endif")
                 while True:
-                    inner, end = block("elif", "else", "endif")
+                    inner, end = block(*after)
                     branches.append((_Expression.parse(test), inner))
                     if end == "endif":
                         break
-                    test = "true" if end == "else" else end[5:]
+                    if end == "else":
+                        test, after = "true", ("endif",)  # nothing may follow but the end
+                    elif end.startswith("elif "):
+                        test = end[5:]
+                    else:
+                        raise TemplateError(f"unexpected tag {end!r}")
                 body.append(If(tuple(branches)))
             elif value == "generation":
                 inner, _ = block("endgeneration")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 import numpy as np
@@ -17,13 +18,31 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder of ``spark.checkpoint.dir``.
+
+    A temporary one only where that is unset and executors run in the driver's own
+    process, as in tests; on a cluster an unset folder is an error.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="locusframe-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="locusframe-")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    pad = ""
+    while any((n + pad).lower() in taken for n in names):
+        pad += "_"
+    return [n + pad for n in names]
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage: the rows are written to the folder all executors share."""
     shared_dir(df.sparkSession)

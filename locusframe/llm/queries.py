@@ -70,10 +70,8 @@ def _q(text: str) -> str:
 
 
 def _escaped(column: str) -> str:
-    e = f"replace({column}, '\\', '\\\\')"
-    for c in chat.CONTROL:
-        e = f"replace({e}, {_q(c)}, {_q(c[0] + chr(92) + c[1:])})"
-    return e
+    e = f"replace(replace(replace({column}, '\\', '\\\\'), '<turn', '<\\turn'), '</turn', '<\\/turn')"
+    return f"replace(replace({e}, '##', '#\\#'), '##', '#\\#')"  # twice, as signs overlap
 
 
 OP1_SQL = f"""
