@@ -7,6 +7,8 @@ hash-joined to the digests of known licence texts, canonicalised by the same fun
 
 from __future__ import annotations
 
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,20 +17,21 @@ from locusframe.llm.common import broadcast_up_to
 #: Rows of the licence table up to which it is broadcast.
 MAX_BROADCAST_LICENSES = 10_000
 
-#: Equivalent spellings, the first form for each second.
+#: Equivalent words, the first form for each second; whole words only.
 SPELLINGS = (
-    ("license", "licence"),
-    ("sublicense", "sublicence"),
-    ("noncommercial", "non commercial"),
-    ("merchantability", "merchantibility"),
-    ("organization", "organisation"),
-    ("authorization", "authorisation"),
-    ("favor", "favour"),
-    ("honor", "honour"),
-    ("fulfill", "fulfil"),
-    ("and", "&"),
-    ("c", "©"),
-)
+    ("acknowledgment", "acknowledgement"), ("analog", "analogue"), ("analyze", "analyse"), ("artifact", "artefact"), ("authorization", "authorisation"),
+    ("authorized", "authorised"), ("caliber", "calibre"), ("canceled", "cancelled"), ("catalog", "catalogue"), ("categorize", "categorise"),
+    ("center", "centre"), ("copyright holder", "copyright owner"), ("copyright holders", "copyright owners"), ("emphasized", "emphasised"), ("favor", "favour"),
+    ("favorite", "favourite"), ("fulfill", "fulfil"), ("fulfills", "fulfils"), ("fulfillment", "fulfilment"), ("honor", "honour"), ("initialize", "initialise"),
+    ("judgment", "judgement"), ("labeling", "labelling"), ("labor", "labour"), ("license", "licence"), ("licensed", "licenced"), ("licenses", "licences"),
+    ("maximize", "maximise"), ("merchantability", "merchantibility"), ("modeled", "modelled"), ("modeling", "modelling"), ("noncommercial", "non commercial"),
+    ("offense", "offence"), ("optimize", "optimise"), ("organization", "organisation"), ("organizations", "organisations"), ("organize", "organise"),
+    ("percent", "per cent"), ("practice", "practise"), ("program", "programme"), ("realize", "realise"), ("recognize", "recognise"), ("signaling", "signalling"),
+    ("sublicense", "sub license"), ("sublicense", "sub licence"), ("sublicense", "sublicence"), ("sublicenses", "sublicences"), ("sublicensed", "sublicenced"),
+    ("utilization", "utilisation"), ("while", "whilst"), ("willful", "wilful"),
+)
+#: Signs that stand for words.
+SIGNS = (("and", "&"), ("c", "©"))
 
 #: Public licence texts and notices, by SPDX identifier.
 TEXTS = {
@@ -71,39 +74,60 @@ Unless required by applicable law or agreed to in writing, software distributed
     "CC-BY-NC-4.0 line": "Licensed under CC BY-NC 4.0.",
 }
 
-#: A line that states a copyright and nothing of the licence.
-COPYRIGHT_LINE = r"(?md)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©)([ \t]+|[ \t]*\(c\)|[ \t]*©)[^\n]*$|^[^\p{L}\p{N}\n]*all rights reserved[^\n]*$"
+#: Files of whole licence texts beside this module, named by SPDX identifier.
+FOLDER = "licences"
+
+#: Lines that state who holds a copyright: marks and a year (or where one goes), the word
+#: and the sign, or "all rights reserved". A line of a sentence, such as "copyright notice
+#: and this permission notice", has one mark and no year, and stays.
+_MARK = r"(?:copyright|\(c\)|©)"
+_GAP = r"[^\p{L}\p{N}\n]*"
+COPYRIGHT_LINE = (
+    rf"(?m)^{_GAP}{_MARK}(?:{_GAP}{_MARK})*{_GAP}(?:year|yyyy|(?:19|20)[0-9][0-9])\b[^\n]*$"
+    rf"|^{_GAP}(?:copyright[ \t]*(?:\(c\)|©)|©|\(c\)[ \t]*copyright)[^\n]*$"
+    rf"|^{_GAP}all rights reserved{_GAP}$"
+)
+#: A first line of a few words, "under" not among them, that names a licence; text follows.
+TITLE = (
+    r"\A(?![^\p{L}\p{N}]*[^\n]*\bunder\b)[^\p{L}\p{N}]*(?:[\p{L}\p{N}.-]+[ \t]+){0,6}licen[cs]e"
+    r"(?:[ \t,(]+[\p{L}\p{N}.-]+\)?){0,4}[^\p{L}\p{N}\n]*\n"
+)
 
 
 def canonical(text: Column) -> Column:
     """Canonical form: lower case, words of letters and digits joined by single spaces.
 
-    Lines that open with a copyright mark and lines "all rights reserved" are left out,
-    the spellings of ``SPELLINGS`` replaced. Null gives the empty form.
+    A title line, lines that state a copyright and lines "all rights reserved" are left
+    out, and the whole words of ``SPELLINGS`` replaced. Null gives the empty form.
     """
-    t = F.lower(F.coalesce(text, F.lit("")))
-    t = F.regexp_replace(t, COPYRIGHT_LINE, "")
+    t = F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("\r"), F.lit(""))
+    t = F.regexp_replace(F.regexp_replace(t, TITLE, ""), COPYRIGHT_LINE.replace("(?m)", "(?md)", 1), "")
+    for to, sign in SIGNS:
+        t = F.replace(t, F.lit(sign), F.lit(f" {to} "))
+    # two spaces between words, so that neighbours do not share one
+    t = F.concat(F.lit(" "), F.regexp_replace(t, r"[^\p{L}\p{N}]+", "  "), F.lit(" "))
     for to, like in SPELLINGS:
-        if not like.isascii() or not like.replace(" ", "").isalpha():
-            t = F.replace(t, F.lit(like), F.lit(f" {to} "))
-    t = F.concat(F.lit(" "), F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    for to, like in SPELLINGS:
-        if like.isascii() and like.replace(" ", "").isalpha():
-            # endings (-s, -d, ...) follow the stem
-            t = F.replace(t, F.lit(f" {like}"), F.lit(f" {to}"))
-    return F.trim(t)
+        t = F.replace(t, F.lit(f" {like} ".replace(" ", "  ")[1:-1]), F.lit(f" {to} ".replace(" ", "  ")[1:-1]))
+    return F.trim(F.replace(t, F.lit("  "), F.lit(" ")))
+
+
+def known_texts() -> dict[str, str]:
+    """Licence texts by name: ``TEXTS`` and the files of ``FOLDER``."""
+    files = resources.files(__package__) / FOLDER
+    return TEXTS | {f.name[: -len(".txt")]: f.read_text("utf-8") for f in sorted(files.iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")}
 
 
 def known_digests(spark, texts: dict[str, str] | None = None) -> DataFrame:
     """(digest, license): SHA-256 of the canonical form; of equal texts the least name."""
-    rows = spark.createDataFrame(sorted((texts if texts is not None else TEXTS).items()), "license string, text string")
+    rows = spark.createDataFrame(sorted((texts if texts is not None else known_texts()).items()), "license string, text string")
     return rows.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan(docs: DataFrame, texts: dict[str, str] | None = None) -> DataFrame:
     """doc_id, digest, n_canonical (code points), license (null: none known), per row of ``docs``.
 
-    Entire texts are compared. Null and empty texts have the digest of the empty form
+    Entire texts are compared: a text that quotes a licence among others is not that
+    licence. Null ids stay. Null and empty texts have the digest of the empty form
     and no licence (the empty form is never known). Repeated rows stay; an empty table
     gives an empty result; other columns are not read.
     """

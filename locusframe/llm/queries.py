@@ -90,24 +90,41 @@ SELECT conv_id, n_turns, turns_sha256, CAST(length(loss) AS BIGINT) AS loss_char
 """
 
 
+#: Written out anew, so that a wrong rule on one side shows.
+_SAME_WORDS = {
+    "acknowledgement": "acknowledgment", "analogue": "analog", "analyse": "analyze", "artefact": "artifact", "authorisation": "authorization", "authorised": "authorized",
+    "calibre": "caliber", "cancelled": "canceled", "catalogue": "catalog", "categorise": "categorize", "centre": "center", "emphasised": "emphasized", "favour": "favor",
+    "favourite": "favorite", "fulfil": "fulfill", "fulfils": "fulfills", "fulfilment": "fulfillment", "honour": "honor", "initialise": "initialize", "judgement": "judgment",
+    "labelling": "labeling", "labour": "labor", "licence": "license", "licenced": "licensed", "licences": "licenses", "maximise": "maximize", "merchantibility": "merchantability",
+    "modelled": "modeled", "modelling": "modeling", "offence": "offense", "optimise": "optimize", "organisation": "organization", "organisations": "organizations",
+    "organise": "organize", "practise": "practice", "programme": "program", "realise": "realize", "recognise": "recognize", "signalling": "signaling", "sublicence": "sublicense",
+    "sublicences": "sublicenses", "sublicenced": "sublicensed", "utilisation": "utilization", "whilst": "while", "wilful": "willful",
+}
+_SAME_PHRASES = {"copyright owner": "copyright holder", "copyright owners": "copyright holders", "non commercial": "noncommercial", "per cent": "percent", "sub license": "sublicense", "sub licence": "sublicense"}
+
+
 def _canonical_sql(column: str) -> str:
-    t = f"lower(coalesce({column}, ''))"
-    t = f"regexp_replace({t}, {_q(licenses.COPYRIGHT_LINE.replace('(?md)', '(?m)'))}, '', 'g')"
-    words = lambda s: s.isascii() and s.replace(" ", "").isalpha()
-    for to, like in licenses.SPELLINGS:
-        if not words(like):
-            t = f"replace({t}, {_q(like)}, {_q(f' {to} ')})"
-    t = f"(' ' || regexp_replace({t}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' ')"
-    for to, like in licenses.SPELLINGS:
-        if words(like):
-            t = f"replace({t}, {_q(' ' + like)}, {_q(' ' + to)})"
-    return f"trim({t}, ' ')"
+    """The canonical form by lists of lines and of words, where the operator has patterns over the text."""
+    lines = f"string_split(replace(lower(coalesce({column}, '')), chr(13), ''), chr(10))"
+    first = f"list_position(list_transform({lines}, lambda x: regexp_matches(x, '[\\p{{L}}\\p{{N}}]')), true)"
+    title = "regexp_full_match(x, '[^\\p{L}\\p{N}]*([\\p{L}\\p{N}.-]+[ \\t]+){0,6}licen[cs]e([ \\t,(]+[\\p{L}\\p{N}.-]+\\)?){0,4}[^\\p{L}\\p{N}]*') AND NOT regexp_matches(x, '\\bunder\\b')"
+    bare = "regexp_replace(x, '^[^\\p{L}\\p{N}(©]+', '')"
+    mark = "(copyright|\\(c\\)|©)"
+    notice = (
+        f"regexp_matches({bare}, '^{mark}([^\\p{{L}}\\p{{N}}]*{mark})*[^\\p{{L}}\\p{{N}}]*(year|yyyy|(19|20)[0-9][0-9])\\b')"
+        f" OR regexp_matches({bare}, '^(copyright[ \\t]*(\\(c\\)|©)|©|\\(c\\)[ \\t]*copyright)') OR trim(regexp_replace(x, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) = 'all rights reserved'"
+    )
+    kept = f"list_filter({lines}, lambda x, i: NOT ((i = {first} AND i < len({lines}) AND {title}) OR {notice}))"
+    words = f"string_split_regex(replace(replace(array_to_string({kept}, chr(10)), '&', ' and '), '©', ' c '), '[^\\p{{L}}\\p{{N}}]+')"
+    text = f"(' ' || array_to_string(list_filter({words}, lambda w: w <> ''), '  ') || ' ')"
+    for like, to in _SAME_PHRASES.items():
+        text = f"replace({text}, ' {like.replace(' ', '  ')} ', ' {to.replace(' ', '  ')} ')"
+    return f"array_to_string(list_transform(list_filter(string_split({text}, ' '), lambda w: w <> ''), lambda w: coalesce(map_extract_value(MAP {_SAME_WORDS}, w), w)), ' ')"
 
 
 OP4_SQL = f"""
-WITH known AS (
-  SELECT sha256({_canonical_sql("text")}) AS digest, min(license) AS license
-  FROM (VALUES {", ".join(f"({_q(k)}, {_q(v)})" for k, v in licenses.TEXTS.items())}) AS v(license, text) GROUP BY 1),
+WITH v AS (SELECT * FROM (VALUES {", ".join(f"({_q(k)}, {_q(v)})" for k, v in licenses.known_texts().items())}) AS v(license, text)),
+known AS (SELECT sha256({_canonical_sql("text")}) AS digest, min(license) AS license FROM v GROUP BY 1),
 c AS (SELECT doc_id, {_canonical_sql("text")} AS canonical FROM documents)
 SELECT doc_id, sha256(canonical) AS digest, CAST(length(canonical) AS BIGINT) AS n_canonical, license
 FROM c LEFT JOIN known ON known.digest = sha256(canonical) AND length(canonical) > 0
