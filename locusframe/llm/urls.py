@@ -36,7 +36,7 @@ LISTED_HOSTS = (
     "ads-track.example.com", "ads-track.example.net", "ads-track.example.org",
     "adult-x.example.com", "adult-x.example.net", "adult-x.example.org",
 )
-#: A level may have so many bits (32 MB); more listed keys than fit are refused, not sampled.
+#: A level has so many bits (32 MB) at most; more listed keys are dealt out to several cascades.
 MAX_BITS = 1 << 28
 
 
@@ -75,29 +75,43 @@ class Cascade:
     """A Bloom filter cascade over keys: ``Cascade(universe, listed).has(key)``.
 
     Both are DataFrames of one string column. Null keys are in neither; repeated keys
-    count once; listed keys outside the universe need no bits. Without listed keys
-    nothing is a member. Keys outside the universe get an approximate answer.
+    count once. Without listed keys nothing is a member. Keys outside the universe get
+    an approximate answer. If level 0 would need more than ``max_bits`` bits, keys are
+    dealt out by hash to as many cascades as keep each below that, each built from its
+    own share of the universe and of the list; what is broadcast is then the sum of all
+    levels, about 10 bits a listed key.
     """
 
-    def __init__(self, universe: DataFrame, listed: DataFrame):
-        keys = universe.toDF("key").select("key", F.lit(True).alias("seen"), F.lit(False).alias("in"))
-        keys = keys.unionByName(listed.toDF("key").select("key", F.lit(False).alias("seen"), F.lit(True).alias("in")))
-        keys = keys.where("key is not null").groupBy("key").agg(F.max("seen").alias("seen"), F.max("in").alias("in")).where("seen")
-        keys = checkpoint(keys.select("key", "in"))
-        inside, outside = keys.where("in").select("key"), keys.where("not in").select("key")
-        n = {r["in"]: r["count"] for r in keys.groupBy("in").count().collect()}  # two rows
-        a, b = n.get(True, 0), n.get(False, 0)
+    def __init__(self, universe: DataFrame, listed: DataFrame, max_bits: int = MAX_BITS, deal: bool = True):
+        self.parts: list[Cascade] = []
         self.levels: list[tuple[DataFrame, int, int]] = []
+        inside = checkpoint(listed.toDF("key").where("key is not null").distinct())
+        universe = checkpoint(universe.toDF("key").where("key is not null").distinct())
+        a, b = inside.count(), universe.count()
+        if deal and self._size(a, b)[0] > max_bits:
+            n = 2 * math.ceil(self._size(a, b)[0] / max_bits)
+            self.parts = [Cascade(universe.where(self._part(F.col("key"), n) == i), inside.where(self._part(F.col("key"), n) == i), max_bits, False) for i in range(n)]
+            return
+        # level 0 encodes the list; level 1 the keys of the universe that it takes wrongly; and so on
+        outside = None
         while a:
-            rate = min(0.5, a / (math.sqrt(2) * b)) if not self.levels and b else 0.5
-            k = max(1, round(-math.log2(rate)))
-            m = max(64, 64 * math.ceil(a * k / math.log(2) / 64))
-            if m > MAX_BITS:
-                raise ValueError(f"{a} keys need {m} bits in one level; at most {MAX_BITS} are broadcast")
+            m, k = self._size(a, b)
             self.levels.append((checkpoint(self._build(inside, m, k)), m, k))
-            wrong = checkpoint(outside.where(self._test(F.col("key"), len(self.levels) - 1)))
+            taken = (universe if outside is None else outside).where(self._test(F.col("key"), len(self.levels) - 1))
+            # only the few keys of the universe that level 0 takes are held against the list
+            wrong = checkpoint(taken.join(inside, "key", "left_anti") if outside is None else taken)
             inside, outside, a, b = wrong, inside, wrong.count(), a
 
+    @staticmethod
+    def _part(key: Column, n: int) -> Column:
+        return F.pmod(F.xxhash64(F.lit(-1), key), F.lit(n))
+
+    def _size(self, a: int, b: int) -> tuple[int, int]:
+        """Bits and hashes of the next level, for ``a`` keys against ``b``."""
+        rate = min(0.5, a / (math.sqrt(2) * b)) if not self.levels and b else 0.5
+        k = max(1, round(-math.log2(rate))) if a else 1
+        return max(64, 64 * math.ceil(a * k / math.log(2) / 64)), k
+
     def _positions(self, key: Column, level: int, m: int, k: int) -> list[Column]:
         h = F.xxhash64(F.lit(level), key)
         one, two = h.bitwiseAND(F.lit(0x7FFFFFFF)), F.shiftrightunsigned(h, 32).bitwiseOR(F.lit(1))
@@ -124,6 +138,11 @@ class Cascade:
 
     def has(self, key: Column) -> Column:
         """True exactly for the listed keys of the universe."""
+        if self.parts:
+            part, out = self._part(key, len(self.parts)), F.lit(False)
+            for i, c in enumerate(self.parts):
+                out = F.when(part == i, c.has(key)).otherwise(out)
+            return out
         out = F.lit(len(self.levels) % 2 == 1)
         for level in reversed(range(len(self.levels))):
             out = F.when(self._test(key, level), out).otherwise(F.lit(level % 2 == 1))
@@ -134,18 +153,21 @@ def judge_urls(pages: DataFrame, listed: DataFrame | None = None, rules=RULES) -
     """page_id, host, path, rule, verdict for every row of ``pages``.
 
     The longest rule that fits decides; without one a page is blocked if its host or a
-    parent domain is listed, else allowed: the hosts of the table are the cascade's
-    universe, those at or below a listed domain its listed keys. Null urls and urls without ``://`` have empty host and path. Repeated
-    rows stay; an empty table gives an empty result; other columns are not read.
+    parent domain is listed, else allowed. A first cascade has the list against the
+    universe of all hosts and parent domains of the table; it judges the distinct
+    hosts, and a second one carries their verdicts to the pages, which are neither
+    joined nor shuffled. Null urls and urls without ``://`` have empty host and path.
+    Repeated rows and null ids stay; an empty table gives an empty result; other
+    columns are not read.
     """
     spark = pages.sparkSession
     if listed is None:
         listed = spark.createDataFrame([(h,) for h in LISTED_HOSTS], "key string")
     p = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    hosts = p.select("host").distinct()
-    known = hosts.select("host", F.explode(suffixes(F.col("host"))).alias("key"))
-    bad = known.join(listed.toDF("key").where("key is not null").distinct(), "key", "left_semi").select("host").distinct()
-    cascade = Cascade(hosts, bad)
+    hosts = checkpoint(p.select("host").distinct())
+    domains = hosts.select("host", F.explode(suffixes(F.col("host"))).alias("key"))
+    by_domain = Cascade(domains.select("key"), listed)
+    cascade = Cascade(hosts, domains.where(by_domain.has(F.col("key"))).select("host"))
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     member = cascade.has(F.col("host"))
     return p.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(member, "block").otherwise("allow")).alias("verdict"))
