@@ -60,12 +60,13 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: int = 2) -
 
     Every row is taken ``floor(target / source_size)`` times, and once more if its
     hash lies below the source's threshold. Rows with equal id and text have equal
-    hashes and are taken together. Sources without words get target 0. A null source
-    is a source; an empty table gives an empty mix; further columns are not read.
-    A source's taken words differ from its target by less than the rows that share
-    its last prefix (48 bits, as a rule one row).
+    hashes; where such a group is cut, as many of its rows are taken as bring the sum
+    nearest to the target, in order of their places, so that reruns give the same rows.
+    Sources without words get target 0. A null source is a source; an empty table gives
+    an empty mix; further columns are not read. A source's taken words differ from its
+    target by half a row, unless different rows share a hash's first 48 bits.
     """
-    rows = checkpoint(measure(docs))
+    rows = checkpoint(measure(docs).withColumn("_row", F.monotonically_increasing_id()))
     goal = targets(rows.select("source", "size"), weights, share, float(most))
     goal = goal.withColumn("copies", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     goal = goal.withColumn("left", F.col("target") - F.col("copies") * F.col("source_size")).withColumn("prefix", F.lit(0).cast("long"))
@@ -91,12 +92,28 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: int = 2) -
             )
         )
     g = goal
-    # what shares the last prefix goes in if that brings the sum nearer to the target
-    edge = rows.alias("r").join(small(g.select("source", "prefix")).alias("g"), same & (at(LEVELS) == F.col("g.prefix")))
-    edge = edge.groupBy(F.col("r.source").alias("source")).agg(F.sum("r.size").alias("edge"))
-    g = goal.alias("g").join(small(edge).alias("e"), F.col("g.source").eqNullSafe(F.col("e.source")), "left")
-    g = checkpoint(g.select("g.*", F.coalesce(F.col("e.edge") - F.col("g.left") <= F.col("g.left"), F.lit(False)).alias("with_edge")))
-    more = F.when((at(LEVELS) < F.col("g.prefix")) | ((at(LEVELS) == F.col("g.prefix")) & F.col("g.with_edge")), 1).otherwise(0)
+    # of the rows that share the last prefix, as a rule one or equal ones, some go in
+    inside = rows.alias("r").join(small(goal.select("source", "prefix", "left")).alias("g"), same & (at(LEVELS) == F.col("g.prefix")))
+    inside = checkpoint(inside.select("r.source", "r._row", "r.size", "g.left"))
+    edge = inside.groupBy("source", "left").agg(F.count("*").alias("n"), F.sum("size").alias("edge"), F.max("_row").alias("last"))
+    wanted = F.round(F.col("left") * F.col("n") / F.greatest(F.col("edge"), F.lit(1))).cast("long")
+    edge = checkpoint(edge.select("source", "n", "last", F.least(F.col("n"), F.greatest(wanted, F.lit(0))).alias("wanted")))
+    some = edge.where("wanted > 0 and wanted < n").select("source", "wanted")
+    last = edge.select("source", F.when(F.col("wanted") > 0, F.col("last")).alias("upto"))
+    if not some.isEmpty():
+        # the place of the last row that goes in: counted by partition first, then inside one
+        part = F.shiftrightunsigned("_row", 33)
+        counted = inside.groupBy("source", part.alias("p")).agg(F.count("*").alias("c"))
+        counted = counted.withColumn("before", F.sum("c").over(Window.partitionBy("source").orderBy("p")) - F.col("c")).alias("c")
+        hit = counted.join(small(some).alias("s"), F.col("c.source").eqNullSafe(F.col("s.source"))).where("before < wanted and before + c >= wanted")
+        hit = hit.select("c.source", "c.p", (F.col("wanted") - F.col("before")).alias("nth")).alias("h")
+        within = inside.alias("i").join(small(hit), F.col("i.source").eqNullSafe(F.col("h.source")) & (F.shiftrightunsigned("i._row", 33) == F.col("h.p")))
+        within = within.select("i.source", "i._row", "nth", F.row_number().over(Window.partitionBy("i.source", "h.p").orderBy("i._row")).alias("k")).where("k = nth")
+        within = checkpoint(within.select("source", F.col("_row").alias("cut")))
+        last = last.alias("l").join(small(within).alias("w"), F.col("l.source").eqNullSafe(F.col("w.source")), "left").select("l.source", F.coalesce("w.cut", "l.upto").alias("upto"))
+    g = goal.alias("g").join(small(last).alias("e"), F.col("g.source").eqNullSafe(F.col("e.source")), "left")
+    g = checkpoint(g.select("g.*", F.coalesce("e.upto", F.lit(-1)).alias("upto")))
+    more = F.when((at(LEVELS) < F.col("g.prefix")) | ((at(LEVELS) == F.col("g.prefix")) & (F.col("r._row") <= F.col("g.upto"))), 1).otherwise(0)
     return rows.alias("r").join(small(g).alias("g"), same).select(
         "r.doc_id", "r.source", "r.size", F.col("g.source_size").cast("long").alias("source_size"), "g.target",
         (F.col("r.size") * F.least(F.lit(most), F.col("g.copies") + more)).cast("long").alias("taken"),
