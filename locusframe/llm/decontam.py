@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import broadcast_up_to, checkpoint
+from locusframe.llm.common import broadcast_up_to, checkpoint, unused
 
 #: Largest tables, in rows, that are broadcast; beyond that Spark shuffles both sides.
 MAX_BROADCAST_SHINGLES = 1_000_000
@@ -114,9 +114,13 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, threshold
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
     """The rows of ``docs``, all columns, whose text contains no item.
 
-    Rows are dropped by (doc_id, text), so a repeated id with another text stays.
+    Rows are dropped by (doc_id, text), so a repeated id with another text stays, and
+    equal rows go together. Null ids are ids; null and empty texts contain nothing and
+    stay. Without rows in ``docs`` the result is empty, without items it is ``docs``.
     """
-    bad = contained_items(docs.select("doc_id", "text", F.xxhash64("text").alias("_text_name")), items, width, threshold, ("doc_id", "_text_name"))
-    bad = checkpoint(bad.select(F.col("doc_id").alias("_bad_id"), F.col("_text_name").alias("_bad_text")).distinct())
+    own, name, bad_id, bad_name = unused(docs, "_id", "_name", "_bad_id", "_bad_name")
+    bad = contained_items(docs.select("doc_id", "text", F.xxhash64("text").alias(name)), items, width, threshold, ("doc_id", name))
+    bad = checkpoint(bad.select(F.col("doc_id").alias(bad_id), F.col(name).alias(bad_name)).distinct())
     bad = broadcast_up_to(bad, MAX_BROADCAST_DOCS)
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad_id")) & (F.xxhash64(docs["text"]) == F.col("_bad_text")), "left_anti")
+    d = docs.withColumns({own: F.col("doc_id"), name: F.xxhash64("text")})
+    return d.join(bad, F.col(own).eqNullSafe(F.col(bad_id)) & (F.col(name) == F.col(bad_name)), "left_anti").drop(own, name)
