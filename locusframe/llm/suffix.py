@@ -17,10 +17,10 @@ side. The result is that of one suffix array over the corpus.
 
 from __future__ import annotations
 
+import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -110,22 +110,10 @@ def segments(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int
     return name, first, n, twice
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    p = np.full(n + 1, base, np.uint64)
-    p[0] = 1
-    return np.cumprod(p, dtype=np.uint64)
-
-
-def digests(buf: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each range of bytes, whatever its place, from prefix sums."""
-    inverse = pow(_BASE, -1, 1 << 64)
-    prefix = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE[buf] * _powers(inverse, len(buf))[:-1], dtype=np.uint64, out=prefix[1:])
-    h = (prefix[stop] - prefix[first]) * _powers(_BASE, len(buf))[first]
-    h += (stop - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(30))
+def digests(data: bytes, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """BLAKE2b digests (n, 2) of 128 bits of ranges of bytes."""
+    raw = b"".join([hashlib.blake2b(data[a:z], digest_size=16).digest() for a, z in zip(first.tolist(), stop.tolist(), strict=True)])
+    return np.frombuffer(raw, np.int64).reshape(-1, 2)
 
 
 def _named(length: int, places: bool):
@@ -144,8 +132,9 @@ def _named(length: int, places: bool):
                     continue
                 own = np.searchsorted(o, first, "right") - 1
                 at = ((first - o[own]) << 13) | (n << 1) | twice
-                s = digests(buf[offsets[i] : offsets[j]], first, first + n + length - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(s.view(np.int64)), pa.array(doc[i + own]), pa.array(t[i + own]), pa.array(at)], names=["h", "s", "doc", "t", "at"])
+                s = digests(buf[offsets[i] : offsets[j]].tobytes(), first, first + n + length - 1)
+                cols = (name.view(np.int64), s[:, 0], s[:, 1], doc[i + own], t[i + own], at)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=["h", "s", "s2", "doc", "t", "at"])
 
     return run
 
@@ -392,7 +381,7 @@ def _windows(length: int):
                 at = np.concatenate([np.arange(a, a + m) for a, m in zip(first.tolist(), n.tolist(), strict=True)])
                 for i in range(0, len(at), 50_000):
                     part = at[i : i + 50_000]
-                    keys = [xxhash.xxh3_128_digest(raw[a : a + length]) for a in part.tolist()]
+                    keys = [hashlib.blake2b(raw[a : a + length], digest_size=16).digest() for a in part.tolist()]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(keys, pa.binary()), pa.array(np.full(len(part), doc)), pa.array(np.full(len(part), t)), pa.array((part << 13) | (1 << 1))], schema=schema
                     )
@@ -440,17 +429,17 @@ def _remove(length: int):
 
 
 def _copies_and_firsts(occ: DataFrame, hot: bool) -> tuple[DataFrame, DataFrame]:
-    """Of segments (h, s, doc, t, at): (doc, t, at) of all but the first of equal ones, and the firsts.
+    """Of segments (h, s, s2, doc, t, at): (doc, t, at) of all but the first of equal ones, and the firsts.
 
     As ``occ`` is partitioned by name, the first of at most ``HOT`` is looked up in place,
     without a shuffle; for more, partial minima are joined back, and Spark splits the join.
     """
     place = F.struct("doc", "t", "at")
     if hot:
-        first = occ.groupBy("h", "s").agg(F.min(place).alias("least"))
-        later = occ.join(first, ["h", "s"]).where(place > F.col("least"))
+        first = occ.groupBy("h", "s", "s2").agg(F.min(place).alias("least"))
+        later = occ.join(first, ["h", "s", "s2"]).where(place > F.col("least"))
         return later.select("doc", "t", "at"), first.select("h", "least.doc", "least.t", "least.at")
-    x = occ.withColumn("least", F.min(place).over(Window.partitionBy("h", "s")))
+    x = occ.withColumn("least", F.min(place).over(Window.partitionBy("h", "s", "s2")))
     return x.where(place > F.col("least")).select("doc", "t", "at"), x.where(place == F.col("least")).select("h", "doc", "t", "at")
 
 
@@ -464,16 +453,16 @@ def repeated_places(docs: DataFrame, packed: DataFrame, length: int = LENGTH) ->
     """(doc, t, at): packed places in ``docs`` (doc, t, text) whose windows also start earlier.
 
     ``packed`` has the same texts compressed. A segment is told from others of its name
-    by a digest of its bytes, 128 bits with the name. A name's segments are compared where
+    by a BLAKE2b digest of its bytes, of 128 bits besides the name's 64. A name's segments are compared where
     the name is; those of more than ``HOT`` are not gathered, but each of their windows is
     grouped with its equals.
     """
     names = docs.select("text").mapInArrow(_named(length, False), "h long")
     often = checkpoint(names.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
-    places = docs.select("doc", "t", "text").mapInArrow(_named(length, True), "h long, s long, doc long, t long, at long")
+    places = docs.select("doc", "t", "text").mapInArrow(_named(length, True), "h long, s long, s2 long, doc long, t long, at long")
     # never null; said here, because the optimiser would say it in some branches only, and
     # exchanges that differ in a filter are not reused
-    places = places.where("h is not null and s is not null and doc is not null and t is not null and at is not null")
+    places = places.where("h is not null and s is not null and s2 is not null and doc is not null and t is not null and at is not null")
     later, first = _copies_and_firsts(places.join(often.where(F.col("n") <= HOT).select("h").hint("merge"), "h"), False)
     # bytes are gathered for names that have several segments, or one that may repeat inside
     several = first.groupBy("h").agg(F.count("*").alias("n"), F.max(F.col("at").bitwiseAND(F.lit(1))).alias("twice")).where("n > 1 or twice = 1").select("h")
@@ -498,13 +487,18 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     A byte is removed if a ``length``-byte string covers it that also starts earlier
     (smaller doc_id, or same document and earlier start). Texts are judged as UTF-8 bytes
     on the input; null texts are empty, shorter texts stay whole. Null ids order
-    first. Rows of one id are told apart and ordered by the 64-bit hash of their texts;
-    rows with equal id and text count as one document. An empty table gives no rows; other columns are not
-    read. ``kept`` need not be valid UTF-8.
+    first. Rows of an id that stands more than once are told apart and ordered by the
+    64-bit hash of their texts; rows with equal id and text count as one document. An
+    empty table gives no rows; other columns are not read. ``kept`` need not be valid
+    UTF-8.
     """
-    d = docs.select(
-        "doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.coalesce("text", F.lit("")).alias("text")
-    ).withColumn("t", F.xxhash64("text"))
+    d = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    twice = checkpoint(d.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc", F.lit(True).alias("twice")))
+    # ids that stand once need no hash, and a constant costs the shuffles nothing
+    if twice.isEmpty():
+        d = d.withColumn("t", F.lit(0).cast("long"))
+    else:
+        d = d.join(broadcast_up_to(twice, MAX_BROADCAST_NAMES), "doc", "left").withColumn("t", F.when(F.col("twice"), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))).drop("twice")
     kind = docs.schema["doc_id"].dataType.simpleString()
     packed = d.select("doc_id", "doc", "t", "text").mapInArrow(_packed, f"doc_id {kind}, doc long, t long, z binary")
     packed = packed.where("doc is not null and t is not null")  # never null; for the exchange's reuse
