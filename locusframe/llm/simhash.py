@@ -1,25 +1,27 @@
 """SimHash near-dedup with a Gray-order hierarchical index.
 
-Fingerprints are routed by pigeonhole: of ``max_bits + 1`` disjoint bit blocks two
-fingerprints within ``max_bits`` bits agree on one at least, so each is sent once per block
-to the group of its block value. A task sorts the fingerprints of its groups by Gray
-rank, so that neighbours share most bits, and builds an index bottom-up: eight neighbours
-form a node that factors out the bits all of them share (a mask and a pattern). The index
-is joined with itself from the roots down; a pair of nodes is pruned as soon as the shared
-patterns alone differ in more than ``max_bits``, and whole groups are linked at once if
-even the bits not shared cannot take them further apart. Links leave a task as a
-spanning forest, at most one per fingerprint, and connected components join them.
+Fingerprints are routed by pigeonhole: of ``b`` disjoint bit blocks two fingerprints
+within ``max_bits`` bits agree on ``b - max_bits`` at least, so each is sent once for every
+choice of so many blocks, to the group of their values. More blocks make wider keys; their
+number follows the corpus, so that groups stay small. A task sorts the fingerprints of a
+group by Gray rank, so that neighbours share most bits, and builds an index bottom-up:
+eight neighbours form a node that factors out the bits all of them share (a mask and a
+pattern). The index is joined with itself from the roots down; a pair of nodes is pruned
+as soon as the shared patterns alone differ in more than ``max_bits``, and whole groups are
+linked at once if even the bits not shared cannot take them further apart. Links leave a
+task as a spanning forest, at most one per fingerprint, and connected components join them.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import BLANKS, broadcast_up_to, checkpoint, connected_components
+from locusframe.llm.common import BLANKS, broadcast_up_to, checkpoint, connected_components, unused
 
 FAN = 8
 #: A routing group beyond so many fingerprints is dealt out as pairs of chunks.
@@ -228,23 +230,15 @@ def link_codes(codes: np.ndarray, group: np.ndarray, steps: tuple[int, ...]) ->
     return order, forest.edges
 
 
-def unlinked_pairs(codes: np.ndarray, group: np.ndarray, label: np.ndarray, most: int):
-    """Every pair (i, j) of codes of one group, but of two labels, at ``most`` bits or fewer.
+def near_pairs(codes: np.ndarray, group: np.ndarray, most: int, settled):
+    """Pairs (i, j) of codes of one group at ``most`` bits or fewer, in batches.
 
-    Nothing but an equal label prunes a pair. Yields arrays of i and of j.
+    ``settled(lo)`` says of the nodes that begin at the leaves ``lo`` which pairs
+    need not be looked into; it is asked anew for every batch, so what a caller learns
+    from one batch prunes the next. Codes have to come sorted by group.
     """
-    # codes of a label that has several in the group stand together, the others in Gray order
-    both = np.stack([group.astype(np.int64), label], 1)
-    _, at, n = np.unique(both, axis=0, return_inverse=True, return_counts=True)
-    at = at.reshape(-1)
-    keys = [gray_rank(codes[:, k]) for k in reversed(range(codes.shape[1]))]
-    order = np.lexsort((*keys, np.where(n[at] > 1, at, -1), group))
-    codes, group, label = codes[order], group[order], label[order]
     ands, ors, lo, kids, own = _index(codes, group)
-    low = [np.minimum.reduceat(label, x[:-1]) if len(label) else label for x in lo]
-    high = [np.maximum.reduceat(label, x[:-1]) if len(label) else label for x in lo]
-    roots = np.arange(len(own[-1]))
-    # roots of one group are one node, as levels grow until each group has one
+    roots = np.arange(len(own[-1]))  # levels grow until each group is one node
     stack = [(len(ands) - 1, roots, roots)]
     while stack:
         level, a, b = stack.pop()
@@ -252,126 +246,236 @@ def unlinked_pairs(codes: np.ndarray, group: np.ndarray, label: np.ndarray, most
             h = len(a) // 2
             stack += [(level, a[:h], b[:h]), (level, a[h:], b[h:])]
             continue
-        one = (low[level][a] == high[level][a]) & (low[level][b] == high[level][b]) & (low[level][a] == low[level][b])
-        a, b = a[~one], b[~one]
         m = _far((ands[level][a] & ~ors[level][b]) | (ands[level][b] & ~ors[level][a])) <= most
         a, b = a[m], b[m]
+        m = ~settled(lo[level][:-1], a, b)
+        a, b = a[m], b[m]
         if not len(a):
             continue
         if level == 0:
-            yield order[a], order[b]
+            m = a != b
+            yield a[m], b[m]
             continue
         x, y = _children(kids[level], a, b)
         if len(x):
             stack.append((level - 1, x, y))
 
 
-def _grouped(batches, n_codes: int):
-    """The rows of a task's batches: table, codes and number of the group, or None."""
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return None
-    t = pa.Table.from_batches(got)
+def _gray_sorted(t: pa.Table, n_codes: int):
+    """The rows of a task by group and Gray order: table, codes, number of the group."""
     codes = np.stack([t.column(f"w{k}").to_numpy().view(np.uint64) for k in range(n_codes)], 1)
-    # a group is a block, its value and, for large groups, a pair of chunks
+    # a group is a key, its value and, for large groups, a pair of chunks
     key = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("block", "value", "part")], 1)
-    return t, codes, np.unique(key, axis=0, return_inverse=True)[1].reshape(-1)
+    group = np.unique(key, axis=0, return_inverse=True)[1].reshape(-1)
+    order = np.lexsort((*[gray_rank(codes[:, k]) for k in reversed(range(n_codes))], group))
+    return t.take(pa.array(order)), codes[order], group[order]
+
 
+def _once(t: pa.Table, codes: np.ndarray, masks: np.ndarray):
+    """Whether a pair of rows counts where it stands: in the first key it agrees on, and in one pair of chunks."""
+    block, chunk, part = (t.column(c).to_numpy() for c in ("block", "chunk", "part"))
 
-def _linker(n_codes: int, steps: tuple[int, ...]):
-    schema = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("bits", pa.int32())])
+    def test(i, j):
+        agree = ~((codes[i] ^ codes[j])[:, None, :] & masks).any(axis=2)
+        # rows of one chunk meet in all its pairs, and count in that with itself
+        return (agree.argmax(axis=1) == block[i]) & ((chunk[i] != chunk[j]) | (part[i] == chunk[i] * (CHUNKS + 1)))
 
+    return test
+
+
+def _linker(n_codes: int, steps: tuple[int, ...], carried: tuple[str, ...]):
     def run(batches):
-        got = _grouped(batches, n_codes)
-        if got is None:
+        got = [b for b in batches if b.num_rows]
+        if not got:
             return
-        t, codes, group = got
-        node = t.column("node").to_numpy()
+        t, codes, group = _gray_sorted(pa.Table.from_batches(got), n_codes)
         order, edges = link_codes(codes, group, steps)
         if edges:
             e = np.array(edges)
-            yield pa.RecordBatch.from_arrays([pa.array(node[order[e[:, 0]]]), pa.array(node[order[e[:, 1]]]), pa.array(e[:, 2].astype(np.int32))], schema=schema)
+            src, dst = (t.select(list(carried)).take(pa.array(order[e[:, i]])) for i in (0, 1))
+            cols = [c.combine_chunks() for x in (src, dst) for c in x.columns]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(e[:, 2].astype(np.int32))], names=[*(f"s_{c}" for c in carried), *(f"d_{c}" for c in carried), "bits"])
 
     return run
 
 
-def _pairer(n_codes: int, most: int, blocks: int):
-    schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
-    masks = np.zeros((blocks, n_codes), np.uint64)
-    for block, (lo, hi) in enumerate(_bounds(n_codes, blocks)):
-        for bit in range(lo, hi):
-            masks[block, bit // 64] |= np.uint64(1 << (63 - bit % 64))
+def _marker(n_codes: int, most: int, masks: np.ndarray):
+    """The rows that are near another of their group, by the codes alone."""
 
     def run(batches):
-        got = _grouped(batches, n_codes)
-        if got is None:
+        got = [b for b in batches if b.num_rows]
+        if not got:
             return
-        t, codes, group = got
-        node, label, block = (t.column(c).to_numpy() for c in ("node", "label", "block"))
-        for i, j in unlinked_pairs(codes, group, label, most):
-            # a pair counts in the first block it agrees on
-            agree = ~((codes[i] ^ codes[j])[:, None, :] & masks).any(axis=2)
-            m = agree.argmax(axis=1) == block[i]
-            x, y = node[i[m]], node[j[m]]
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], schema=schema)
+        t, codes, group = _gray_sorted(pa.Table.from_batches(got), n_codes)
+        once, marked = _once(t, codes, masks), np.zeros(len(codes), bool)
+
+        def settled(lo, a, b):  # what is marked already learns nothing more
+            all_of = np.logical_and.reduceat(marked, lo)
+            return all_of[a] & all_of[b]
+
+        for i, j in near_pairs(codes, group, most, settled):
+            m = once(i, j)
+            marked[i[m]] = True
+            marked[j[m]] = True
+        yield from t.filter(pa.array(marked)).combine_chunks().to_batches()
+
+    return run
+
+
+def _complete_groups(batches):
+    """Tables of whole groups, from batches sorted by group, of as few rows as their ends allow."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("block", "value", "part")], 1)
+        last = int(np.flatnonzero((key != key[-1]).any(axis=1))[-1]) + 1 if (key != key[-1]).any() else 0
+        if held and not last and any(held[-1].column(c)[-1] != b.column(c)[0] for c in ("block", "value", "part")):
+            yield pa.Table.from_batches(held)
+            held = []
+        if last:
+            yield pa.Table.from_batches([*held, b.slice(0, last)])
+            held = []
+        held.append(b.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _verifier(n_codes: int, most: int, masks: np.ndarray, similarity: float):
+    """Spanning links of a group's texts of that Jaccard similarity, from codes and shingle sets."""
+    schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
+
+    def links(t, codes, group):
+        once, forest = _once(t, codes, masks), _Forest(len(codes))
+        data = t.column("hashes").combine_chunks()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in data]
+        size = np.fromiter(map(len, sets), np.int64, len(sets))
+
+        def settled(lo, a, b):  # what verified links have joined needs no other link
+            low, high = np.minimum.reduceat(forest.label, lo), np.maximum.reduceat(forest.label, lo)
+            return (low[a] == high[a]) & (low[b] == high[b]) & (low[a] == low[b])
+
+        for i, j in near_pairs(codes, group, most, settled):
+            m = once(i, j) & (np.minimum(size[i], size[j]) / np.maximum(size[i], size[j]) >= similarity)
+            i, j = i[m], j[m]
+            order = np.lexsort((_far(codes[i] ^ codes[j]), i))
+            i, j = i[order], j[order]
+            starts = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.empty(0, np.int64)
+            for a, z in zip(starts.tolist(), np.append(starts[1:], len(i)).tolist(), strict=True):
+                # one text against its candidates that are not of its component
+                p = int(i[a])
+                own = forest.find(p)
+                q = np.array([x for x in j[a:z].tolist() if forest.find(x) != own], np.int64)
+                if not len(q):
+                    continue
+                for r in range(0, len(q), 256):
+                    part = q[r : r + 256]
+                    flat = np.concatenate([sets[x] for x in part.tolist()])
+                    at = np.searchsorted(sets[p], flat)
+                    hit = np.append(sets[p], sets[p][-1:])[at] == flat
+                    both = np.add.reduceat(hit, np.cumsum(size[part]) - size[part])
+                    ok = part[both / (size[p] + size[part] - both) >= similarity]
+                    forest.link(np.full(len(ok), p), ok, np.zeros(len(ok), np.int64))
+        return forest.edges
+
+    def run(batches):
+        for t in _complete_groups(batches):
+            t, codes, group = _gray_sorted(t, n_codes)
+            if edges := links(t, codes, group):
+                e = np.array(edges)
+                node = t.column("node").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(node[e[:, 0]]), pa.array(node[e[:, 1]])], schema=schema)
 
     return run
 
 
+# ---- routing ----------------------------------------------------------------------
+
+
 def _bounds(n_codes: int, blocks: int) -> list[tuple[int, int]]:
     """The first bit of each block and the bit after its last."""
     edges = np.linspace(0, 64 * n_codes, blocks + 1).round().astype(int).tolist()
     return list(zip(edges[:-1], edges[1:], strict=True))
 
 
-def _routed(codes: DataFrame, n_codes: int, blocks: int, max_group: int) -> DataFrame:
-    """``codes`` (node, w0, ..., others) once per block, dealt out by (block, value, part).
+def exact_keys(n: int, max_bits: int, per_group: int = 2048) -> list[tuple[int, ...]]:
+    """Choices of blocks by which 64-bit codes within ``max_bits`` bits surely meet.
 
-    Groups of more than ``max_group`` codes are cut into chunks by hash and dealt out as
-    pairs of chunks, so none goes to one task whole.
+    Of ``b`` blocks any ``b - max_bits`` make a key. The fewest blocks are taken
+    whose keys deal ``n`` evenly spread codes out to groups of ``per_group`` at most: 5 keys of
+    13 bits, then 15 of 21, 35 of 27, 70 of 32 for 4 bits.
     """
-    parts = []
-    for lo, hi in _bounds(n_codes, blocks):
-        at, out = lo, None
+    b = max_bits + 1
+    while b < 2 * max_bits and n >> (64 * (b - max_bits) // b) > per_group:
+        b += 1
+    return [(b, *c) for c in combinations(range(b), b - max_bits)]
+
+
+def _value(n_codes: int, key: tuple[int, ...]):
+    """The bits of a key's blocks as one number; ``key`` is the number of blocks and those chosen."""
+    bounds = _bounds(n_codes, key[0])
+    out = None
+    for at, hi in (bounds[i] for i in key[1:]):
         while at < hi:
             k, s = divmod(at, 64)
             w = min(hi - at, 64 - s)
             v = F.shiftrightunsigned(f"w{k}", 64 - s - w).bitwiseAND(F.lit((1 << w) - 1)) if w < 64 else F.col(f"w{k}")
             out = v if out is None else F.shiftleft(out, w).bitwiseOR(v)
             at += w
-        parts.append(out)
-    x = codes.select("*", F.posexplode(F.array(*parts)).alias("block", "value")).withColumn("part", F.lit(0).cast("long"))
+    return out
+
+
+def _masks(n_codes: int, keys: list[tuple[int, ...]]) -> np.ndarray:
+    masks = np.zeros((len(keys), n_codes), np.uint64)
+    for i, key in enumerate(keys):
+        for lo, hi in (_bounds(n_codes, key[0])[x] for x in key[1:]):
+            for bit in range(lo, hi):
+                masks[i, bit // 64] |= np.uint64(1 << (63 - bit % 64))
+    return masks
+
+
+#: A hot group has fewer chunks than this; a pair (c, d) of chunks is c * CHUNKS + d.
+CHUNKS = 1_000_000
+
+
+def _routed(codes: DataFrame, n_codes: int, keys: list[tuple[int, ...]], max_group: int) -> DataFrame:
+    """``codes`` (node, w0, ..., others) once per key, with block, value, part and chunk.
+
+    Groups of more than ``max_group`` codes are cut into chunks by hash and dealt out as
+    pairs of chunks, so none goes to one task whole.
+    """
+    parts = [_value(n_codes, k) for k in keys]
+    x = codes.select("*", F.posexplode(F.array(*parts)).alias("block", "value"))
     sizes = codes.select(F.posexplode(F.array(*parts)).alias("block", "value")).groupBy("block", "value").count()
     hot = checkpoint(sizes.where(F.col("count") > max_group))
-    if not hot.isEmpty():
-        hot = hot.select("block", "value", F.ceil(F.col("count") / max_group).cast("int").alias("chunks"))
-        x = x.drop("part").join(hot, ["block", "value"], "left")
-        c = F.pmod(F.xxhash64("node"), F.coalesce("chunks", F.lit(1))).cast("int")
-        # chunk c takes part in the pairs (c, j) for all j; a pair has one number
-        pairs = F.transform(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1), lambda j: (F.least(c, j).cast("long") * 1_000_000 + F.greatest(c, j)))
-        x = x.withColumn("part", F.explode(pairs)).drop("chunks")
-    n = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return x.repartition(n, "block", "value", "part").select(*codes.columns, "block", "value", "part")
-
-
-def hamming_links(codes: DataFrame, n_codes: int, steps: tuple[int, ...], blocks: int, max_group: int = MAX_GROUP) -> DataFrame:
-    """(src, dst, bits): spanning links among the rows (node, w0, ...) of distinct codes.
-
-    Complete for pairs that agree on one of ``blocks`` bit blocks, which are all pairs of
-    fewer than ``blocks`` bits apart.
-    """
-    x = _routed(codes.select("node", *(f"w{k}" for k in range(n_codes))), n_codes, blocks, max_group)
-    return x.mapInArrow(_linker(n_codes, steps), "src long, dst long, bits int")
+    if hot.isEmpty():
+        return x.withColumn("chunk", F.lit(0).cast("long")).withColumn("part", F.lit(0).cast("long"))
+    hot = hot.select("block", "value", F.ceil(F.col("count") / max_group).cast("int").alias("chunks"))
+    x = x.join(broadcast_up_to(hot, MAX_BROADCAST_TEXTS), ["block", "value"], "left")
+    c = F.pmod(F.xxhash64("node"), F.coalesce("chunks", F.lit(1)))
+    x = x.withColumn("chunk", c)
+    # chunk c takes part in the pairs (c, d) for all d; a pair has one number
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1), lambda d: F.least("chunk", d.cast("long")) * CHUNKS + F.greatest("chunk", d.cast("long"))
+    )
+    return x.withColumn("part", F.explode(pairs)).select(*codes.columns, "block", "value", "chunk", "part")
+
+
+def _dealt(x: DataFrame) -> DataFrame:
+    n = int(x.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return x.repartition(n, "block", "value", "part")
 
 
-def hamming_pairs(codes: DataFrame, n_codes: int, most: int, blocks: int, max_group: int = MAX_GROUP) -> DataFrame:
-    """(src, dst): every pair of rows (node, w0, ..., label) of two labels, at ``most`` bits or fewer.
+def hamming_links(codes: DataFrame, max_bits: int, keys: list[tuple[int, ...]], max_group: int = MAX_GROUP) -> DataFrame:
+    """Spanning links at ``max_bits`` or fewer bits among rows (node, w0, others) of distinct codes.
 
-    Complete for pairs that agree on one of ``blocks`` bit blocks. Codes need not be distinct.
+    Every column but w0 comes twice, as s_... and d_..., beside ``bits``. Complete for
+    pairs that agree on one of ``keys``.
     """
-    x = _routed(codes.select("node", *(f"w{k}" for k in range(n_codes)), "label"), n_codes, blocks, max_group)
-    return x.mapInArrow(_pairer(n_codes, most, blocks), "src long, dst long").distinct()  # pairs of one chunk meet several times
+    carried = tuple(c for c in codes.columns if c != "w0")
+    x = _dealt(_routed(codes, 1, keys, max_group))
+    kinds = [f"{side}_{c} {codes.schema[c].dataType.simpleString()}" for side in "sd" for c in carried]
+    return x.mapInArrow(_linker(1, (max_bits,), carried), ", ".join([*kinds, "bits int"]))
 
 
 # ---- operators --------------------------------------------------------------------
@@ -388,33 +492,26 @@ def near_groups(docs: DataFrame, width: int = 4, max_bits: int = 4) -> DataFrame
     empty table gives no rows; other columns are not read.
     """
     f = checkpoint(fingerprints(docs, width))
-    nodes = f.groupBy(F.col("w0").alias("w0")).agg(F.min("doc_id").alias("least")).select(F.col("w0").alias("node"), "w0", "least")
-    links = checkpoint(hamming_links(nodes.select("node", "w0"), 1, (max_bits,), max_bits + 1).select("src", "dst"))
-    roots = connected_components(links)
-    degree = links.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    comp = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(comp, "root").join(degree, "node", "left").select(F.col("node").alias("w0"), "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    nodes = checkpoint(f.groupBy(F.col("w0").alias("w0")).agg(F.min("doc_id").alias("least")).select(F.col("w0").alias("node"), "w0", "least", F.col("least").isNull().alias("none")))
+    links = checkpoint(hamming_links(nodes, max_bits, exact_keys(nodes.count(), max_bits)))
+    # fingerprints go by their least id, so that the root of a component names it
+    end = lambda s: F.struct(F.col(f"{s}_none").alias("none"), F.col(f"{s}_least").alias("least"), F.col(f"{s}_node").alias("node"))
+    roots = connected_components(links.select(end("s").alias("src"), end("d").alias("dst"))).select(F.col("node.node").alias("node"), F.col("root.least").alias("component_id"), F.lit(True).alias("linked"))
+    degree = links.select(F.explode(F.array("s_node", "d_node")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    named = nodes.join(roots, "node", "left").join(degree, "node", "left")
+    named = named.select("w0", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     return f.join(named, "w0").select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
-#: For documents by similarity: four words of fingerprint, routed by 20 blocks of them;
-#: at a similarity of 0.8, about 39 of 256 bits differ (standard deviation 6).
-CODES, BLOCKS, STEPS = 4, 20, (4, 12, 24, 40, 60)
+#: For documents by similarity: four words of fingerprint, routed by blocks of them; at
+#: a similarity of 0.8, about 39 of 256 bits differ (standard deviation 6).
+CODES, BLOCKS, MOST = 4, 22, 60
+#: Of texts' shingle sets, a task holds a pair of chunks of so many at most.
+MAX_TEXTS = 2048
 #: Rows up to which the table of texts in links is broadcast.
 MAX_BROADCAST_TEXTS = 1_000_000
 
 
-def _jaccard(batches):
-    for b in batches:
-        out = np.zeros(b.num_rows)
-        for i, (x, y) in enumerate(zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)):
-            p, q = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            out[i] = both / max(1, len(p) + len(q) - both)  # texts without words are grouped elsewhere
-        yield pa.RecordBatch.from_arrays([b.column("src"), b.column("dst"), pa.array(out)], names=["src", "dst", "similarity"])
-
-
 def _shingle_sets(width: int):
     def run(batches):
         for b in batches:
@@ -424,58 +521,66 @@ def _shingle_sets(width: int):
     return run
 
 
-def _verified(links: DataFrame, t: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The links (src, dst) whose texts ``t`` (node, text) have that Jaccard similarity."""
-    wanted = broadcast_up_to(links.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), MAX_BROADCAST_TEXTS)
-    texts = t.join(wanted, "node", "left_semi").mapInArrow(_shingle_sets(width), "node long, hashes binary").dropDuplicates(["node"])
-    a, b = (texts.select(F.col("node").alias(k), F.col("hashes").alias(v)) for k, v in (("src", "x"), ("dst", "y")))
-    checked = links.join(a, "src").join(b, "dst").select("src", "dst", "x", "y").mapInArrow(_jaccard, "src long, dst long, similarity double")
-    return checkpoint(checked.where(F.col("similarity") >= similarity).select("src", "dst"))
-
-
-def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(node, root): texts, named by hash, that near-copies link, and their group.
+def similar_texts(texts: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(src, dst): verified links that span the groups of near-copies among ``texts`` (text).
 
-    Candidates are texts whose 256-bit SimHash fingerprints are near (routed by 20 blocks,
-    so two texts of similarity 0.9 meet with probability 0.99, of 0.8 with 0.9); each is
-    verified by the Jaccard similarity of the whole ``width``-word shingle sets. The links
-    of a spanning forest go first, which join most copies; then every candidate whose ends
-    verified links have not joined yet, as a link of the forest that fails may have hidden
-    it. Texts in no link, or without words, are not listed.
+    Texts go by the 64-bit hash of the whole text. Candidates have 256-bit SimHash fingerprints of 60 bits
+    or fewer apart that agree on one of 22 blocks (so two texts of similarity 0.9 meet with
+    probability over 0.99, of 0.8 with 0.97). A first pass over the fingerprints marks
+    the rows that have a candidate, at most one per row and block; only those get their
+    shingle sets, and a second pass verifies each candidate by the Jaccard similarity
+    of whole ``width``-word shingle sets, where its ends are not joined by verified links
+    yet. No pair is ever written; links are spanning edges, all of them verified. Null texts and
+    texts without words are left out, equal texts are one, an empty table gives no rows.
     """
-    t = docs.where(F.length(F.translate("text", BLANKS, "")) > 0).select(F.xxhash64("text").alias("node"), "text")
-    codes = checkpoint(fingerprints(t, width, CODES, ("node",)).groupBy("node").agg(*[F.first(f"w{k}").alias(f"w{k}") for k in range(CODES)]))
+    t = texts.where(F.length(F.translate("text", BLANKS, "")) > 0).select(F.xxhash64("text").alias("node"), "text")
     words = [f"w{k}" for k in range(CODES)]
-    # texts with equal fingerprints meet in a star around the least, and one stands for all
-    star = codes.groupBy(*words).agg(F.min("node").alias("rep"))
-    same = codes.join(star, words).where("node <> rep").select(F.col("rep").alias("src"), F.col("node").alias("dst"))
-    near = hamming_links(star.select(F.col("rep").alias("node"), *words), CODES, STEPS, BLOCKS).select("src", "dst")
-    sure = _verified(checkpoint(near.unionByName(same).distinct()), t, width, similarity)
-    # now each text stands for itself
-    labelled = codes.join(connected_components(sure), "node", "left").withColumn("label", F.coalesce("root", "node"))
-    rest = checkpoint(hamming_pairs(labelled, CODES, STEPS[-1], BLOCKS))
-    return connected_components(sure.unionByName(_verified(rest, t, width, similarity)))
-
-
-def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    codes = checkpoint(fingerprints(t, width, CODES, ("node",)).groupBy("node").agg(*[F.first(w).alias(w) for w in words]))
+    keys = [(BLOCKS, i) for i in range(BLOCKS)]
+    masks = _masks(CODES, keys)
+    x = _dealt(_routed(codes, CODES, keys, MAX_TEXTS))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in x.schema)
+    near = checkpoint(x.mapInArrow(_marker(CODES, MOST, masks), kinds))
+    wanted = broadcast_up_to(near.select("node").distinct(), MAX_BROADCAST_TEXTS)
+    sets = t.join(wanted, "node", "left_semi").mapInArrow(_shingle_sets(width), "node long, hashes binary").dropDuplicates(["node"])
+    both = _dealt(near.join(sets, "node")).sortWithinPartitions("block", "value", "part")
+    return checkpoint(both.mapInArrow(_verifier(CODES, MOST, masks, similarity), "src long, dst long"))
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, originals: DataFrame | None = None) -> DataFrame:
     """One row, all columns, of each group of near-copies: that with the least doc_id.
 
     Groups are the components of texts whose ``width``-word shingle sets are similar;
     equal texts are near-copies, texts without words (null, empty) of each other.
-    Ties on doc_id, and null ids, which come last, go by the text's hash; of rows equal
-    in both one stays. An empty table gives an empty result.
+    ``originals`` (doc_id, text) may tell how documents read before lines were cut from
+    them: a document whose text there is another is then also judged by that text, so
+    that what a cut left of a near-copy goes with it. Ids that are null or repeated in either table
+    have no original. Ties on doc_id, and null ids, which come last, go by the text's
+    hash; of rows equal in both one stays. An empty table gives an empty result.
     """
-    roots = similar_texts(docs, width, similarity).select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    id_, node, own, original = unused(docs, "_id", "_node", "_own", "_original")
     blank = F.length(F.translate("text", BLANKS, "")) > 0
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("_node"), F.xxhash64(F.when(blank, F.col("text"))).alias("_own"))
-    keyed = checkpoint(keyed.groupBy("doc_id", "_node", "_own").agg(F.count("*").alias("_n")))
-    grouped = keyed.join(roots, "_node", "left").withColumn("_root", F.coalesce("_root", "_own"))
-    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("_node").alias("c"))
-    best = grouped.groupBy("_root").agg(F.min(order).alias("_best"))
-    gone = grouped.join(best, "_root").where(order != F.col("_best")).select(F.col("doc_id").alias("_id"), F.col("_node").alias("_name"))
+    keyed = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("node"), F.xxhash64(F.when(blank, F.col("text"))).alias("own"))
+    keyed = checkpoint(keyed.groupBy("id", "node", "own").agg(F.count("*").alias("n")))
+    texts, more = docs.select("text"), None
+    if originals is not None:
+        was = originals.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("was")).groupBy("id").agg(F.min("was").alias("was"), F.count("*").alias("m")).where("m = 1")
+        is_ = keyed.groupBy("id").agg(F.min("node").alias("node"), F.sum("n").alias("m")).where("m = 1")
+        more = checkpoint(is_.join(was.drop("m"), "id").where("node <> was").select("id", "node", "was"))
+        cut = broadcast_up_to(more.select("was").distinct(), MAX_BROADCAST_TEXTS)
+        old = originals.select("text", F.xxhash64("text").alias("was")).join(cut, "was", "left_semi")
+        texts = texts.unionByName(old.select("text"))
+    links = similar_texts(texts, width, similarity)
+    if more is not None:  # a cut document is one with its original
+        links = links.unionByName(more.select(F.col("node").alias("src"), F.col("was").alias("dst")))
+    roots = connected_components(links).select("node", "root")
+    grouped = keyed.join(roots, "node", "left").withColumn("root", F.when(F.col("own") == F.xxhash64(F.lit(None).cast("string")), F.col("own")).otherwise(F.coalesce("root", "own")))
+    order = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("node").alias("c"))
+    first = grouped.groupBy("root").agg(F.min(order).alias("best"))
+    gone = grouped.join(first, "root").where(order != F.col("best")).select(F.col("id").alias(id_), F.col("node").alias(own))
     gone = broadcast_up_to(checkpoint(gone), MAX_BROADCAST_TEXTS)
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_name")), "left_anti")
-    if keyed.where("_n > 1").isEmpty():
-        return kept
-    own = "_" + max(docs.columns, key=len)
-    return kept.withColumn(own, F.xxhash64("text")).dropDuplicates(["doc_id", own]).drop(own)
+    named = docs.withColumns({node: F.xxhash64("text"), original: F.col("doc_id")})
+    kept = named.join(gone, F.col(original).eqNullSafe(F.col(id_)) & (F.col(node) == F.col(own)), "left_anti").drop(original)
+    if not keyed.where("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", node])
+    return kept.drop(node)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,8 +12,9 @@ import pytest
 import xxhash
 from locusframe.llm import chat, common, decontam, licenses, lines, mixing, quality_knn, rules, simhash, suffix, urls
 from locusframe.llm import queries as q
+from pyspark.sql import functions as F
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, h string, _text string, n_removed_lines int"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, h string, _text string, n_removed_lines int, _id int, _name int, _bad_id int, _ int, _node string, ID_ int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SF = "/root/testdata/sf0.001"
 
@@ -22,7 +24,7 @@ def docs(spark, texts, ids=None, sources=None):
     n = len(texts)
     ids = list(range(n)) if ids is None else ids
     sources = [f"s{i % 3}" for i in range(n)] if sources is None else sources
-    rows = [(ids[i], t, None, sources[i], None if t is None else len(t), i, "x", "y", 9) for i, t in enumerate(texts)]
+    rows = [(ids[i], t, None, sources[i], None if t is None else len(t), i, "x", "y", 9, i, i, i, i, "z", i) for i, t in enumerate(texts)]
     return spark.createDataFrame(rows, DOCS)
 
 
@@ -68,6 +70,14 @@ def test_chat_round_trip_with_hostile_texts(spark):
     assert chat.digests(chat.format_conversations(df.limit(0))).count() == 0
 
 
+def test_escaped_texts_hold_no_control_string():
+    r = random.Random(3)
+    for _ in range(3000):
+        t = "".join(r.choice(["#", "<", "turn", "/", "\\", "n", "</turn>", "\n", "a"]) for _ in range(r.randint(0, 12)))
+        for f in (chat.escape, chat.escape_line):
+            assert chat.unescape(f(t)) == t and not any(c in f(t) for c in chat.CONTROL)
+
+
 def test_template_language():
     f = chat.compile_template("{% for t in turns %}{% if loop.first and not loop.last %}[{% elif t.x == 'b' %}b{% else %}{{ 'q' + t.x | upper }}{% endif %}{% endfor %}{{ 1 + 2 }}")
     assert f({"turns": [{"x": "a"}, {"x": "b"}, {"x": "c"}]}) == ("[bqC3", [])
@@ -75,7 +85,8 @@ def test_template_language():
     assert tree == (chat.Emit(chat.Const("abcde")),)
     assert chat.compile_template("{{ x.__class__ }}{{ y }}")({"x": "s"}) == ("", [])
     assert chat.compile_template("a{% generation %}{{ x }}{% endgeneration %}b")({"x": "é😀"}) == ("aé😀b", [(1, 3)])
-    for bad in ("{% if x %}", "{{ x() }}", "{{ x | nope }}", "{% include 'x' %}", "{{ x[0] }}", "{{ }}", "{% endfor %}"):
+    assert chat.compile_template("{{ 'a}}b' }}{% if x == '%}' %}1{% endif %}")({"x": "%}"}) == ("a}}b1", [])
+    for bad in ("{{ x", "a {% if", "{% if a %}{% else %}{% elif b %}{% endif %}", "{% if a %}{% else %}{% else %}{% endif %}", "{% if x %}", "{{ x() }}", "{{ x | nope }}", "{% include 'x' %}", "{{ x[0] }}", "{{ }}", "{% endfor %}"):
         with pytest.raises(chat.TemplateError):
             chat.parse(bad)
 
@@ -130,11 +141,23 @@ def test_hamming_links_in_chunks(spark):
     codes = np.unique(base[rng.integers(0, 5, 400)] ^ (1 << rng.integers(0, 20, 400)) ^ (1 << rng.integers(0, 62, 400)) ^ (1 << rng.integers(0, 62, 400))).tolist()
     df = spark.createDataFrame([(i, c) for i, c in enumerate(codes)], "node long, w0 long")
     want = brute_components(codes, lambda a, b: (a ^ b).bit_count() <= 4)
-    for most in (8192, 20):
-        roots = {r.node: r.root for r in common.connected_components(simhash.hamming_links(df, 1, (4,), 5, most)).collect()}
+    for most, keys in ((8192, simhash.exact_keys(len(codes), 4)), (20, simhash.exact_keys(len(codes), 4)), (8192, simhash.exact_keys(10**10, 4)), (8192, simhash.exact_keys(10**15, 4))):
+        links = simhash.hamming_links(df, 4, keys, most).select(F.col("s_node").alias("src"), F.col("d_node").alias("dst"))
+        roots = {r.node: r.root for r in common.connected_components(links).collect()}
         assert [roots.get(i, i) for i in range(len(codes))] == want
 
 
+def test_keys_grow_with_the_corpus():
+    assert [len(simhash.exact_keys(n, 4)) for n in (10, 10**6, 10**8, 10**10, 10**12)] == [5, 5, 15, 35, 70]
+    r = random.Random(1)
+    for n in (10, 10**8, 10**10, 10**12):
+        keys = simhash.exact_keys(n, 4)
+        masks = [int(m[0]) for m in simhash._masks(1, keys)]
+        for _ in range(200):
+            x = sum(1 << b for b in r.sample(range(64), 4))
+            assert any(x & m == 0 for m in masks)
+
+
 def test_near_duplicates_one_stays(spark):
     r = random.Random(5)
     vocab = [f"w{i}" for i in range(500)]
@@ -148,7 +171,7 @@ def test_near_duplicates_one_stays(spark):
             group.append(g)
     texts += ["", None, " ", texts[0]]
     sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
-    comp = brute_components(sets, lambda a, b: (not a and not b) or (len(a & b) >= 0.8 * len(a | b) > 0))
+    comp = brute_components(sets, lambda a, b: (not a and not b) or len(a & b) / max(1, len(a | b)) >= 0.8)
     kept = [x.doc_id for x in simhash.drop_near_duplicates(docs(spark, texts)).collect()]
     assert sorted(kept) == sorted({c: min(i for i, k in enumerate(comp) if k == c) for c in set(comp)}.values())
     twice = simhash.drop_near_duplicates(docs(spark, ["a b", "a b", "c", None], [1, 1, None, None]))
@@ -156,7 +179,7 @@ def test_near_duplicates_one_stays(spark):
     assert twice.columns == docs(spark, ["a"]).columns and simhash.drop_near_duplicates(docs(spark, ["a"]).limit(0)).count() == 0
 
 
-def test_near_duplicates_families_astride_the_threshold(spark):
+def test_near_duplicates_families_astride_the_threshold(spark, monkeypatch):
     r = random.Random(11)
     texts = []
     for _ in range(6):  # pairs of a family are now above, now below a similarity of 0.8
@@ -177,23 +200,41 @@ def test_near_duplicates_families_astride_the_threshold(spark):
 
     def near(i, j):
         x = format(prints[i] ^ prints[j], f"0{64 * simhash.CODES}b")
-        met = x.count("1") <= simhash.STEPS[-1] and any("1" not in x[a:z] for a, z in zip(edges[:-1], edges[1:], strict=True))
-        return met and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+        met = x.count("1") <= simhash.MOST and any("1" not in x[a:z] for a, z in zip(edges[:-1], edges[1:], strict=True))
+        return met and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8
 
     comp = brute_components(list(range(len(texts))), near)
-    kept = [x.doc_id for x in simhash.drop_near_duplicates(docs(spark, texts)).collect()]
-    assert sorted(kept) == sorted({c: min(i for i, k in enumerate(comp) if k == c) for c in set(comp)}.values())
-
-
-def test_unlinked_pairs_are_all_pairs(spark):
-    r = np.random.default_rng(8)
-    base = r.integers(0, 2**62, 4)
-    codes = base[r.integers(0, 4, 300)] ^ (1 << r.integers(0, 62, 300)) ^ (1 << r.integers(0, 62, 300))
-    label = r.integers(0, 12, 300)
-    df = spark.createDataFrame([(i, int(c), int(k)) for i, (c, k) in enumerate(zip(codes, label, strict=True))], "node long, w0 long, label long")
-    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if label[i] != label[j] and int(codes[i] ^ codes[j]).bit_count() <= 4}
-    for most in (8192, 20):
-        assert sorted(tuple(x) for x in simhash.hamming_pairs(df, 1, 4, 5, most).collect()) == sorted(want)
+    for most in (simhash.MAX_TEXTS, 10):  # groups whole, and in pairs of chunks
+        monkeypatch.setattr(simhash, "MAX_TEXTS", most)
+        kept = [x.doc_id for x in simhash.drop_near_duplicates(docs(spark, texts)).collect()]
+        assert sorted(kept) == sorted({c: min(i for i, k in enumerate(comp) if k == c) for c in set(comp)}.values())
+
+
+def test_recall_at_the_threshold(spark):
+    r = random.Random(17)
+    pairs = []
+    while len(pairs) < 400:  # texts of any length, at a similarity of 0.8 to 0.85
+        n = r.randint(60, 400)
+        a = [f"w{r.randrange(5000)}" for _ in range(n)]
+        b = list(a)
+        for k in r.sample(range(n), max(1, n // 45)):
+            b[k] = f"v{r.randrange(5000)}"
+        x, y = (set(simhash.shingle_hashes(" ".join(w), 5).tolist()) for w in (a, b))
+        if 0.8 <= len(x & y) / len(x | y) <= 0.85:
+            pairs.append((" ".join(a), " ".join(b)))
+    kept = simhash.drop_near_duplicates(docs(spark, [t for p in pairs for t in p])).select("doc_id").collect()
+    assert 2 * len(pairs) - len(kept) >= 0.9 * len(pairs)
+
+
+def test_near_duplicates_by_their_originals(spark):
+    words = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    whole, cut = words("a", 200), words("a", 190) + " " + words("b", 10)
+    was = docs(spark, [whole, cut, words("c", 50), "x y", "x z"], [1, 2, 3, 4, 4])
+    now = docs(spark, [whole, words("b", 10), words("c", 50), words("d", 10), None], [1, 2, 3, 5, None])
+    assert sorted(x.doc_id or 0 for x in simhash.drop_near_duplicates(now).collect()) == [0, 1, 2, 3, 5]
+    assert sorted(x.doc_id or 0 for x in simhash.drop_near_duplicates(now, originals=was).collect()) == [0, 1, 3, 5]
+    assert simhash.drop_near_duplicates(now.limit(0), originals=was).count() == 0
+    assert simhash.drop_near_duplicates(now, originals=was.limit(0)).count() == 5
 
 
 def test_components(spark):
@@ -261,6 +302,25 @@ def test_licenses(spark):
     assert licenses.scan(docs(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_licenses_wrapped_titled_and_respelt(spark):
+    known = licenses.known_texts()
+    wrap = lambda t, w: "\n\n".join(textwrap.fill(p, w) for p in t.split("\n\n"))
+    cases = [
+        ("ISC License\n\nCopyright 2019 A. Person\n\n" + wrap(known["ISC"], 72), "ISC"),
+        ("The MIT License (MIT)\n\nCopyright © 2021 B\n\n" + wrap(known["MIT"], 50), "MIT"),
+        (known["MIT"].replace("sublicense", "sub-licence").replace("Software", "SOFTWARE"), "MIT"),
+        (known["Apache-2.0"].replace("License", "Licence").replace("\n", "\r\n"), "Apache-2.0"),
+        (known["GPL-3.0"].upper(), "GPL-3.0"), (known["MPL-2.0"], "MPL-2.0"), (known["CC0-1.0"] + "\n\n\n", "CC0-1.0"),
+        (known["MIT"].replace("NOT LIMITED", "LIMITED"), None), (known["GPL-3.0"][:-40], None),
+    ]
+    rows = [(None if i == 1 else 7, t) for i, (t, _) in enumerate(cases)] * 2  # null and repeated ids
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(r.license for r in got) == Counter([x for _, x in cases] * 2)
+    words = lambda t: spark.createDataFrame([(t,)], "t string").select(licenses.canonical(F.col("t"))).first()[0]
+    assert words("Fulfil, fulfill licence LICENCE") == "fulfill fulfill license license"
+    assert words("copyright notice and this\n(c) You must\nCopyright (c) X\n© 2020 me\nCopyright [yyyy] [name]") == "copyright notice and this c you must"
+
+
 # ---- 5 quality votes
 
 
@@ -310,6 +370,9 @@ def test_urls(spark):
         (8, "b.com", "/de/1://c", "com/de/", "block"), (9, "x.com", "", None, "allow"), (9, "x.com", "", None, "allow"),
     ]
     assert urls.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+    listed = spark.createDataFrame([("b.com",), (None,), ("b.com",)], "key string")
+    odd = spark.createDataFrame([(None, "x://A.B.com"), (None, None), (1, "x://notb.com"), (1, "x://notb.com")], "page_id long, url string")
+    assert sorted(r.verdict for r in urls.judge_urls(odd, listed).collect()) == ["allow", "allow", "allow", "block"]
 
 
 def test_cascade_is_exact(spark):
@@ -320,6 +383,8 @@ def test_cascade_is_exact(spark):
     assert sorted(int(r.key) for r in keys.where(c.has(keys["key"])).collect()) == list(range(4900, 5000))
     assert keys.where(urls.Cascade(keys, listed.limit(0)).has(keys["key"])).isEmpty()
     assert keys.where(urls.Cascade(keys, keys).has(keys["key"])).count() == 5000
+    dealt = urls.Cascade(keys, listed, 1000)  # a list too long for one level
+    assert dealt.parts and sorted(int(r.key) for r in keys.where(dealt.has(keys["key"])).collect()) == list(range(4900, 5000))
 
 
 # ---- 7 decontamination
@@ -449,6 +514,18 @@ def test_substring_dedup_many_rows_of_one_id(spark):
     assert sum((kept - Counter(t.encode() for t in texts)).values()) == 0
 
 
+def test_substring_dedup_compares_bytes(spark):
+    # Thue-Morse sequences of blocks collide under any polynomial hash modulo 2^64
+    r = random.Random(9)
+    word = lambda n: "".join(r.choice("abcdefghij") for _ in range(n))
+    a, b, head = word(32), word(32), word(60)
+    bits = [i.bit_count() & 1 for i in range(64)]
+    texts = [head + "".join((a, b)[x] for x in bits), head + "".join((b, a)[x] for x in bits)]
+    got = {x.doc_id: x for x in suffix.dedup_substrings(docs(spark, texts)).collect()}
+    for i, (n, cut, runs, kept) in enumerate(brute_bytes(texts)):
+        assert (got[i].n_bytes, got[i].n_removed, len(got[i].spans), bytes(got[i].kept)) == (n, cut, runs, kept), i
+
+
 def test_suffix_array():
     rng = np.random.default_rng(0)
     for k in (1, 2, 3, 250):
@@ -494,6 +571,16 @@ def test_mixing(spark):
     assert sorted((x.doc_id, x.taken) for x in again) == sorted((x.doc_id, x.taken) for x in got)
 
 
+def test_mixing_cuts_groups_of_equal_rows(spark):
+    for n, size in ((100, 10), (7, 3)):
+        d = docs(spark, ["w " * size] * n + ["x y"] * 4, [1] * n + [2, 3, 4, 5], ["a"] * n + ["b"] * 4).repartition(3)
+        rows = mixing.mix(d).collect()
+        for s in "ab":
+            assert abs(sum(r.taken for r in rows if r.source == s) - next(r.target for r in rows if r.source == s)) <= max(size, 2) / 2 + 1e-6
+        again = mixing.mix(d.repartition(5)).collect()
+        assert Counter((r.doc_id, r.taken) for r in rows) == Counter((r.doc_id, r.taken) for r in again)
+
+
 def test_mixing_edges(spark):
     assert mixing.mix(docs(spark, ["a"]).limit(0)).count() == 0
     assert [x.taken for x in mixing.mix(docs(spark, [None, ""])).collect()] == [0, 0]
