@@ -358,9 +358,11 @@ def _verifier(n_codes: int, most: int, masks: np.ndarray, similarity: float):
         for i, j in near_pairs(codes, group, most, settled):
             m = once(i, j) & (np.minimum(size[i], size[j]) / np.maximum(size[i], size[j]) >= similarity)
             i, j = i[m], j[m]
+            if not len(i):
+                continue
             order = np.lexsort((_far(codes[i] ^ codes[j]), i))
             i, j = i[order], j[order]
-            starts = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.empty(0, np.int64)
+            starts = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
             for a, z in zip(starts.tolist(), np.append(starts[1:], len(i)).tolist(), strict=True):
                 # one text against its candidates that are not of its component
                 p = int(i[a])
