@@ -167,6 +167,7 @@ def repeated_runs(docs: DataFrame, min_words: int = 20) -> DataFrame:
         return docs.sparkSession.createDataFrame([], "doc long, t long, first int, last int")
     # the first of each interval; partial minima keep a passage that many documents share small
     least = runs.groupBy("n", "a", "z").agg(F.min(F.struct("doc", "t", "first")).alias("least"), F.count("*").alias("c")).where("c > 1").drop("c")
+    least = checkpoint(least)  # Spark splits a skewed join only right above its exchanges
     return runs.join(least, ["n", "a", "z"]).where(F.struct("doc", "t", "first") > F.col("least")).select("doc", "t", "first", "last")
 
 
