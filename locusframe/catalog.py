@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from locusframe.fixtures import GENO_SQL, geno_view, table
 from locusframe.functions import bases as B
-from locusframe.operators import coding, diversity, fourpop, intervals, ld, merge, pairs, sites, spectra, summary, windows
+from locusframe.operators import coding, convert, diversity, fourpop, intervals, ld, merge, pairs, sites, spectra, summary, windows
 from locusframe.plans import analyses
 from locusframe.streaming.windows import windowed_values
 
@@ -186,7 +186,7 @@ SELECT scaffold, position FROM t WHERE keep"""
 
 @query(_THIN.format(g=G))
 def thin_sites(g, *_):
-    return sites.thin_sites_fast(g.select(*SITE).distinct(), 200)
+    return sites.thin_sites(g.select(*SITE).distinct(), 200)
 
 
 @query(sql("gt", "SELECT scaffold, position, sample, CASE WHEN a0 = a1 THEN a0 END AS forced FROM gt"))
@@ -194,10 +194,12 @@ def force_ploidy(g, *_):
     return sites.genotypes(g).select(*SITE, "sample", F.get(B.force_ploidy(F.col("alleles"), 1), F.lit(0)).alias("forced"))
 
 
-@query(sql("g", "SELECT scaffold, position, sample, allele FROM g WHERE hap = 0"))
+@query(sql("g", "SELECT scaffold, position // 500 AS position, min_by(sample, o) AS sample, min_by(allele, o) AS allele FROM (SELECT *, position * 1000 + sample * 2 + hap AS o FROM g WHERE allele IS NOT NULL) GROUP BY 1, 2"))
 def dedup_sites(g, *_):
-    first = g.groupBy(*SITE, "sample").agg(F.min_by(F.struct("allele"), "hap").alias("x"))
-    return first.select(*SITE, "sample", "x.allele")
+    # coarse positions, so that each site is there many times
+    o = F.col("position") * 1000 + F.col("sample") * 2 + F.col("hap")
+    rows = g.where("allele is not null").select("scaffold", F.floor(F.col("position") / 500).alias("position"), "sample", "allele", o.alias("o"))
+    return merge.dedup_sites(rows, "o").drop("o")
 
 
 # ---- VCF semantics on rows derived from the fixture --------------------------------
@@ -262,11 +264,12 @@ def expand_multi(g, *_):
 
 # ---- joins --------------------------------------------------------------------------
 
-_GT1 = "SELECT scaffold, position, CAST(coalesce(a0, 9) * 10 + coalesce(a1, 9) AS VARCHAR) AS gt FROM gt WHERE sample = 1"
+_GT1 = "SELECT scaffold, position, string_agg(CAST(coalesce(a0, 9) * 10 + coalesce(a1, 9) AS VARCHAR), ' ' ORDER BY sample) AS gt FROM gt GROUP BY 1, 2"
 
 
 def _three(g):
-    x = sites.genotypes(g.where("sample = 1")).select(*SITE, (F.coalesce(F.get("alleles", F.lit(0)), F.lit(9)) * 10 + F.coalesce(F.get("alleles", F.lit(1)), F.lit(9))).cast("string").alias("gt"))
+    x = sites.genotypes(g).select(*SITE, "sample", (F.coalesce(F.get("alleles", F.lit(0)), F.lit(9)) * 10 + F.coalesce(F.get("alleles", F.lit(1)), F.lit(9))).cast("string").alias("gt"))
+    x = x.groupBy(*SITE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sample", "gt"))), lambda v: v["gt"]), " ").alias("gt"))
     p = F.col("position")
     return x.where(p % 2 == 0), x.where(p % 3 == 0), x.where(p % 5 != 0)
 
@@ -322,7 +325,13 @@ def interval_point(g, spark, sf_dir):
 
 
 _IV = 'SELECT o_orderkey AS id, \'c\' || CAST(o_custkey % 3 AS VARCHAR) AS chrom, (o_orderkey * 13) % 5000 AS start, (o_orderkey * 13) % 5000 + o_custkey % 60 AS "end" FROM orders'
-_IV_A, _IV_B = f"SELECT * FROM ({_IV}) WHERE id % 7 = 0", f"SELECT * FROM ({_IV}) WHERE id % 5 = 1"
+#: All orders, spread so that an interval meets a few others whatever the number of rows.
+_IV2 = 'SELECT o_orderkey AS id, \'c\' || CAST(o_custkey % 3 AS VARCHAR) AS chrom, o_orderkey * 7 AS start, o_orderkey * 7 + o_custkey % 60 AS "end" FROM orders'
+
+
+def _iv2(spark, sf_dir):
+    o, s = table(spark, sf_dir, "orders"), F.col("o_orderkey") * 7
+    return o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("c"), (F.col("o_custkey") % 3).cast("string")).alias("chrom"), s.alias("start"), (s + F.col("o_custkey") % 60).alias("end"))
 
 
 def _iv(spark, sf_dir):
@@ -331,26 +340,24 @@ def _iv(spark, sf_dir):
     return o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("c"), (F.col("o_custkey") % 3).cast("string")).alias("chrom"), s.alias("start"), (s + F.col("o_custkey") % 60).alias("end"))
 
 
-@query(f'SELECT a.id AS a_id, b.id AS b_id FROM ({_IV_A}) a JOIN ({_IV_B}) b ON a.chrom = b.chrom AND a.start <= b.start AND b."end" <= a."end"')
+@query(f'SELECT a.id AS a_id, b.id AS b_id FROM ({_IV2}) a JOIN ({_IV2}) b ON a.chrom = b.chrom AND a.start <= b.start AND b."end" <= a."end"')
 def interval_contains(g, spark, sf_dir):
-    i = _iv(spark, sf_dir)
-    return intervals.pairs_of_intervals(i.where("id % 7 = 0"), i.where("id % 5 = 1"), "contain", 100)
+    return intervals.pairs_of_intervals(_iv2(spark, sf_dir), _iv2(spark, sf_dir), "contain", 100)
 
 
-@query(f'SELECT a.id AS a_id, b.id AS b_id FROM ({_IV_A}) a JOIN ({_IV_B}) b ON a.chrom = b.chrom AND a.start <= b."end" AND b.start <= a."end"')
+@query(f'SELECT a.id AS a_id, b.id AS b_id FROM ({_IV2}) a JOIN ({_IV2}) b ON a.chrom = b.chrom AND a.start <= b."end" AND b.start <= a."end"')
 def interval_overlap(g, spark, sf_dir):
-    i = _iv(spark, sf_dir)
-    return intervals.pairs_of_intervals(i.where("id % 7 = 0"), i.where("id % 5 = 1"), "overlap", 100)
+    return intervals.pairs_of_intervals(_iv2(spark, sf_dir), _iv2(spark, sf_dir), "overlap", 100)
 
 
-_RED = f"""WITH i AS (SELECT * FROM ({_IV}) WHERE id % 50 = 0), r AS (SELECT *, max("end") OVER (PARTITION BY chrom ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i),
+_RED = f"""WITH i AS (SELECT * FROM ({_IV2})), r AS (SELECT *, max("end") OVER (PARTITION BY chrom ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i),
 n AS (SELECT *, sum(CASE WHEN start <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY chrom ORDER BY start, "end") AS island FROM r)
 SELECT chrom, min(start) AS start, max("end") AS "end", count(*) AS n FROM n GROUP BY chrom, island"""
 
 
 @query(_RED)
 def interval_reduce(g, spark, sf_dir):
-    return intervals.reduce_intervals(_iv(spark, sf_dir).where("id % 50 = 0"))
+    return intervals.reduce_intervals(_iv2(spark, sf_dir))
 
 
 _LIFT_T = "SELECT 'n' || CAST(t % 3 AS VARCHAR) AS new_scaf, t * 100 + 1 AS new_start, t * 100 + 80 AS new_end, 'c' || CAST(t % 2 AS VARCHAR) AS scaf, t * 90 + 1 AS start, t * 90 + 80 AS \"end\", CASE WHEN t % 4 = 0 THEN '-' ELSE '+' END AS strand FROM range(0, 60) r(t)"
@@ -370,13 +377,25 @@ def liftover(g, spark, sf_dir):
     return intervals.liftover(_iv(spark, sf_dir).withColumnRenamed("chrom", "scaf"), tr, 1000)
 
 
-@query()
-def assemble(g, spark, sf_dir):
-    seqs = _sequences(g).withColumnRenamed("scaffold", "name")
-    p = seqs.select(F.concat(F.lit("asm"), (F.length("seq") % 2).cast("string")).alias("new_scaf"), "name", F.length("seq").cast("long").alias("n"))
-    rank = F.ascii(F.substring("name", 5, 1)) - 48
-    p = p.select("new_scaf", (rank * 10_000_000 + 5).cast("long").alias("new_start"), (rank * 10_000_000 + 4 + F.least("n", F.lit(200))).cast("long").alias("new_end"), F.col("name").alias("scaf"), F.lit(1).cast("long").alias("start"), F.least("n", F.lit(200)).cast("long").alias("end"), F.when(rank % 2 == 0, "+").otherwise("-").alias("strand"))
-    out = intervals.assemble(p, seqs)
+def _assemble_sql():
+    place = "CAST(substr(scaffold, 5, 1) AS BIGINT)"
+    return f"""SELECT new_scaf, CAST(length(sequence) AS BIGINT) AS n, sha256(sequence) AS digest FROM (
+      SELECT 'asm' || sample || '_' || hap AS new_scaf, string_agg(repeat('N', CAST(r * (m + 7) + 4 - coalesce(last, 0) AS BIGINT)) || part, '' ORDER BY r) AS sequence FROM (
+        SELECT *, lag(r * (m + 7) + 4 + length(seq)) OVER (PARTITION BY sample, hap ORDER BY r) AS last, CASE WHEN r % 2 = 0 THEN seq ELSE reverse(translate(seq, 'ACGTN', 'TGCAN')) END AS part FROM (
+          SELECT *, {place} AS r, max(length(seq)) OVER () AS m FROM sq)) GROUP BY sample, hap)"""
+
+
+def _assemble(g, spark, sf_dir):
+    # every sequence whole, on a new scaffold per haplotype, in places as long as the longest
+    seqs = _sequences(g)
+    m = seqs.agg(F.max(F.length("seq"))).first()[0] or 0
+    name = F.concat_ws("/", "scaffold", F.col("sample").cast("string"), F.col("hap").cast("string"))
+    rank, n = F.substring("scaffold", 5, 1).cast("long"), F.length("seq").cast("long")
+    p = seqs.select(
+        F.concat(F.lit("asm"), F.concat_ws("_", F.col("sample").cast("string"), F.col("hap").cast("string"))).alias("new_scaf"), (rank * (m + 7) + 5).alias("new_start"), (rank * (m + 7) + 4 + n).alias("new_end"),
+        name.alias("scaf"), F.lit(1).cast("long").alias("start"), n.alias("end"), F.when(rank % 2 == 0, "+").otherwise("-").alias("strand"),
+    )
+    out = intervals.assemble(p, seqs.select(name.alias("name"), "seq"))
     return out.select("new_scaf", F.length("sequence").cast("long").alias("n"), F.sha2(F.encode("sequence", "UTF-8"), 256).alias("digest"))
 
 
@@ -635,7 +654,7 @@ def dist_matrix(g, *_):
 
 
 _LDV = {
-    "w": f"SELECT scaffold, (position - 1) // {W // 5} AS k, position, sample * 2 + hap AS h, allele FROM g WHERE scaffold = 'scaf1' AND pop = 0 AND allele IS NOT NULL",
+    "w": f"SELECT scaffold, (position - 1) // {W} AS k, position, sample * 2 + hap AS h, allele FROM g WHERE allele IS NOT NULL",
     "j": "SELECT a.scaffold, a.k, a.position AS pos_a, b.position AS pos_b, a.allele AS x, b.allele AS y FROM w a JOIN w b ON a.scaffold = b.scaffold AND a.k = b.k AND a.h = b.h AND a.position < b.position",
     "q": "SELECT scaffold, k, pos_a, pos_b, list(x) AS xs, list(y) AS ys, count(*) AS n FROM j GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT x) = 2 AND count(DISTINCT y) = 2",
 }
@@ -654,7 +673,7 @@ _LDV = {
     )
 )
 def ld_pairs(g, *_):
-    x = g.where("scaffold = 'scaf1' and pop = 0").withColumn("k", F.floor((F.col("position") - 1) / (W // 5)))
+    x = g.withColumn("k", F.floor((F.col("position") - 1) / W))
     return rounded(ld.ld_pairs(x, ["k"]).select("scaffold", "k", "pos_a", "pos_b", "n", "d", "d_prime", "r", "r2"))
 
 
@@ -663,13 +682,13 @@ ORACLES["ld_matrix"] = f"SELECT scaffold, pos_a, pos_b, r2 FROM ({ORACLES['ld_pa
 
 @query(ORACLES["ld_matrix"])
 def ld_matrix(g, *_):
-    x = g.where("scaffold = 'scaf1' and pop = 0").withColumn("k", F.floor((F.col("position") - 1) / (W // 5)))
+    x = g.withColumn("k", F.floor((F.col("position") - 1) / W))
     return rounded(ld.ld_pairs(x, ["k"]).select("scaffold", "pos_a", "pos_b", "r2"))
 
 
 @query()
 def max_ld_phase(g, *_):
-    x = g.where("pop = 1").withColumn("k", F.floor((F.col("position") - 1) / W))
+    x = g.withColumn("k", F.floor((F.col("position") - 1) / W))
     return ld.max_ld_phase(x, ["scaffold", "k"], "scaffold string, k long")
 
 
@@ -745,12 +764,12 @@ def sfs_subsample(g, *_):
         "c g",
         "SELECT pattern, count(*) AS sites FROM pt GROUP BY 1",
         rk=f"SELECT scaffold, position, list_transform({_RANKED}, lambda x: x.b) AS o FROM c WHERE called = haps",
-        gs="SELECT scaffold, position, sample, string_agg(CAST(list_position(o, allele) - 1 AS VARCHAR), '' ORDER BY list_position(o, allele)) AS gg FROM g JOIN rk USING (scaffold, position) WHERE sample < 5 GROUP BY 1, 2, 3",
+        gs="SELECT scaffold, position, sample, string_agg(CAST(list_position(o, allele) - 1 AS VARCHAR), '' ORDER BY list_position(o, allele)) AS gg FROM g JOIN rk USING (scaffold, position) GROUP BY 1, 2, 3",
         pt="SELECT scaffold, position, string_agg(gg, ' ' ORDER BY sample) AS pattern FROM gs GROUP BY 1, 2",
-    ).replace("FROM c WHERE called", "FROM (SELECT scaffold, position, count(*) FILTER (WHERE allele = 0) AS n_a, count(*) FILTER (WHERE allele = 1) AS n_c, count(*) FILTER (WHERE allele = 2) AS n_g, count(*) FILTER (WHERE allele = 3) AS n_t, count(allele) AS called, count(*) AS haps FROM g WHERE sample < 5 GROUP BY 1, 2) WHERE called")
+    ).replace("FROM c WHERE called", "FROM (SELECT scaffold, position, count(*) FILTER (WHERE allele = 0) AS n_a, count(*) FILTER (WHERE allele = 1) AS n_c, count(*) FILTER (WHERE allele = 2) AS n_g, count(*) FILTER (WHERE allele = 3) AS n_t, count(allele) AS called, count(*) AS haps FROM g GROUP BY 1, 2) WHERE called")
 )
 def genotype_patterns(g, *_):
-    return spectra.genotype_patterns(g.where("sample < 5"))
+    return spectra.genotype_patterns(g)
 
 
 # ---- summaries ----------------------------------------------------------------------
@@ -875,12 +894,11 @@ def window_trees(g, *_):
 
 
 def _sequences(g):
-    """A sequence per scaffold: consensus-like letters of sample 0's first haplotype."""
-    x = g.where("sample = 0 and hap = 0")
-    return x.groupBy("scaffold").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", sites.letter(F.col("allele")).alias("b")))), lambda v: v["b"]), "").alias("seq"))
+    """A sequence per scaffold and haplotype: its letters in site order."""
+    return g.groupBy("scaffold", "sample", "hap").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", sites.letter(F.col("allele")).alias("b")))), lambda v: v["b"]), "").alias("seq"))
 
 
-_SEQ = "SELECT scaffold, string_agg(CASE allele WHEN 0 THEN 'A' WHEN 1 THEN 'C' WHEN 2 THEN 'G' WHEN 3 THEN 'T' ELSE 'N' END, '' ORDER BY position) AS seq FROM g WHERE sample = 0 AND hap = 0 GROUP BY 1"
+_SEQ = "SELECT scaffold, sample, hap, string_agg(CASE allele WHEN 0 THEN 'A' WHEN 1 THEN 'C' WHEN 2 THEN 'G' WHEN 3 THEN 'T' ELSE 'N' END, '' ORDER BY position) AS seq FROM g GROUP BY 1, 2, 3"
 _LET = "CASE {a} WHEN 0 THEN 'A' WHEN 1 THEN 'C' WHEN 2 THEN 'G' WHEN 3 THEN 'T' ELSE 'N' END"
 
 
@@ -890,29 +908,37 @@ def iupac_codes(g, *_):
     return sites.genotypes(g).select(*SITE, "sample", B.diploid_code(sites.letter(F.get(a, F.lit(0))), sites.letter(F.get(a, F.lit(1)))).alias("code"))
 
 
-@query(sql("g", "SELECT scaffold, reverse(translate(seq, 'ACGTN', 'TGCAN')) AS rc FROM sq", sq=_SEQ))
+@query(sql("g", "SELECT scaffold, sample, hap, reverse(translate(seq, 'ACGTN', 'TGCAN')) AS rc FROM sq", sq=_SEQ))
 def rev_complement(g, *_):
-    return _sequences(g).select("scaffold", B.reverse_complement(F.col("seq")).alias("rc"))
+    return _sequences(g).select("scaffold", "sample", "hap", B.reverse_complement(F.col("seq")).alias("rc"))
 
 
-@query()
+_EXP = {
+    "e": f"SELECT scaffold, (row_number() OVER (PARTITION BY scaffold ORDER BY position) - 1) // 3 AS k, position, coalesce(code, 'N') AS code, CASE WHEN l = '' THEN 'ACGT' ELSE l END AS l FROM (SELECT scaffold, position, {_LETTERS} AS l FROM c) LEFT JOIN {_IUPAC_SQL} ON letters = l",
+    "t": "SELECT scaffold, k, string_agg(code, '' ORDER BY position) AS seq, list(l ORDER BY position) AS ls FROM e GROUP BY 1, 2",
+}
+
+
+@query(sql("c", """SELECT scaffold, k, seq, string_agg(x || y || z, ',' ORDER BY x || y || z) AS all_seqs FROM (SELECT *, unnest(CASE WHEN len(ls) > 2 THEN string_split(ls[3], '') ELSE [''] END) AS z FROM
+  (SELECT *, unnest(CASE WHEN len(ls) > 1 THEN string_split(ls[2], '') ELSE [''] END) AS y FROM (SELECT *, unnest(string_split(ls[1], '')) AS x FROM t))) GROUP BY 1, 2, 3""", **_EXP))
 def expand_iupac(g, *_):
-    c = sites.site_counts(g).select(*SITE, B.consensus(sites.alleles_text()).alias("code"))
-    t = c.groupBy("scaffold", F.floor((F.col("position") - 1) / 200).alias("k")).agg(F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("position", "code"))), lambda x: x["code"]), 1, 3), "").alias("seq"))
-    return t.select("scaffold", "k", "seq", F.array_join(B.expand_ambiguity(F.col("seq")), ",").alias("all_seqs"))
+    # a text of n ambiguous letters stands for up to 4^n others; every site is in a text of three
+    c = windows.ranked(sites.site_counts(g).select(*SITE, B.consensus(sites.alleles_text()).alias("code")))
+    t = c.groupBy("scaffold", F.floor(F.col("rn") / 3).alias("k")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "code"))), lambda x: x["code"]), "").alias("seq"))
+    return t.select("scaffold", "k", "seq", F.array_join(F.array_sort(B.expand_ambiguity(F.col("seq"))), ",").alias("all_seqs"))
 
 
 _CODE_SQL = "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in B.genetic_code().items()) + ") gc(cdn, aa)"
 
 
-@query(sql("g", f"SELECT scaffold, string_agg(coalesce(aa, 'X'), '' ORDER BY i) AS protein FROM (SELECT scaffold, i, substr(seq, CAST(i * 3 + 1 AS BIGINT), 3) AS cd FROM (SELECT scaffold, seq, unnest(range(0, length(seq) // 3)) AS i FROM sq)) LEFT JOIN {_CODE_SQL} ON cdn = cd GROUP BY 1", sq=_SEQ))
+@query(sql("g", f"SELECT scaffold, sample, hap, string_agg(coalesce(aa, 'X'), '' ORDER BY i) AS protein FROM (SELECT scaffold, sample, hap, i, substr(seq, CAST(i * 3 + 1 AS BIGINT), 3) AS cd FROM (SELECT scaffold, sample, hap, seq, unnest(range(0, length(seq) // 3)) AS i FROM sq)) LEFT JOIN {_CODE_SQL} ON cdn = cd GROUP BY 1, 2, 3", sq=_SEQ))
 def translate_cds(g, *_):
-    return _sequences(g).select("scaffold", B.translate(F.col("seq")).alias("protein"))
+    return _sequences(g).select("scaffold", "sample", "hap", B.translate(F.col("seq")).alias("protein"))
 
 
-@query(sql("g", f"SELECT scaffold, count(*) FILTER (WHERE aa = '_' AND i < n - 1) AS stops FROM (SELECT scaffold, i, length(seq) // 3 AS n, substr(seq, CAST(i * 3 + 1 AS BIGINT), 3) AS cd FROM (SELECT scaffold, seq, unnest(range(0, length(seq) // 3)) AS i FROM sq)) LEFT JOIN {_CODE_SQL} ON cdn = cd GROUP BY 1", sq=_SEQ))
+@query(sql("g", f"SELECT scaffold, sample, hap, count(*) FILTER (WHERE aa = '_' AND i < n - 1) AS stops FROM (SELECT scaffold, sample, hap, i, length(seq) // 3 AS n, substr(seq, CAST(i * 3 + 1 AS BIGINT), 3) AS cd FROM (SELECT scaffold, sample, hap, seq, unnest(range(0, length(seq) // 3)) AS i FROM sq)) LEFT JOIN {_CODE_SQL} ON cdn = cd GROUP BY 1, 2, 3", sq=_SEQ))
 def count_stops(g, *_):
-    return _sequences(g).select("scaffold", B.count_stops(F.col("seq")).alias("stops"))
+    return _sequences(g).select("scaffold", "sample", "hap", B.count_stops(F.col("seq")).alias("stops"))
 
 
 def _codon_sets(g):
@@ -947,13 +973,14 @@ def degeneracy(g, *_):
     return s.select("scaffold", "codon", each.alias("x")).select("scaffold", "codon", "x.*").where("degeneracy is not null")
 
 
-_GENES = "SELECT 'scaf' || CAST(t % 5 AS VARCHAR) AS scaffold, 'm' || CAST(t AS VARCHAR) AS mrna, CASE WHEN t % 2 = 0 THEN '+' ELSE '-' END AS strand, t * 150 + 11 AS s1, t * 150 + 50 AS e1, t * 150 + 81 AS s2, t * 150 + 130 AS e2 FROM range(0, 12) r(t)"
+#: Genes along the whole length of all scaffolds: one every 150 positions, on each in turn.
+_GENES = "SELECT 'scaf' || CAST(t % 5 AS VARCHAR) AS scaffold, 'm' || CAST(t AS VARCHAR) AS mrna, CASE WHEN t % 2 = 0 THEN '+' ELSE '-' END AS strand, t * 150 + 11 AS s1, t * 150 + 50 AS e1, t * 150 + 81 AS s2, t * 150 + 130 AS e2 FROM (SELECT unnest(range(0, CAST((SELECT max(p_partkey) FROM part) // 15 + 1 AS BIGINT))) AS t)"
 
 
-def _genes(spark):
-    t = F.col("id")
+def _genes(spark, sf_dir):
+    t, n = F.col("id"), table(spark, sf_dir, "part").agg(F.max("p_partkey")).first()[0]
     piece = lambda a, b: F.struct((t * 150 + a).alias("start"), (t * 150 + b).alias("end"))
-    return spark.range(12).select(F.concat(F.lit("scaf"), (t % 5).cast("string")).alias("scaffold"), F.concat(F.lit("m"), t.cast("string")).alias("mrna"), F.when(t % 2 == 0, "+").otherwise("-").alias("strand"), F.array(piece(81, 130), piece(11, 50)).alias("cds"))
+    return spark.range((n or 0) // 15 + 1).select(F.concat(F.lit("scaf"), (t % 5).cast("string")).alias("scaffold"), F.concat(F.lit("m"), t.cast("string")).alias("mrna"), F.when(t % 2 == 0, "+").otherwise("-").alias("strand"), F.array(piece(81, 130), piece(11, 50)).alias("cds"))
 
 
 _CDSP = f"""SELECT scaffold, mrna, strand, position, CASE WHEN strand = '+' THEN row_number() OVER (PARTITION BY mrna ORDER BY position) ELSE row_number() OVER (PARTITION BY mrna ORDER BY position DESC) END - 1 AS i
@@ -962,18 +989,30 @@ _CDSP = f"""SELECT scaffold, mrna, strand, position, CASE WHEN strand = '+' THEN
 
 @query(f"SELECT scaffold, mrna, position, CAST(i // 3 AS BIGINT) AS codon, CAST(i % 3 AS BIGINT) AS place FROM ({_CDSP}) WHERE i < 90")
 def cds_positions(g, spark, sf_dir):
-    return coding.coding_positions(_genes(spark)).select("scaffold", "mrna", "position", "codon", "place")
+    return coding.coding_positions(_genes(spark, sf_dir)).select("scaffold", "mrna", "position", "codon", "place")
 
 
-@query()
+_CODING = {
+    "al": f"SELECT scaffold, position, {_LETTERS} AS l FROM c",
+    "q": f"SELECT p.scaffold, p.mrna || '.' || p.i // 3 AS codon, p.i % 3 AS place, p.position, coalesce(CASE WHEN strand = '-' THEN reverse(translate(l, 'ACGT', 'TGCA')) ELSE l END, '') AS b FROM ({_CDSP}) p LEFT JOIN al USING (scaffold, position) WHERE i < 90",
+    "st": "SELECT scaffold, codon, list(b ORDER BY place) AS s FROM q GROUP BY 1, 2",
+    "opt": _SETS["opt"],
+    "sn": "SELECT scaffold, codon, CASE WHEN len(list_filter(s, lambda v: length(v) = 2)) = 1 AND len(list_filter(s, lambda v: length(v) = 1)) = 2 THEN CASE WHEN naa = 1 THEN 'syn' ELSE 'non' END END AS kind FROM opt",
+    "dg": " UNION ALL ".join(_deg_sql(p) for p in range(3)),
+}
+
+
+@query(sql("c", """SELECT q.scaffold, position, CAST(q.place + 1 AS BIGINT) AS codon_position, CASE WHEN length(b) = 2 THEN kind END AS syn_non, CAST(degeneracy AS BIGINT) AS degeneracy
+  FROM q LEFT JOIN sn USING (scaffold, codon) LEFT JOIN dg ON dg.scaffold = q.scaffold AND dg.codon = q.codon AND dg.place = q.place""", **_CODING))
 def coding_sites(g, spark, sf_dir):
     letters = sites.site_counts(g).select("scaffold", "position", sites.alleles_text().alias("bases"))
-    return ints(coding.coding_sites(_genes(spark), letters))
+    return ints(coding.coding_sites(_genes(spark, sf_dir), letters))
 
 
-@query()
+@query(sql("g", f"""SELECT mrna, sample, hap, string_agg(CASE WHEN strand = '-' THEN translate({_LET.format(a='allele')}, 'ACGTN', 'TGCAN') ELSE {_LET.format(a='allele')} END, '' ORDER BY i) AS sequence FROM
+  (SELECT DISTINCT mrna, sample, hap FROM p JOIN g USING (scaffold, position)) JOIN p USING (mrna) LEFT JOIN g USING (scaffold, position, sample, hap) GROUP BY 1, 2, 3""", p=f"SELECT * FROM ({_CDSP}) WHERE i < 90"))
 def cds_alignments(g, spark, sf_dir):
-    return coding.cds_alignments(_genes(spark), g.where("sample < 3"))
+    return coding.cds_alignments(_genes(spark, sf_dir), g)
 
 
 @query(sql("gt", f"SELECT scaffold, position, sample, ({_LET.format(a='a0')}) || '/' || ({_LET.format(a='a1')}) AS phased, CAST(CASE WHEN a0 IS NULL OR a1 IS NULL THEN -1 ELSE (a0 = 2)::INT + (a1 = 2)::INT END AS BIGINT) AS n_g FROM gt"))
@@ -982,7 +1021,106 @@ def geno_render(g, *_):
     return sites.genotypes(g).select(*SITE, "sample", B.as_phased(a).alias("phased"), B.as_count(a, F.lit(2)).cast("long").alias("n_g"))
 
 
-@query(sql("gt", f"SELECT scaffold, position, string_agg(({_LET.format(a='a0')}) || '|' || ({_LET.format(a='a1')}), ' ' ORDER BY sample) AS line FROM gt WHERE sample < 4 GROUP BY 1, 2"))
+@query(sql("gt", f"SELECT scaffold, position, string_agg(({_LET.format(a='a0')}) || '|' || ({_LET.format(a='a1')}), ' ' ORDER BY sample) AS line FROM gt GROUP BY 1, 2"))
 def join_haplotypes(g, *_):
-    x = sites.genotypes(g.where("sample < 4"))
+    x = sites.genotypes(g)
     return x.groupBy(*SITE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sample", B.as_phased(F.col("alleles"), "|").alias("p")))), lambda v: v["p"]), " ").alias("line"))
+
+
+# ---- conversions and selections ------------------------------------------------------
+
+
+@query(sql("g", _assemble_sql(), sq=_SEQ))
+def assemble(g, spark, sf_dir):
+    return _assemble(g, spark, sf_dir)
+
+
+@query(sql("g", "SELECT scaffold, position, sample, hap, allele FROM g WHERE sample NOT IN (0, 11)"))
+def exclude_samples(g, *_):
+    return convert.select_samples(g, drop=[0, 11]).select(*SITE, "sample", "hap", "allele")
+
+
+@query(sql("g", f"SELECT scaffold, row_number() OVER (PARTITION BY scaffold, sample, hap ORDER BY position) AS position, sample || '_' || substr('AB', CAST(hap + 1 AS BIGINT), 1) AS name, {_LET.format(a='allele')} AS base FROM g"))
+def seq_to_geno(g, *_):
+    return convert.sequences_to_sites(_sequences(g).select("scaffold", convert.alternating_name(F.col("sample"), F.col("hap")).alias("name"), "seq"))
+
+
+@query(sql("g", f"SELECT scaffold, position, string_agg(base, ' ' ORDER BY name) AS line FROM (SELECT scaffold, row_number() OVER (PARTITION BY scaffold, sample, hap ORDER BY position) AS position, sample || '_' || substr('AB', CAST(hap + 1 AS BIGINT), 1) AS name, {_LET.format(a='allele')} AS base FROM g) GROUP BY 1, 2"))
+def seq_to_geno_lines(g, *_):
+    x = convert.sequences_to_sites(_sequences(g).select("scaffold", convert.alternating_name(F.col("sample"), F.col("hap")).alias("name"), "seq"))
+    return convert.sites_to_lines(x).select(*SITE, F.array_join(F.transform("samples", lambda v: v["gt"]), " ").alias("line"))
+
+
+@query(sql("g", f"SELECT scaffold, (position - 1) // {W} AS k, sample, hap, min(position) AS first_site, max(position) AS last_site, string_agg({_LET.format(a='allele')}, '' ORDER BY position) AS seq FROM g GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2"))
+def geno_to_seq_windows(g, *_):
+    return convert.window_sequences(windows.in_coordinate_windows(g, W), "scaffold", "k", min_sites=2)
+
+
+@query(sql("g", f"SELECT scaffold, sample, hap, min(position) AS first_site, max(position) AS last_site, string_agg({_LET.format(a='allele')}, '' ORDER BY position) AS seq FROM g GROUP BY 1, 2, 3"))
+def geno_to_seq_contigs(g, *_):
+    return convert.window_sequences(g, "scaffold")
+
+
+@query(sql("g", """SELECT sample, hap, scaffold || ':' || a || '-' || z || ':' || o AS name, CASE WHEN o = '-' THEN reverse(translate(s, 'ACGTN', 'TGCAN')) ELSE s END AS seq FROM
+  (SELECT *, substr(seq, CAST(a AS BIGINT), CAST(greatest(0, z - a + 1) AS BIGINT)) AS s FROM (SELECT sq.*, greatest(1, start - 2) AS a, least(length(seq), "end" + 1) AS z, CASE WHEN start % 2 = 0 THEN '-' ELSE '+' END AS o FROM sq JOIN reg USING (scaffold)))""", sq=_SEQ, reg=REG))
+def subset_sequences(g, spark, sf_dir):
+    r = _regions(spark, sf_dir).select(F.col("scaffold").alias("chrom"), "start", "end", F.when(F.col("start") % 2 == 0, "-").otherwise("+").alias("strand"))
+    return convert.subset_sequences(_sequences(g).withColumnRenamed("scaffold", "name"), r, 2, 1).select("sample", "hap", "name", "seq")
+
+
+_VLIFT = "SELECT 'n' || CAST(t % 3 AS VARCHAR) AS new_scaf, t * 400 + 1 AS new_start, t * 400 + 250 AS new_end, 'scaf' || CAST(t % 4 AS VARCHAR) AS scaf, t * 300 + 1 AS start, t * 300 + 250 AS \"end\", CASE WHEN t % 2 = 0 THEN '-' ELSE '+' END AS strand FROM (SELECT unnest(range(0, CAST((SELECT max(p_partkey) FROM part) // 30 + 1 AS BIGINT))) AS t)"
+
+
+@query(sql("sites", """SELECT new_scaf AS chrom, CASE WHEN strand = '-' THEN new_end - (pos - start) ELSE new_start + pos - start END AS pos, CASE WHEN strand = '-' THEN translate(ref, 'ACGT', 'TGCA') ELSE ref END AS ref,
+  array_to_string(list_transform(alt, lambda a: CASE WHEN strand = '-' THEN translate(a, 'ACGT', 'TGCA') ELSE a END), ',') AS alt, qual FROM v JOIN t ON t.scaf = v.chrom AND pos BETWEEN start AND "end" """, v=_VCF, t=_VLIFT))
+def vcf_liftover(g, spark, sf_dir):
+    t, n = F.col("id"), table(spark, sf_dir, "part").agg(F.max("p_partkey")).first()[0]
+    tr = spark.range((n or 0) // 30 + 1).select(
+        F.concat(F.lit("n"), (t % 3).cast("string")).alias("new_scaf"), (t * 400 + 1).alias("new_start"), (t * 400 + 250).alias("new_end"), F.concat(F.lit("scaf"), (t % 4).cast("string")).alias("scaf"),
+        (t * 300 + 1).alias("start"), (t * 300 + 250).alias("end"), F.when(t % 2 == 0, "-").otherwise("+").alias("strand"),
+    )
+    return convert.lift_vcf(_vcf(g), tr).select("chrom", "pos", "ref", F.array_join("alt", ",").alias("alt"), "qual")
+
+
+_UNION = """SELECT scaffold, min(start) AS start, max("end") AS "end" FROM (SELECT *, sum(CASE WHEN start <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY scaffold ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM
+  (SELECT *, max("end") OVER (PARTITION BY scaffold ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM reg)) GROUP BY scaffold, island"""
+
+
+@query(f"""WITH reg AS (SELECT scaffold, start - 150 AS start, "end" + 150 AS "end" FROM ({REG})), u AS ({_UNION}), ge AS (SELECT scaffold, mrna, s1 AS start, e2 AS "end" FROM ({_GENES}))
+SELECT scaffold, mrna, start, "end" FROM ge WHERE EXISTS (SELECT 1 FROM u WHERE u.scaffold = ge.scaffold AND u.start <= ge.start AND ge."end" <= u."end")""")
+def genes_in_regions(g, spark, sf_dir):
+    genes = _genes(spark, sf_dir).select("scaffold", "mrna", F.array_min(F.transform("cds", lambda c: c["start"])).alias("start"), F.array_max(F.transform("cds", lambda c: c["end"])).alias("end"))
+    wide = _regions(spark, sf_dir).select("scaffold", (F.col("start") - 150).alias("start"), (F.col("end") + 150).alias("end"))
+    return convert.genes_in_regions(genes, wide)
+
+
+@query(sql("gt", f"SELECT scaffold, position, sample, CASE WHEN lo IS NULL THEN '' WHEN lo = hi THEN {_LET.format(a='lo')} ELSE ({_LET.format(a='lo')}) || ({_LET.format(a='hi')}) END AS alleles FROM gt"))
+def sample_alleles(g, *_):
+    return convert.sample_alleles(g)
+
+
+@query(sql("sites", "SELECT coalesce(n, scaffold) AS scaffold, position FROM sites LEFT JOIN (VALUES ('scaf0', 'one'), ('scaf3', 'three')) l(o, n) ON o = scaffold"))
+def rename_scaffolds(g, spark, *_):
+    return convert.rename_scaffolds(g.select(*SITE).distinct(), spark.createDataFrame([("scaf0", "one"), ("scaf3", "three")], "old string, new string"))
+
+
+@query(sql("sites", "SELECT scaffold, position FROM sites ORDER BY scaffold, position LIMIT 500"))
+def first_sites(g, *_):
+    return convert.first_sites(g.select(*SITE).distinct(), 500)
+
+
+@query("SELECT o_custkey AS customer, min(o_orderkey) AS first FROM orders GROUP BY 1")
+def unique_in_order(g, spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("customer"), F.col("o_orderkey").alias("o"))
+    return convert.unique_in_order(o, "customer", "o")
+
+
+_PAIRED = {
+    "ABAA_BABB": "(1 - p1) * p2 * (1 - p3) * (1 - p4) + p1 * (1 - p2) * p3 * p4", "BAAA_ABBB": "p1 * (1 - p2) * (1 - p3) * (1 - p4) + (1 - p1) * p2 * p3 * p4",
+    "ABBA_BAAB": f"{_ABBA} + p1 * (1 - p2) * (1 - p3) * p4", "BABA_ABAB": f"{_BABA} + (1 - p1) * p2 * (1 - p3) * p4",
+}
+
+
+@query(sql("g", "SELECT scaffold, count(*) AS sites_used, " + ", ".join(f"round(sum({v}), 6) AS {k}" for k, v in _PAIRED.items()) + " FROM f GROUP BY 1", **_FP))
+def paired_patterns(g, *_):
+    return rounded(fourpop.four_pop(fourpop.frequencies(g, (0, 1, 2, 4)), ["scaffold"], (), fourpop.PAIRED))

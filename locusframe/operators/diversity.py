@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from locusframe.operators.joins import broadcast_up_to
 from locusframe.operators.sites import COUNTS, SITE, site_counts, site_pi
 
 
@@ -19,7 +20,7 @@ def population_pairs(pairs: DataFrame, pops: DataFrame, keys: list[str], min_sit
     """
     x = pops.select(F.col("h").alias("a"), F.col("pop").alias("pa"))
     y = pops.select(F.col("h").alias("b"), F.col("pop").alias("pb"))
-    p = pairs.where((F.col("a") < F.col("b")) & (F.col("called") >= min_sites)).join(F.broadcast(x), "a").join(F.broadcast(y), "b")
+    p = pairs.where((F.col("a") < F.col("b")) & (F.col("called") >= min_sites)).join(broadcast_up_to(x), "a").join(broadcast_up_to(y), "b")
     p = p.withColumn("d", F.col("diff") / F.col("called")).withColumn("x", F.least("pa", "pb")).withColumn("y", F.greatest("pa", "pb"))
     return p.groupBy(*keys, "x", "y").agg(F.sum("d").alias("sum_d"), F.count("*").alias("n_d"))
 
@@ -31,13 +32,16 @@ def diversity(pairs: DataFrame, pops: DataFrame, keys: list[str], min_sites: int
     than ``min_data`` of the n x n block whose diagonal is empty; dxy of the n_x x n_y.
     Fst = 1 - pi_s / pi_t with pi_s weighted by haplotypes and pi_t over all pairs of both.
     """
-    size = F.broadcast(pops.groupBy("pop").agg(F.count("*").alias("n")))
+    size = broadcast_up_to(pops.groupBy("pop").agg(F.count("*").alias("n")))
     p = population_pairs(pairs, pops, keys, min_sites)
-    own = p.where("x = y").select(*keys, F.col("x").alias("pop"), "sum_d", "n_d").join(size, "pop")
-    between = p.where("x < y").withColumnsRenamed({"sum_d": "sum_xy", "n_d": "n_xy"})
+    # a window's sums, a row per pair of populations, meet in one map: the pairs are counted once
+    p = p.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.struct("x", "y"), F.struct("sum_d", "n_d")))).alias("m"))
+    between = p.select(*keys, "m", F.explode(F.filter(F.map_keys("m"), lambda k: k["x"] < k["y"])).alias("_xy")).select(*keys, "m", "_xy.x", "_xy.y")
+    of = lambda a, b: F.try_element_at("m", F.struct(F.col(a).alias("x"), F.col(b).alias("y")))
+    cells = {f"{v}_{n}": of(a, b)[w] for n, a, b in (("x", "x", "x"), ("y", "y", "y"), ("xy", "x", "y")) for v, w in (("sum", "sum_d"), ("n", "n_d"))}
+    between = between.select(*keys, "x", "y", *[c.alias(n) for n, c in cells.items()])
     for s in ("x", "y"):
-        o = own.select(*keys, F.col("pop").alias(s), F.col("sum_d").alias(f"sum_{s}"), F.col("n_d").alias(f"n_{s}"))
-        between = between.join(o, [*keys, s], "left").join(size.select(F.col("pop").alias(s), F.col("n").alias(f"size_{s}")), s)
+        between = between.join(size.select(F.col("pop").alias(s), F.col("n").alias(f"size_{s}")), s)
     div = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))
     c = F.col
     pi = {s: F.when(2 * c(f"n_{s}") / (c(f"size_{s}") * c(f"size_{s}")) >= min_data, div(c(f"sum_{s}"), c(f"n_{s}"))) for s in ("x", "y")}
@@ -49,7 +53,7 @@ def diversity(pairs: DataFrame, pops: DataFrame, keys: list[str], min_sites: int
 
 
 def pi_by_population(pairs: DataFrame, pops: DataFrame, keys: list[str], min_sites: int = 1, min_data: float = 0.01) -> DataFrame:
-    size = F.broadcast(pops.groupBy("pop").agg(F.count("*").alias("n")))
+    size = broadcast_up_to(pops.groupBy("pop").agg(F.count("*").alias("n")))
     p = population_pairs(pairs, pops, keys, min_sites).where("x = y").withColumnRenamed("x", "pop").join(size, "pop")
     return p.select(*keys, "pop", F.when(2 * F.col("n_d") / (F.col("n") * F.col("n")) >= min_data, F.col("sum_d") / F.col("n_d")).alias("pi"))
 
@@ -116,7 +120,7 @@ def haplotype_stats(pairs: DataFrame, pops: DataFrame, keys: list[str], types: s
     """H1, H12, H2 per window and population from pair distances."""
     x = pops.select(F.col("h").alias("a"), F.col("pop").alias("pop"))
     y = pops.select(F.col("h").alias("b"), F.col("pop").alias("pop2"))
-    p = pairs.join(F.broadcast(x), "a").join(F.broadcast(y), "b").where("pop = pop2").select(*keys, "pop", "a", "b", (F.col("diff") / F.col("called")).alias("d"))
+    p = pairs.join(broadcast_up_to(x), "a").join(broadcast_up_to(y), "b").where("pop = pop2").select(*keys, "pop", "a", "b", (F.col("diff") / F.col("called")).alias("d"))
     names = [*keys, "pop"]
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -66,6 +66,8 @@ def terms() -> dict[str, Column]:
     widest = F.greatest(F.abs(p1 - p2), F.abs(p3 - p4))
     return {
         "abba": abba, "baba": baba, "abaa": (1 - p1) * p2 * (1 - p3) * (1 - p4), "baaa": p1 * (1 - p2) * (1 - p3) * (1 - p4),
+        "abaa_babb": (1 - p1) * p2 * (1 - p3) * (1 - p4) + p1 * (1 - p2) * p3 * p4, "baaa_abbb": p1 * (1 - p2) * (1 - p3) * (1 - p4) + (1 - p1) * p2 * p3 * p4,
+        "abba_baab": abba + p1 * (1 - p2) * (1 - p3) * p4, "baba_abab": baba + (1 - p1) * p2 * (1 - p3) * p4,
         "n_f4": f4(p1, p2, p3, p4), "n_f4c": f4c(p1, p2, p3, p4), "d_d": abba + baba,
         "d_new": abba + baba + p1 * (1 - p2) * (1 - p3) * p4 + (1 - p1) * p2 * (1 - p3) * p4,
         "d_fhom": f4(p1, p3, p3, p4), "d_fhomc": f4c(p1, p3, p3, p4), "d_fd": donor(f4), "d_fdc": donor(f4c),
@@ -79,6 +81,8 @@ RATIOS = {
     "fhom": ("n_f4", "d_fhom"), "fhom_c": ("n_f4c", "d_fhomc"), "fdh": ("n_f4c", "d_fdh"), "fdh2": ("n_f4c", "d_fdh2"), "fh": ("n_f4c", "d_fh"),
 }
 ABBA_BABA = ("D", "fd", "fdM")
+#: Patterns counted together with those of exchanged alleles.
+PAIRED = ("abaa_babb", "baaa_abbb", "abba_baab", "baba_abab")
 
 
 def four_pop(freqs: DataFrame, keys: list[str], stats=tuple(RATIOS), sums=("abba", "baba", "abaa", "baaa"), min_sites: int = 1) -> DataFrame:

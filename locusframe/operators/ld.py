@@ -41,47 +41,58 @@ def ld_pairs(calls: DataFrame, keys: list[str], max_distance: int | None = None)
     return p.select(*k, "pos_a", "pos_b", F.col("n").cast("long").alias("n"), "d", F.try_divide(F.col("d"), top).alias("d_prime"), r.alias("r"), (r * r).alias("r2"))
 
 
-def orient(vectors: np.ndarray, hets: np.ndarray) -> tuple[list[int], list[bool]]:
-    """Order and flips of sites (rows of +1/-1/0) for greatest LD with those before.
+def _r2(x: np.ndarray, y: np.ndarray) -> float:
+    m = (x >= 0) & (y >= 0)
+    a, b = x[m].astype(float), y[m].astype(float)
+    return float(np.corrcoef(a, b)[0, 1] ** 2) if len(a) > 1 and a.std() > 0 and b.std() > 0 else float("nan")
 
-    Sites go by heterozygote count, largest first (earlier on ties); each is flipped if
-    its mean correlation with those already oriented is negative.
+
+def phase_for_ld(m: np.ndarray, samples: list[np.ndarray]) -> np.ndarray:
+    """Alleles (sites x haplotypes, -1 missing) with each heterozygote put in the order of greatest LD.
+
+    Sites with heterozygotes go by their number, most first (earlier on ties). The first has
+    every sample's alleles ascending; each further one ascending or descending, whichever has the
+    greater mean r2 with the sites done before; ascending on ties, and where r2 is not defined.
+    With fewer than two such sites nothing changes.
     """
-    order = sorted(range(len(vectors)), key=lambda i: (-int(hets[i]), i))
-    done: list[np.ndarray] = []
-    flips = []
-    for i in order:
-        v = vectors[i].astype(float)
-        cor = []
-        for u in done:
-            m = (u != 0) & (v != 0)
-            if m.sum() > 1 and u[m].std() > 0 and v[m].std() > 0:
-                cor.append(np.corrcoef(u[m], v[m])[0, 1])
-        flip = bool(cor) and float(np.mean(cor)) < 0
-        flips.append(flip)
-        done.append(-v if flip else v)
-    return order, flips
+    het = np.array([sum(len(set(row[s][row[s] >= 0].tolist())) > 1 for s in samples) for row in m], int)
+    todo = [i for i in sorted(range(len(m)), key=lambda i: (-het[i], i)) if het[i]]
+    out = m.copy()
+    if len(todo) < 2:
+        return out
+
+    def ordered(row, step):
+        new = row.copy()
+        for s in samples:
+            new[s] = np.sort(row[s])[::step]
+        return new
+
+    mean = lambda v: np.nanmean(v) if not np.isnan(v).all() else 0.0
+    out[todo[0]] = ordered(m[todo[0]], 1)
+    for k, i in enumerate(todo[1:], 1):
+        up, down = ordered(m[i], 1), ordered(m[i], -1)
+        score = [mean(np.array([_r2(out[j], o) for j in todo[:k]])) for o in (up, down)]
+        out[i] = up if score[0] >= score[1] - 1e-12 else down
+    return out
 
 
 def max_ld_phase(calls: DataFrame, keys: list[str], types: str) -> DataFrame:
-    """Per window the biallelic sites in the order of ``orient``, with their flips."""
+    """Per window (keys) position, sample, hap, allele of the sites with at most two alleles, phased by ``phase_for_ld``."""
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pos = np.sort(pdf["position"].unique())
-        m = pdf.pivot_table(index="position", columns=["sample", "hap"], values="allele", aggfunc="first").reindex(pos).to_numpy(float)
-        rows, vec, het = [], [], []
-        for p, x in zip(pos, m, strict=True):
-            u = np.unique(x[~np.isnan(x)])
-            if len(u) == 2:
-                vec.append(np.where(np.isnan(x), 0, np.where(x == u[0], 1, -1)))
-                g = vec[-1].reshape(-1, 2) if len(x) % 2 == 0 else vec[-1][:, None]
-                het.append(int((g.prod(1) < 0).sum()) if g.shape[1] == 2 else 0)
-                rows.append(int(p))
-        order, flips = orient(np.array(vec), np.array(het)) if rows else ([], [])
-        out = pd.DataFrame({"position": [rows[i] for i in order], "rank": range(len(order)), "flip": flips, "hets": [het[i] for i in order]})
+        t = pdf.pivot_table(index="position", columns=["sample", "hap"], values="allele", aggfunc="first", dropna=False).sort_index().sort_index(axis=1)
+        m = t.to_numpy(float)
+        m = np.where(np.isnan(m), -1, m).astype(int)
+        ok = np.array([len(set(r[r >= 0].tolist())) <= 2 for r in m], bool)
+        m, pos = m[ok], t.index.to_numpy()[ok]
+        names = t.columns.get_level_values("sample").to_numpy()
+        m = phase_for_ld(m, [np.flatnonzero(names == s) for s in pd.unique(names)])
+        out = pd.DataFrame({"position": np.repeat(pos, m.shape[1]), "sample": np.tile(names, len(m)), "hap": np.tile(t.columns.get_level_values("hap").to_numpy(), len(m))})
+        out["allele"] = pd.array(np.where(m < 0, 0, m).ravel(), dtype="Int64")
+        out.loc[m.ravel() < 0, "allele"] = pd.NA
         for k in reversed(keys):
             out.insert(0, k, pdf[k].iloc[0])
         return out
 
     names = [*keys, "position", "sample", "hap", "allele"]
-    return calls.select(*names).groupBy(*keys).applyInPandas(kernel, f"{types}, position long, rank long, flip boolean, hets long")
+    return calls.select(*names).groupBy(*keys).applyInPandas(kernel, f"{types}, position long, sample long, hap long, allele long")

@@ -1,45 +1,91 @@
 """Pairwise comparison of haplotypes.
 
 For statistics with missing data, pairs are compared over the sites both have called.
-A tile of the genome becomes one-hot matrices and a few matrix products (haplotypes x
-haplotypes) instead of a join of every pair at every site; tiles are summed afterwards,
-so a window, or the whole genome, never has to fit into one task. ``pair_join`` is the
-same as a self-join, for checking.
+Sites are put together in the JVM, a row and an array of calls each, and dealt out by
+stretches of the genome; a task streams over its sites and adds up one-hot matrix products
+(haplotypes x haplotypes) per window, instead of a join of every pair at every site. Partial
+matrices are summed afterwards, so a window, or the whole genome, never has to fit into one
+task; what a task holds grows with the haplotypes only.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.operators.windows import in_coordinate_windows
 
-#: Tiles of a comparison over all sites.
-TILES = 256
-
-
-def _pairs(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
-    """called and diff for all pairs a <= b of one tile."""
-    haps, row = np.unique(pdf["h"].to_numpy(), return_inverse=True)
-    site = np.unique(pdf["site"].to_numpy(), return_inverse=True)[1]
-    m = np.full((len(haps), site.max() + 1), -1, np.int8)
-    m[row, site] = pdf["allele"].to_numpy()
-    called = np.zeros((len(haps),) * 2, np.float64)
-    same = np.zeros_like(called)
-    for i in range(0, m.shape[1], 8192):
-        part = m[:, i : i + 8192]
-        c = (part >= 0).astype(np.float32)
-        called += c @ c.T
-        for b in range(4):
-            x = (part == b).astype(np.float32)
-            same += x @ x.T
-    a, b = np.triu_indices(len(haps))
-    out = pd.DataFrame({"a": haps[a], "b": haps[b], "called": called[a, b].astype(np.int64), "diff": (called - same)[a, b].astype(np.int64)})
-    for k in reversed(keys):
-        out.insert(0, k, pdf[k].iloc[0])
-    return out[out["called"] > 0]
+#: Positions of a stretch; several windows may share one, a longer window has several.
+STRETCH = 20_000
+
+
+class _Sums:
+    """called and same for all pairs of haplotypes met so far."""
+
+    def __init__(self):
+        self.haps = np.empty(0, np.int64)
+        self.called = self.same = np.zeros((0, 0))
+
+    def add(self, h: np.ndarray, site: np.ndarray, allele: np.ndarray) -> None:
+        haps = np.union1d(self.haps, h)
+        if len(haps) > len(self.haps):
+            old = np.ix_(*[np.searchsorted(haps, self.haps)] * 2)
+            called, same = np.zeros((2, len(haps), len(haps)))
+            called[old], same[old] = self.called, self.same
+            self.haps, self.called, self.same = haps, called, same
+        site = np.unique(site, return_inverse=True)[1]
+        m = np.full((len(haps), site.max() + 1), -1, np.int8)
+        m[np.searchsorted(haps, h), site] = allele
+        for i in range(0, m.shape[1], 8192):
+            part = m[:, i : i + 8192]
+            c = (part >= 0).astype(np.float32)
+            self.called += c @ c.T
+            for b in range(4):
+                x = (part == b).astype(np.float32)
+                self.same += x @ x.T
+
+
+def _pair_sums(n_keys: int, schema: pa.Schema):
+    """Streams over sites sorted by their keys and yields the pairs a <= b of each key."""
+
+    def rows(key: tuple, sums: _Sums):
+        a, b = np.triu_indices(len(sums.haps))
+        called = sums.called[a, b].astype(np.int64)
+        m = called > 0
+        a, b, called = a[m], b[m], called[m]
+        diff = called - sums.same[a, b].astype(np.int64)
+        keys = [pa.array([k] * len(a), schema.field(i).type) for i, k in enumerate(key)]
+        yield pa.RecordBatch.from_arrays([*keys, pa.array(sums.haps[a]), pa.array(sums.haps[b]), pa.array(called), pa.array(diff)], schema=schema)
+
+    def run(batches):
+        key, sums = None, _Sums()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column(n_keys)
+            flat = lists.flatten()
+            ends = np.cumsum(lists.value_lengths().to_numpy())
+            site = np.repeat(np.arange(len(lists)), np.diff(ends, prepend=0))
+            h, allele = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            own = list(zip(*[batch.column(i).to_pylist() for i in range(n_keys)], strict=True)) if n_keys else [()] * len(lists)
+            at = 0
+            while at < len(own):
+                z = at + 1
+                while z < len(own) and own[z] == own[at]:
+                    z += 1
+                if own[at] != key:
+                    if key is not None:
+                        yield from rows(key, sums)
+                    key, sums = own[at], _Sums()
+                s = slice(ends[at - 1] if at else 0, ends[z - 1])
+                sums.add(h[s], site[s], allele[s])
+                at = z
+        if key is not None:
+            yield from rows(key, sums)
+
+    return run
 
 
 def pair_counts(calls: DataFrame, keys: list[str], types: str) -> DataFrame:
@@ -48,24 +94,20 @@ def pair_counts(calls: DataFrame, keys: list[str], types: str) -> DataFrame:
     ``keys`` (with ``types`` as DDL) name the window, already assigned; none means all
     sites. ``h`` numbers a haplotype: sample * 2 + hap.
     """
-    c = calls.where("allele is not null").select(
-        *keys, (F.col("sample") * 2 + F.col("hap")).cast("long").alias("h"), F.xxhash64("scaffold", "position").alias("site"), F.col("allele").cast("byte").alias("allele")
-    )
-    # the whole genome is cut into tiles by site, which are summed again
-    c = c.withColumn("_tile", F.lit(0).cast("long") if keys else F.pmod(F.xxhash64("site"), F.lit(TILES)))
-    names = [*keys, "_tile"]
-    got = c.groupBy(*names).applyInPandas(lambda pdf: _pairs(pdf, names), f"{types}{', ' if keys else ''}_tile long, a long, b long, called long, diff long")
+    by = list(dict.fromkeys([*keys, "scaffold", "position"]))
+    call = F.struct((F.col("sample") * 2 + F.col("hap")).cast("long").alias("h"), F.col("allele").cast("byte").alias("allele"))
+    sites = calls.where("allele is not null").groupBy(*by).agg(F.collect_list(call).alias("v"))  # a site's haplotypes
+    n = int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sites = sites.repartition(n, "scaffold", F.floor(F.col("position") / STRETCH)).select(*keys, "v")
+    if keys:
+        sites = sites.sortWithinPartitions(*keys)
+    ddl = f"{types}{', ' if keys else ''}a long, b long, called long, diff long"
+    empty = calls.sparkSession.createDataFrame([], ddl)
+    schema = pa.schema([(f.name, pa.string() if f.dataType.simpleString() == "string" else pa.int64()) for f in empty.schema])
+    got = sites.mapInArrow(_pair_sums(len(keys), schema), ddl)
     return got.groupBy(*keys, "a", "b").agg(F.sum("called").alias("called"), F.sum("diff").alias("diff"))
 
 
-def pair_join(calls: DataFrame, keys: list[str]) -> DataFrame:
-    """``pair_counts`` for a < b as a self-join by site."""
-    c = calls.where("allele is not null").select(*keys, "scaffold", "position", (F.col("sample") * 2 + F.col("hap")).alias("h"), "allele")
-    on = list(dict.fromkeys([*keys, "scaffold", "position"]))
-    p = c.withColumnsRenamed({"h": "a", "allele": "x"}).join(c.withColumnsRenamed({"h": "b", "allele": "y"}), on).where("a < b")
-    return p.groupBy(*keys, "a", "b").agg(F.count("*").alias("called"), F.count_if(F.col("x") != F.col("y")).alias("diff"))
-
-
 def window_pairs(calls: DataFrame, size: int, step: int | None = None) -> DataFrame:
     """Pair counts per coordinate window (scaffold, k).
 

@@ -157,25 +157,12 @@ def derived_allele(counts: DataFrame, outgroup, one_derived: bool = True) -> Dat
     return both.withColumn("ancestral", anc.cast("long")).withColumn("derived", F.when(ok, F.get(derived, F.lit(0))["base"])).withColumn("ancestral", F.when(ok, F.col("ancestral")))
 
 
-def thin_sites(sites: DataFrame, distance: int) -> DataFrame:
-    """Greedy thinning per scaffold: the first site is the anchor and is dropped.
+def thin_kernel(positions, distance: int) -> list[int]:
+    """Greedy thinning of sorted positions: the first is the anchor and is dropped.
 
     A later site stays if it lies ``distance`` or more beyond the last that stayed (at
-    first: the anchor). The scan is sequential by nature, so a scaffold's positions
-    (8 bytes each) are folded in one task; the sites themselves are joined back.
+    first: the anchor).
     """
-    kept = F.aggregate(
-        F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0))),
-        F.struct(F.get("p", F.lit(0)).alias("last"), F.array().cast("array<bigint>").alias("keep")),
-        lambda a, x: F.when(x - a["last"] >= distance, F.struct(x.alias("last"), F.array_append(a["keep"], x).alias("keep"))).otherwise(a),
-        lambda a: a["keep"],
-    )
-    p = sites.groupBy("scaffold").agg(F.array_sort(F.collect_set(F.col("position").cast("long"))).alias("p"))
-    return sites.join(p.select("scaffold", F.explode(kept).alias("position")), SITE, "left_semi")
-
-
-def thin_kernel(positions, distance: int) -> list[int]:
-    """The same scan over one sorted list, in linear time."""
     out, last = [], None
     for x in positions:
         if last is None:
@@ -186,8 +173,8 @@ def thin_kernel(positions, distance: int) -> list[int]:
     return out
 
 
-def thin_sites_fast(sites: DataFrame, distance: int) -> DataFrame:
-    """``thin_sites`` with the scan in Arrow batches; for scaffolds of many sites."""
+def thin_sites(sites: DataFrame, distance: int) -> DataFrame:
+    """Sites that ``thin_kernel`` keeps per scaffold; each step depends on the one before, so a scaffold's positions go to one task."""
     import pandas as pd
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from locusframe.operators.joins import broadcast_up_to
+
 QUANTILES = (5, 25, 50, 75, 95)
 
 
@@ -45,7 +47,7 @@ def reference_distances(pairs: DataFrame, pops: DataFrame, keys: list[str]) -> D
     """Mean distance of each haplotype to each population; itself counts as 0."""
     both = pairs.select(*keys, "a", "b", (F.col("diff") / F.col("called")).alias("d"))
     turned = both.where("a <> b").select(*keys, F.col("b").alias("a"), F.col("a").alias("b"), "d")
-    p = both.unionByName(turned).join(F.broadcast(pops.select(F.col("h").alias("b"), "pop")), "b")
+    p = both.unionByName(turned).join(broadcast_up_to(pops.select(F.col("h").alias("b"), "pop")), "b")
     return p.groupBy(*keys, F.col("a").alias("h"), "pop").agg(F.avg("d").alias("dist"), F.count("*").alias("n"))
 
 
@@ -78,7 +80,7 @@ def paint_rank_sum(pairs: DataFrame, pops: DataFrame, keys: list[str], types: st
     """Nearest population if the rank-sum test puts it nearer than every other one."""
     both = pairs.select(*keys, "a", "b", (F.col("diff") / F.col("called")).alias("d"))
     turned = both.where("a <> b").select(*keys, F.col("b").alias("a"), F.col("a").alias("b"), "d")
-    p = both.unionByName(turned).join(F.broadcast(pops.select(F.col("h").alias("b"), "pop")), "b").withColumnRenamed("a", "h")
+    p = both.unionByName(turned).join(broadcast_up_to(pops.select(F.col("h").alias("b"), "pop")), "b").withColumnRenamed("a", "h")
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         groups = {k: g.to_numpy(float) for k, g in pdf.groupby("pop")["d"]}

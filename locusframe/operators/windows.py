@@ -116,9 +116,13 @@ def site_windows_max_distance(sites: DataFrame, size: int, overlap: int, max_dis
 
 
 def predefined_windows(sites: DataFrame, windows: DataFrame) -> DataFrame:
-    """``windows`` (wname, scaffold, start, end) with their sites and mid, empty ones too."""
-    placed = points_in_intervals(sites.select("scaffold", "position"), windows.select("wname", "scaffold", "start", "end"))
-    return window_summary(windows, placed.select("wname", "position"), ["wname"])
+    """``windows`` (wname, scaffold, start, end) with their sites and mid, empty ones too.
+
+    A window is its name, scaffold and ends together, as names may be missing (NA) or repeat.
+    """
+    keys = ["wname", "scaffold", "start", "end"]
+    placed = points_in_intervals(sites.select("scaffold", "position"), windows.select(*keys).distinct())
+    return window_summary(windows, placed.select(*keys, "position"), keys)
 
 
 def blocks(sites: DataFrame, size: int) -> DataFrame:

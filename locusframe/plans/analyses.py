@@ -106,7 +106,7 @@ def filter_genotypes(calls: DataFrame, thin: int | None = None, **tests) -> Data
     """Calls of the sites that pass ``sites.filter_sites`` and then the thinning."""
     s = sites.filter_sites(calls, **tests).select("scaffold", "position")
     if thin:
-        s = sites.thin_sites_fast(s, thin)
+        s = sites.thin_sites(s, thin)
     return calls.join(s, ["scaffold", "position"], "left_semi")
 
 

@@ -37,16 +37,24 @@ def test_pi_dxy_fst(spark):
     assert near([w[0].pi_x, w[0].pi_y, w[0].dxy, w[0].fst], [0.25, 0.3333333, 0.6458333, 0.4096386])
 
 
+def pair_join(calls: DataFrame, keys: list[str]) -> DataFrame:
+    """Pair counts for a < b as a self-join by site."""
+    c = calls.where("allele is not null").select(*keys, "scaffold", "position", (F.col("sample") * 2 + F.col("hap")).alias("h"), "allele")
+    on = list(dict.fromkeys([*keys, "scaffold", "position"]))
+    p = c.withColumnsRenamed({"h": "a", "allele": "x"}).join(c.withColumnsRenamed({"h": "b", "allele": "y"}), on).where("a < b")
+    return p.groupBy(*keys, "a", "b").agg(F.count("*").alias("called"), F.count_if(F.col("x") != F.col("y")).alias("diff"))
+
+
 def test_matrix_kernel_equals_join_and_tiles(spark):
     r = random.Random(1)
     t = {p: " ".join("/".join(r.choice("ACGTN") for _ in range(2)) for _ in range(4)) for p in sorted(r.sample(range(1, 400), 60))}
     c = calls(spark, t)
     key = lambda x: (x.a, x.b, x.called, x.diff)
-    assert sorted(map(key, pairs.pair_counts(c, [], "").where("a < b").collect())) == sorted(map(key, pairs.pair_join(c, []).collect()))
+    assert sorted(map(key, pairs.pair_counts(c, [], "").where("a < b").collect())) == sorted(map(key, pair_join(c, []).collect()))
     for size, step in ((50, None), (60, 20), (20, 50)):
         got = {(x.k, x.a, x.b): (x.called, x.diff) for x in pairs.window_pairs(c, size, step).where("a < b").collect()}
         placed = windows.in_coordinate_windows(c, size, step)
-        assert got == {(x.k, x.a, x.b): (x.called, x.diff) for x in pairs.pair_join(placed, ["k"]).collect()}
+        assert got == {(x.k, x.a, x.b): (x.called, x.diff) for x in pair_join(placed, ["k"]).collect()}
 
 
 def test_theta_and_heterozygosity(spark):
@@ -77,8 +85,7 @@ def test_site_windows_and_thinning(spark):
     w = windows.site_windows(s, 3, 1, 2).orderBy("i").collect()
     assert [(r.start, r.end, r.sites) for r in w] == [(1, 21, 3), (21, 41, 3), (41, 61, 3)]
     t = spark.createDataFrame([("s", p) for p in (1, 5, 12, 14, 30)], "scaffold string, position long")
-    for f in (sites.thin_sites, sites.thin_sites_fast):
-        assert sorted(r.position for r in f(t, 10).collect()) == [12, 30]
+    assert sorted(r.position for r in sites.thin_sites(t, 10).collect()) == [12, 30]
     assert windows.max_distance_windows([1, 2, 3, 50, 51, 52, 53], 3, 1, 10, 2) == [(0, 2), (3, 5), (5, 6)]
     r = windows.ranked(spark.createDataFrame([("s", p) for p in range(0, 5000, 7)], "scaffold string, position long"), 100)
     assert all(x.position == 7 * x.rn for x in r.collect())
@@ -114,8 +121,18 @@ def test_ld(spark):
     rows = [("s", p, i // 2, 0, i % 2, x) for p, v in ((1, a), (2, b), (3, [None, 0, 0, 0, 0, 0])) for i, x in enumerate(v)]
     r = ld.ld_pairs(spark.createDataFrame(rows, SCHEMA), []).collect()
     assert len(r) == 1 and near([r[0].d, r[0].d_prime, r[0].r2], [0.1666667, 1.0, 0.5])
-    order, flips = ld.orient(np.array([[1, 1, -1, -1], [-1, -1, 1, 1], [1, 1, -1, 1]]), np.array([2, 3, 1]))
-    assert order == [1, 0, 2] and flips == [False, True, True]
+    # two samples: the first two sites have two hets each, the third one
+    m = np.array([[0, 1, 1, 0], [2, 3, 3, 2], [0, 0, 1, 0], [1, 1, 1, 1]])
+    got = ld.phase_for_ld(m, [np.array([0, 1]), np.array([2, 3])])
+    assert got.tolist() == [[0, 1, 0, 1], [2, 3, 2, 3], [0, 0, 0, 1], [1, 1, 1, 1]]
+    r = random.Random(2)
+    for _ in range(20):  # genotypes stay, homozygotes and sites without heterozygotes too
+        m = np.array([[r.choice((-1, 0, 2)) for _ in range(8)] for _ in range(6)])
+        got = ld.phase_for_ld(m, [np.arange(2 * i, 2 * i + 2) for i in range(4)])
+        assert all(sorted(got[s, 2 * i : 2 * i + 2]) == sorted(m[s, 2 * i : 2 * i + 2]) for s in range(6) for i in range(4))
+    rows = [("s", p, i // 2, 0, i % 2, x) for p, v in ((1, [0, 1, 1, 0]), (2, [2, 3, 3, None])) for i, x in enumerate(v)]
+    out = ld.max_ld_phase(spark.createDataFrame(rows, SCHEMA), ["scaffold"], "scaffold string").orderBy("position", "sample", "hap").collect()
+    assert [x.allele for x in out] == [0, 1, 0, 1, 2, 3, None, 3]
 
 
 def test_haplotype_homozygosity(spark):
