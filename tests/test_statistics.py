@@ -37,7 +37,7 @@ def test_pi_dxy_fst(spark):
     assert near([w[0].pi_x, w[0].pi_y, w[0].dxy, w[0].fst], [0.25, 0.3333333, 0.6458333, 0.4096386])
 
 
-def pair_join(calls: DataFrame, keys: list[str]) -> DataFrame:
+def pair_join(calls, keys):
     """Pair counts for a < b as a self-join by site."""
     c = calls.where("allele is not null").select(*keys, "scaffold", "position", (F.col("sample") * 2 + F.col("hap")).alias("h"), "allele")
     on = list(dict.fromkeys([*keys, "scaffold", "position"]))
