@@ -14,7 +14,7 @@ from locusframe.llm import chat, common, decontam, licenses, lines, mixing, qual
 from locusframe.llm import queries as q
 from pyspark.sql import functions as F
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, h string, _text string, n_removed_lines int, _id int, _name int, _bad_id int, _ int, _node string, ID_ int"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, h string, _text string, _id int, _name int, _bad_id int, _ int, _node string, ID_ int, n_removed_lines int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SF = "/root/testdata/sf0.001"
 
@@ -24,7 +24,7 @@ def docs(spark, texts, ids=None, sources=None):
     n = len(texts)
     ids = list(range(n)) if ids is None else ids
     sources = [f"s{i % 3}" for i in range(n)] if sources is None else sources
-    rows = [(ids[i], t, None, sources[i], None if t is None else len(t), i, "x", "y", 9, i, i, i, i, "z", i) for i, t in enumerate(texts)]
+    rows = [(ids[i], t, None, sources[i], None if t is None else len(t), i, "x", "y", i, i, i, i, "z", i, 9) for i, t in enumerate(texts)]
     return spark.createDataFrame(rows, DOCS)
 
 
