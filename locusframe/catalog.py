@@ -145,11 +145,37 @@ def filter_freq(g, *_):
     return rounded(sites.filter_sites(g, min_freq=0.1, max_freq=0.45).select(*SITE, "second_freq"))
 
 
-@query()
+def _hwe(by: str = "") -> dict[str, str]:
+    """WITH parts up to ``hp_``: p of the exact test per biallelic site (and ``by``)."""
+    keys = f"scaffold, position{by}"
+    return {
+        "hx": f"SELECT *, min(lo) OVER w AS l, max(hi) OVER w AS u FROM gt WHERE n_called = 2 AND ploidy = 2 WINDOW w AS (PARTITION BY {keys})",
+        "ht": f"""SELECT {keys}, count(*) FILTER (WHERE d = 2) AS het, count(*) FILTER (WHERE d = 1 AND lo = l) AS hom1, count(*) FILTER (WHERE d = 1 AND lo = u) AS hom2
+          FROM hx GROUP BY {keys} HAVING min(l) < max(u) AND bool_and(lo IN (l, u) AND hi IN (l, u))""",
+        "hw": """SELECT *, list_transform(range(rare % 2, rare + 1, 2), lambda h: h * ln(2) - lgamma(h + 1) - lgamma((rare - h) // 2 + 1) - lgamma((n2 - rare - h) // 2 + 1)) AS ws
+          FROM (SELECT *, 2 * least(hom1, hom2) + het AS rare, 2 * (het + hom1 + hom2) AS n2 FROM ht)""",
+        "hp_": f"""SELECT {keys}, het, hom1, hom2, list_sum(list_transform(list_filter(ws, lambda x: x <= ws[(het - rare % 2) // 2 + 1] + 1e-9), lambda x: exp(x))) / list_sum(list_transform(ws, lambda x: exp(x))) AS p FROM hw""",
+    }
+
+
+@query(sql("gt", "SELECT scaffold, position, het, hom1, hom2, round(p, 6) AS p FROM hp_", **_hwe()))
 def hwe_test(g, *_):
     return rounded(sites.hwe_test(g))
 
 
+@query(
+    sql(
+        "m",
+        """SELECT scaffold, position FROM m WHERE full_calls >= 1 AND n_alleles >= 2 AND NOT EXISTS (SELECT 1 FROM hp_ WHERE hp_.scaffold = m.scaffold AND hp_.position = m.position AND p <= 0.2)
+        AND EXISTS (SELECT 1 FROM pc WHERE pc.scaffold = m.scaffold AND pc.position = m.position)""",
+        **_hwe(", pop"),
+        pc="SELECT scaffold, position FROM (SELECT scaffold, position, pop, count(*) FILTER (WHERE n_called = ploidy) AS n FROM gt GROUP BY 1, 2, 3) GROUP BY 1, 2 HAVING min(n) >= 4",
+    )
+)
+def filter_hwe(g, *_):
+    return analyses.filter_genotypes(g, hwe_p=0.2, populations={"min_pop_calls": 4}, min_alleles=2).select(*SITE).distinct()
+
+
 _POPK = """SELECT scaffold, position, pop, called, n_a, n_c, n_g, n_t, (CASE WHEN n_a > 0 THEN 1 ELSE 0 END) + (CASE WHEN n_c > 0 THEN 1 ELSE 0 END)
   + (CASE WHEN n_g > 0 THEN 1 ELSE 0 END) + (CASE WHEN n_t > 0 THEN 1 ELSE 0 END) AS k FROM cp"""
 _POPS = """SELECT scaffold, position, min(k) AS min_k, max(k) AS max_k, (CASE WHEN sum(n_a) > 0 THEN 1 ELSE 0 END) + (CASE WHEN sum(n_c) > 0 THEN 1 ELSE 0 END)
@@ -441,7 +467,18 @@ def wind_sites(g, *_):
     return windows.site_windows(_sites(g), 20, 5, 10)
 
 
-@query()
+@query(
+    sql(
+        "sites",
+        """SELECT r.scaffold, row_number() OVER (PARTITION BY r.scaffold ORDER BY r.a) - 1 AS i, x.position AS start, y.position AS "end", r.z - r.a + 1 AS sites
+        FROM step r JOIN s x ON x.scaffold = r.scaffold AND x.rn = r.a JOIN s y ON y.scaffold = r.scaffold AND y.rn = r.z WHERE r.ok""",
+        s="SELECT scaffold, position, row_number() OVER (PARTITION BY scaffold ORDER BY position) - 1 AS rn, count(*) OVER (PARTITION BY scaffold) AS n FROM sites",
+        reach="SELECT a.scaffold, a.rn AS a, max(b.rn) AS z, max(a.n) AS n FROM s a JOIN s b ON b.scaffold = a.scaffold AND b.rn BETWEEN a.rn AND a.rn + 19 AND b.position - a.position <= 600 GROUP BY 1, 2",
+        step="""SELECT scaffold, a, z, n, z - a >= 4 AS ok, CASE WHEN z - a >= 4 THEN z ELSE -1 END AS last FROM reach WHERE a = 0
+          UNION ALL SELECT r.scaffold, r.a, r.z, r.n, r.z - r.a >= 4 AND r.z > p.last, CASE WHEN r.z - r.a >= 4 AND r.z > p.last THEN r.z ELSE p.last END
+          FROM step p JOIN reach r ON r.scaffold = p.scaffold AND r.a = (CASE WHEN p.ok THEN greatest(p.a + 1, p.z - 4) ELSE p.a + 1 END) WHERE NOT (p.ok AND p.z = p.n - 1)""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+)
 def wind_sites_maxdist(g, *_):
     return windows.site_windows_max_distance(_sites(g), 20, 5, 600, 5)
 
@@ -653,6 +690,19 @@ def dist_matrix(g, *_):
     return rounded(analyses.distance_matrices(g))
 
 
+@query(
+    sql(
+        "pr hp",
+        """SELECT al.scaffold, al.k, s1, s2, round(CASE WHEN ok.k IS NOT NULL THEN sum(w * d) / sum(w) END, 6) AS dist FROM al LEFT JOIN ok ON ok.scaffold = al.scaffold AND ok.k = al.k GROUP BY al.scaffold, al.k, ok.k, s1, s2""",
+        oc=f"SELECT scaffold, (position - 1) // {W} AS k, sample * 2 + hap AS h, count(allele) AS n FROM g GROUP BY 1, 2, 3",
+        ok="SELECT scaffold, k FROM oc WHERE n >= 17 GROUP BY 1, 2 HAVING count(*) = (SELECT count(*) FROM hp)",
+        al="SELECT scaffold, k, a // 2 AS s1, b // 2 AS s2, diff / called AS d, CASE WHEN a // 2 = b // 2 THEN 2 ELSE 1 END AS w FROM pr UNION ALL SELECT scaffold, k, h // 2, h // 2, 0.0, 1 FROM oc WHERE n > 0",
+    )
+)
+def dist_windows_gated(g, *_):
+    return rounded(analyses.distance_matrices(g, W, min_per_ind=17, same=True))
+
+
 _LDV = {
     "w": f"SELECT scaffold, (position - 1) // {W} AS k, position, sample * 2 + hap AS h, allele FROM g WHERE allele IS NOT NULL",
     "j": "SELECT a.scaffold, a.k, a.position AS pos_a, b.position AS pos_b, a.allele AS x, b.allele AS y FROM w a JOIN w b ON a.scaffold = b.scaffold AND a.k = b.k AND a.h = b.h AND a.position < b.position",
@@ -703,12 +753,20 @@ def freq_base_counts(g, *_):
 _PICK = "CASE {w} WHEN 0 THEN n_a WHEN 1 THEN n_c WHEN 2 THEN n_g WHEN 3 THEN n_t END"
 
 
-@query(sql("cp c", f"SELECT scaffold, position, pop, round(CASE WHEN cp.called >= 0.5 * cp.haps THEN {_PICK.format(w='minor')} / nullif(called, 0) END, 6) AS value FROM cp JOIN mi USING (scaffold, position)", mi="""SELECT scaffold, position, CASE WHEN len(l) = 2 THEN list_sort(list_transform(l, lambda x: {'n': -x.neg, 'b': x.b}))[1].b END AS minor
-  FROM (SELECT scaffold, position, list_filter([{'neg': -n_a, 'b': 0}, {'neg': -n_c, 'b': 1}, {'neg': -n_g, 'b': 2}, {'neg': -n_t, 'b': 3}], lambda x: x.neg < 0) AS l FROM c)"""))
+_MI = """SELECT scaffold, position, CASE WHEN len(l) = 2 THEN list_sort(list_transform(l, lambda x: {'n': -x.neg, 'b': x.b}))[1].b END AS minor
+  FROM (SELECT scaffold, position, list_filter([{'neg': -n_a, 'b': 0}, {'neg': -n_c, 'b': 1}, {'neg': -n_g, 'b': 2}, {'neg': -n_t, 'b': 3}], lambda x: x.neg < 0) AS l FROM c)"""
+
+
+@query(sql("cp c", f"SELECT scaffold, position, pop, round(CASE WHEN cp.called >= 0.5 * cp.haps THEN {_PICK.format(w='minor')} / nullif(called, 0) END, 6) AS value FROM cp JOIN mi USING (scaffold, position)", mi=_MI))
 def freq_minor(g, *_):
     return rounded(spectra.frequency_table(g, "minor", min_data=0.5))
 
 
+@query(sql("g c", "SELECT scaffold, position, sample, round(count(*) FILTER (WHERE allele = minor) / nullif(count(allele), 0), 6) AS value FROM g JOIN mi USING (scaffold, position) WHERE minor IS NOT NULL GROUP BY 1, 2, 3", mi=_MI))
+def freq_individuals(g, *_):
+    return rounded(spectra.frequency_table(g, "minor", by="sample", keep_empty=False))
+
+
 @query(sql("cp", f"SELECT scaffold, position, pop, round({_PICK.format(w='derived')} / nullif(called, 0), 6) AS value FROM cp JOIN der USING (scaffold, position)", d0=_DER, der=_DERIVED))
 def freq_derived(g, *_):
     return rounded(spectra.frequency_table(g, "derived", outgroup=4))
@@ -754,6 +812,11 @@ def sfs_pairs(g, *_):
     return spectra.all_spectra(spectra.target_counts(g, [0, 1, 2]), 3, 2)
 
 
+@query()
+def sfs_subsample_individuals(g, *_):
+    return spectra.sfs(spectra.subsample_individuals(g, [0, 1], 3), [0, 1])
+
+
 @query()
 def sfs_subsample(g, *_):
     return spectra.sfs(spectra.subsample_counts(g, [0, 1], 6), [0, 1])

@@ -124,6 +124,20 @@ def split_genotype(gt: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(gt, r"[/|]", ""), ""), lambda x: x != "")
 
 
+def two_sequences(genotypes: Column, diploid_codes: bool = False) -> Column:
+    """The two haplotypes (array of two texts) of an array of diploid genotypes: AT, A|T or codes.
+
+    A genotype without two letters is N in both.
+    """
+    two = lambda g: split_genotype(diploid_alleles(g) if diploid_codes else F.coalesce(g, F.lit("")))
+    return F.array(*[F.array_join(F.transform(genotypes, lambda g: F.when(F.size(two(g)) == 2, F.get(two(g), F.lit(i))).otherwise("N")), "") for i in range(2)])
+
+
+def homozygous_letters(codes: Column) -> Column:
+    """An array of diploid codes as haploid calls: heterozygous ones become N."""
+    return F.transform(codes, haploid_letter)
+
+
 def as_phased(alleles: Column, sep: str = "/") -> Column:
     return F.array_join(F.transform(alleles, lambda a: F.coalesce(F.substring(F.lit("ACGT"), (a + 1).cast("int"), F.lit(1)), F.lit("N"))), sep)
 

@@ -127,10 +127,24 @@ def window_pairs(calls: DataFrame, size: int, step: int | None = None) -> DataFr
     return placed.groupBy("scaffold", "k", "a", "b").agg(F.sum("called").alias("called"), F.sum("diff").alias("diff"))
 
 
-def individual_pairs(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean distance over the haplotype pairs of two samples; within one, of its own two."""
-    p = pairs.where("a < b").withColumn("s1", F.floor(F.col("a") / 2)).withColumn("s2", F.floor(F.col("b") / 2))
-    return p.groupBy(*keys, "s1", "s2").agg(F.avg(F.col("diff") / F.col("called")).alias("dist"))
+def individual_pairs(pairs: DataFrame, keys: list[str], same: bool = False, min_sites: int = 0) -> DataFrame:
+    """Mean distance over the haplotype pairs of two samples; within one, of its own two.
+
+    With ``same`` the mean within a sample is over all ordered pairs of its haplotypes, each
+    with itself (0) included. Pairs of fewer than ``min_sites`` shared sites do not count; a
+    pair of samples without any other has null.
+    """
+    p = (pairs if same else pairs.where("a < b")).withColumn("s1", F.floor(F.col("a") / 2)).withColumn("s2", F.floor(F.col("b") / 2))
+    twice = F.when((F.col("s1") == F.col("s2")) & (F.col("a") < F.col("b")), 2).otherwise(1)
+    weight = F.when(F.col("called") >= F.greatest(F.lit(1), F.lit(min_sites)), twice if same else F.lit(1)).otherwise(0)
+    total = F.sum(F.when(weight > 0, weight * F.col("diff") / F.col("called")))
+    return p.groupBy(*keys, "s1", "s2").agg(F.try_divide(total, F.sum(weight).cast("double")).alias("dist"))
+
+
+def enough_sites(pairs: DataFrame, keys: list[str], haplotypes: int, min_sites: int) -> DataFrame:
+    """The windows (keys) where each of so many haplotypes has ``min_sites`` called sites."""
+    ok = pairs.where((F.col("a") == F.col("b")) & (F.col("called") >= min_sites))
+    return ok.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") == haplotypes).drop("_n")
 
 
 def heterozygosity(calls: DataFrame, keys: list[str], min_sites: int = 1) -> DataFrame:

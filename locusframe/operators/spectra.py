@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from locusframe.operators.sites import COUNTS, SITE, n_alleles, ranked_alleles, site_counts
 
 
-def frequency_table(calls: DataFrame, target: str | None = None, outgroup=None, as_counts: bool = False, min_data: float = 0.0, threshold: float | None = None) -> DataFrame:
-    """A row per site and population.
+def frequency_table(calls: DataFrame, target: str | None = None, outgroup=None, as_counts: bool = False, min_data: float = 0.0, threshold: float | None = None, by: str = "pop", keep_empty: bool = True) -> DataFrame:
+    """A row per site and population (or per sample, with ``by`` as "sample").
 
     Without a target ``value`` is "nA,nC,nG,nT"; with ``minor`` or ``derived`` it is the
     frequency (or count) of that allele over all populations' data; populations below
-    ``min_data`` (a proportion) are null, as are sites where the allele is undefined.
+    ``min_data`` (a proportion) are null, as are sites where the allele is undefined. Unless
+    ``keep_empty``, sites without any value (of counts: any but 0) are left out.
     """
-    c = site_counts(calls, "pop")
+    c = site_counts(calls, by)
     if target is None:
-        return c.select(*SITE, "pop", F.concat_ws(",", *COUNTS).alias("value"))
+        return c.select(*SITE, by, F.concat_ws(",", *COUNTS).alias("value"))
     if target == "minor":
         from locusframe.operators.sites import minor_allele
 
@@ -25,13 +26,17 @@ def frequency_table(calls: DataFrame, target: str | None = None, outgroup=None,
     else:
         from locusframe.operators.sites import derived_allele
 
-        which = derived_allele(c, outgroup).select(*SITE, F.col("derived").alias("_allele"))
+        which = derived_allele(c if by == "pop" else site_counts(calls, "pop"), outgroup).select(*SITE, F.col("derived").alias("_allele"))
     n = F.get(F.array(*COUNTS), F.col("_allele").cast("int"))
     enough = (F.col("called") > 0) & (F.col("called") >= min_data * F.col("haps"))
     value: Column = n if as_counts else F.try_divide(n.cast("double"), F.col("called").cast("double"))
     if threshold is not None:
         value = (value >= threshold).cast("int")
-    return c.join(which, SITE).select(*SITE, "pop", F.when(enough, value).alias("value"))
+    out = c.join(which, SITE).select(*SITE, by, F.when(enough, value).alias("value"))
+    if keep_empty:
+        return out
+    some = out.groupBy(*SITE).agg(F.max(F.col("value").cast("double")).alias("_top")).where(F.col("_top") > 0 if as_counts else F.col("_top").isNotNull())
+    return out.join(some, SITE, "left_semi")
 
 
 def target_counts(calls: DataFrame, pops: list, outgroup=None) -> DataFrame:
@@ -91,6 +96,21 @@ def subsample_counts(calls: DataFrame, pops: list, n: int, seed: int = 42) -> Da
     return target_counts(got.join(full, SITE), pops)
 
 
+def subsample_individuals(calls: DataFrame, pops: list, n: int, seed: int = 42) -> DataFrame:
+    """Target counts in ``n`` samples drawn per site and population, with all their calls.
+
+    Samples without a call at the site are not drawn; draws go by hash of (seed, site, sample);
+    sites where a population has fewer are left out.
+    """
+    c = calls.where(F.col("pop").isin(*pops) & F.col("allele").isNotNull())
+    per = c.groupBy(*SITE, "pop", "sample").agg(F.collect_list("allele").alias("x"))
+    rank = F.struct(F.xxhash64(F.lit(seed), *SITE, "sample").alias("r"), "sample", "x")
+    s = per.groupBy(*SITE, "pop").agg(F.slice(F.array_sort(F.collect_list(rank)), 1, n).alias("v")).where(F.size("v") == n)
+    got = s.select(*SITE, "pop", F.explode(F.flatten(F.transform("v", lambda v: v["x"]))).alias("allele"))
+    full = got.groupBy(*SITE).agg(F.count_distinct("pop").alias("k")).where(F.col("k") == len(pops)).drop("k")
+    return target_counts(got.join(full, SITE), pops)
+
+
 def genotype_patterns(calls: DataFrame) -> DataFrame:
     """How often each pattern of genotypes over the samples occurs.
 

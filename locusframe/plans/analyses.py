@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.operators import diversity, fourpop, pairs, sites, spectra, summary, windows
+from locusframe.operators import convert, diversity, fourpop, pairs, sites, spectra, summary, windows
 
 KEYS = ["scaffold", "k"]
 TYPES = "scaffold string, k long"
@@ -79,11 +79,20 @@ def four_pop_windows(calls: DataFrame, pops: tuple, size: int, step: int | None
     return _meta(calls, size, step).join(fourpop.four_pop(f, KEYS, min_sites=min_sites), KEYS, "left").where(F.col("sites") >= min_sites).drop("k")
 
 
-def distance_matrices(calls: DataFrame, size: int | None = None, step: int | None = None) -> DataFrame:
-    """Distances of samples per window, or over all sites: (keys, s1, s2, dist)."""
-    if size is None:
-        return pairs.individual_pairs(pairs.pair_counts(calls, [], ""), [])
-    return pairs.individual_pairs(pairs.window_pairs(calls, size, step), KEYS)
+def distance_matrices(calls: DataFrame, size: int | None = None, step: int | None = None, min_per_ind: int = 0, same: bool = False) -> DataFrame:
+    """Distances of samples per window, or over all sites: (keys, s1, s2, dist).
+
+    Windows where a haplotype has fewer than ``min_per_ind`` called sites have nulls; ``same``
+    as for ``individual_pairs``.
+    """
+    keys = [] if size is None else KEYS
+    wp = pairs.pair_counts(calls, [], "") if size is None else pairs.window_pairs(calls, size, step)
+    d = pairs.individual_pairs(wp, keys, same)
+    if not min_per_ind:
+        return d
+    good = pairs.enough_sites(wp, keys, haplotype_pops(calls).select("h").distinct().count(), min_per_ind).withColumn("_ok", F.lit(True))
+    d = d.join(good, keys, "left") if keys else d.join(F.broadcast(good.limit(1)), F.lit(True), "left")  # a row at most
+    return d.withColumn("dist", F.when(F.col("_ok"), F.col("dist"))).drop("_ok")
 
 
 def paint(calls: DataFrame, size: int, delta: float | None = None, p_threshold: float = 0.05) -> DataFrame:
@@ -102,9 +111,26 @@ def frequency_spectrum(calls: DataFrame, pops: list, outgroup=None, regions: Dat
     return spectra.sfs(t, dims or list(range(len(pops))))
 
 
-def filter_genotypes(calls: DataFrame, thin: int | None = None, **tests) -> DataFrame:
-    """Calls of the sites that pass ``sites.filter_sites`` and then the thinning."""
-    s = sites.filter_sites(calls, **tests).select("scaffold", "position")
+def filter_genotypes(
+    calls: DataFrame, thin: int | None = None, samples: list | None = None, drop_samples: list | None = None, hwe_p: float | None = None, by_pop: bool = True,
+    populations: dict | None = None, no_test: bool = False, **tests,
+) -> DataFrame:
+    """Calls of the sites that pass the tests, then thinned; samples are chosen before.
+
+    ``tests`` are those of ``sites.filter_sites``, ``populations`` those of
+    ``sites.population_filter``; sites out of Hardy-Weinberg proportions at ``hwe_p`` (in
+    any population, or over all samples) go. ``no_test`` lets all sites pass.
+    """
+    calls = convert.select_samples(calls, samples, drop_samples)
+    if no_test:
+        s = calls.select("scaffold", "position").distinct()
+    else:
+        s = sites.filter_sites(calls, **tests).select("scaffold", "position")
+        if populations:
+            s = s.join(sites.population_filter(calls, **populations).select("scaffold", "position"), ["scaffold", "position"], "left_semi")
+        if hwe_p is not None:
+            out = sites.hwe_test(calls, *(["pop"] if by_pop else [])).where(F.col("p") <= hwe_p)
+            s = s.join(out, ["scaffold", "position"], "left_anti")
     if thin:
         s = sites.thin_sites(s, thin)
     return calls.join(s, ["scaffold", "position"], "left_semi")

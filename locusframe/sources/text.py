@@ -228,13 +228,15 @@ def filter_vcf(vcf: DataFrame, min_qual: float | None = None, max_ref: int | Non
     return vcf if max_ref is None else vcf.where(F.length("ref") <= max_ref)
 
 
-def vcf_calls(vcf: DataFrame, gt_filters: list[dict] = (), skip_indels: bool = False, keep_partial: bool = False) -> DataFrame:
+def vcf_calls(vcf: DataFrame, gt_filters: list[dict] = (), skip_indels: bool = False, keep_partial: bool = False, ploidy: int | None = None, mismatch: str = "raise") -> DataFrame:
     """A row per site and sample: scaffold, position, sample, gt (letters), phase.
 
     A filter has flag, min, max and optionally site_types, gt_types, samples; where it
     applies, all of the flag's comma-separated values must be numbers within the bounds,
     else the genotype becomes missing. With ``skip_indels`` alleles whose length is not
     the reference's are missing; unless ``keep_partial``, one missing allele makes all so.
+    Where ``ploidy`` is given, a genotype of another number of alleles ends the job with an
+    error, or becomes ``ploidy`` missing alleles if ``mismatch`` is "missing".
     """
     x = vcf.select(F.col("chrom").alias("scaffold"), F.col("pos").alias("position"), "ref", "alt", site_type().alias("site_type"), F.explode("calls").alias("c"))
     x = x.select("*", F.col("c.sample").alias("sample"), F.col("c.fields").alias("v")).withColumn("code", F.coalesce(F.try_element_at("v", F.lit("GT")), F.lit("./.")))
@@ -257,6 +259,13 @@ def vcf_calls(vcf: DataFrame, gt_filters: list[dict] = (), skip_indels: bool = F
     got = F.when(ok, got).otherwise(F.transform(got, lambda a: F.lit("N")))
     if not keep_partial:
         got = F.when(F.exists(got, lambda a: a == "N"), F.transform(got, lambda a: F.lit("N"))).otherwise(got)
+    if ploidy is not None:
+        other = F.size(F.split("code", r"[/|]")) != ploidy
+        if mismatch == "missing":
+            got = F.when(other, F.array_repeat(F.lit("N"), ploidy)).otherwise(got)
+        else:
+            says = F.concat_ws(" ", F.col("sample"), F.col("scaffold"), F.col("position").cast("string"), F.col("code"), F.lit(f"is not of ploidy {ploidy}"))
+            got = F.when(other, F.raise_error(says).cast("array<string>")).otherwise(got)
     phase = F.when(F.contains("code", F.lit("|")), "|").otherwise("/")
     return x.select("scaffold", "position", "sample", F.array_join(got, "|").alias("_p"), phase.alias("phase")).select("scaffold", "position", "sample", F.when(F.col("phase") == "|", F.col("_p")).otherwise(F.replace("_p", F.lit("|"), F.lit("/"))).alias("gt"), "phase")
 
