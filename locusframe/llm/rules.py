@@ -64,8 +64,8 @@ def _repeated(words: Column, window: int) -> Column:
         F.when(F.size(words) >= window, F.sequence(F.lit(0), F.size(words) - window)).otherwise(F.array().cast("array<int>")),
         lambda i: F.struct(F.xxhash64(*[F.get(words, i + k) for k in range(window)]).alias("h"), i.alias("i")),
     )
-    order = F.array_sort(names)
-    starts = lambda s: F.array_sort(
+    order = F.sort_array(names)
+    starts = lambda s: F.sort_array(
         F.transform(F.filter(s, lambda x, j: (x["h"] == F.get(s, j - 1)["h"]) | (x["h"] == F.get(s, j + 1)["h"])), lambda x: x["i"])
     )
     covered = lambda p: F.aggregate(
