@@ -953,6 +953,19 @@ def window_trees(g, *_):
     return summary.window_trees(d, ["scaffold", "k"], "scaffold string, k long")
 
 
+@query(sql("g", f"""SELECT scaffold, k, haplotypes, min_called, snps FROM
+  (SELECT scaffold, k, count(*) AS haplotypes, min(n) AS min_called FROM (SELECT scaffold, (position - 1) // {10 * W} AS k, sample, hap, count(allele) AS n FROM g GROUP BY 1, 2, 3, 4) GROUP BY 1, 2)
+  JOIN (SELECT scaffold, k, count(*) FILTER (WHERE d > 1) AS snps FROM (SELECT scaffold, (position - 1) // {10 * W} AS k, position, count(DISTINCT allele) FILTER (WHERE sample NOT IN (0, 1)) AS d FROM g GROUP BY 1, 2, 3) GROUP BY 1, 2)
+  USING (scaffold, k)"""))
+def tree_window_gates(g, *_):
+    return summary.tree_window_gates(windows.in_coordinate_windows(g, 10 * W), ["scaffold", "k"], (0, 1))
+
+
+@query()
+def window_trees_bootstrap(g, *_):
+    return analyses.trees_by_window(g, 10 * W, min_sites=10, min_per_ind=5, min_snps=5, outgroup=(0,), bootstraps=2)
+
+
 # ---- scalar functions ---------------------------------------------------------------
 
 

@@ -101,7 +101,7 @@ def base_composition(calls: DataFrame, *by: str) -> DataFrame:
 
 
 def neighbour_joining(names: list[str], dist: np.ndarray) -> str:
-    """A Newick tree by neighbour joining; ties go to the first pair."""
+    """A Newick tree by neighbour joining; ties (to nine places) go to the first pair."""
     nodes, d = list(names), np.array(dist, float)
     if len(nodes) == 1:
         return f"{nodes[0]};"
@@ -110,7 +110,7 @@ def neighbour_joining(names: list[str], dist: np.ndarray) -> str:
         r = d.sum(1)
         q = (n - 2) * d - r[:, None] - r[None, :]
         np.fill_diagonal(q, np.inf)
-        i, j = sorted(np.unravel_index(q.argmin(), q.shape))
+        i, j = sorted(np.unravel_index(q.round(9).argmin(), q.shape))
         li = d[i, j] / 2 + (r[i] - r[j]) / (2 * (n - 2))
         joined = f"({nodes[i]}:{li:.6g},{nodes[j]}:{d[i, j] - li:.6g})"
         rest = [k for k in range(n) if k not in (i, j)]
@@ -133,3 +133,27 @@ def window_trees(individual: DataFrame, keys: list[str], types: str) -> DataFram
         return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), tree]], columns=[*keys, "newick"])
 
     return individual.groupBy(*keys).applyInPandas(kernel, f"{types}, newick string")
+
+
+def tree_window_gates(placed: DataFrame, keys: list[str], outgroup: tuple = ()) -> DataFrame:
+    """Per window the haplotypes in it, the fewest sites called in one, and the sites that vary outside ``outgroup`` (samples)."""
+    own = placed.groupBy(*keys, "sample", "hap").agg(F.count("allele").alias("n"))
+    own = own.groupBy(*keys).agg(F.count("*").alias("haplotypes"), F.min("n").alias("min_called"))
+    inner = F.when(~F.col("sample").isin(list(outgroup)), F.col("allele")) if outgroup else F.col("allele")
+    vary = placed.groupBy(*dict.fromkeys([*keys, "scaffold", "position"])).agg((F.min(inner) < F.max(inner)).alias("v"))
+    return own.join(vary.groupBy(*keys).agg(F.count_if("v").alias("snps")), keys)
+
+
+def resampled(placed: DataFrame, keys: list[str], replicates: int, seed: int = 0) -> DataFrame:
+    """``placed`` with ``replicate`` 1, 2, ...: each draws as many sites of a window as it has, with replacement.
+
+    A drawn site brings all its calls; its position is the window's first plus the number
+    of the draw, so that one drawn twice counts twice. Draws hash (seed, replicate, window,
+    number), so reruns agree whatever the partitioning. Without replicates there are no rows.
+    """
+    at = placed.groupBy(*keys).agg(F.array_sort(F.collect_set("position")).alias("at"))
+    d = at.withColumn("replicate", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(replicates).cast("long")))) if replicates else at.limit(0).withColumn("replicate", F.lit(1).cast("long"))
+    d = d.select(*keys, "replicate", "at", F.explode(F.sequence(F.lit(0), F.size("at") - 1)).alias("draw"))
+    pick = F.pmod(F.xxhash64(F.lit(seed), "replicate", *keys, "draw"), F.size("at")).cast("int")
+    d = d.select(*keys, "replicate", F.get("at", pick).alias("position"), (F.get("at", F.lit(0)) + F.col("draw")).alias("drawn"))
+    return placed.join(d, [*keys, "position"]).drop("position").withColumnRenamed("drawn", "position")

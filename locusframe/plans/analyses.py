@@ -101,6 +101,32 @@ def paint(calls: DataFrame, size: int, delta: float | None = None, p_threshold:
     return summary.paint_delta(wp, pops, KEYS, delta) if delta is not None else summary.paint_rank_sum(wp, pops, KEYS, TYPES, p_threshold)
 
 
+def trees_by_window(
+    calls: DataFrame, size: int, step: int | None = None, min_sites: int = 1, min_per_ind: int = 0, min_snps: int = 0, outgroup: tuple = (), bootstraps: int = 0, seed: int = 0
+) -> DataFrame:
+    """scaffold, k, start, end, mid, sites, replicate, newick: a tree per window and bootstrap replicate.
+
+    Trees join neighbours by the distances of samples; replicate 0 is the data, the others draw the
+    window's sites with replacement. Windows of fewer than ``min_sites`` sites, where a
+    haplotype has fewer than ``min_per_ind`` called sites, or with fewer than ``min_snps``
+    sites that vary outside ``outgroup`` (samples) have null trees.
+    """
+    keys, types = [*KEYS, "replicate"], f"{TYPES}, replicate long"
+    meta, placed = _meta(calls, size, step).drop("window_id"), windows.in_coordinate_windows(calls, size, step)
+    gates = summary.tree_window_gates(placed, KEYS, outgroup)
+    enough = F.col("snps") >= min_snps
+    if min_per_ind:
+        enough &= (F.col("haplotypes") == haplotype_pops(calls).select("h").distinct().count()) & (F.col("min_called") >= min_per_ind)
+    good = meta.where(F.col("sites") >= max(min_sites, 1)).join(gates.where(enough), KEYS).select(*KEYS)
+    placed = placed.join(good, KEYS, "left_semi")
+    every = placed.withColumn("replicate", F.lit(0).cast("long"))
+    if bootstraps:
+        every = every.unionByName(summary.resampled(placed, KEYS, bootstraps, seed))
+    trees = summary.window_trees(pairs.individual_pairs(pairs.pair_counts(every, keys, types), keys), keys, types)
+    out = meta.withColumn("replicate", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bootstraps).cast("long"))))
+    return out.join(trees, keys, "left").select("scaffold", "k", "start", "end", "mid", "sites", "replicate", F.when(F.length("newick") > 0, F.col("newick")).alias("newick"))
+
+
 def frequency_spectrum(calls: DataFrame, pops: list, outgroup=None, regions: DataFrame | None = None, dims: list[int] | None = None) -> DataFrame:
     """The joint spectrum of ``pops`` (or some of them), per named region if given."""
     t = spectra.target_counts(calls, pops, outgroup)

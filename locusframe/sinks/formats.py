@@ -63,6 +63,17 @@ def write_by(rows: DataFrame, path: str, *keys: str) -> None:
     rows.repartition(*keys).sortWithinPartitions(*keys, "ord").select(*keys, "line").write.mode("overwrite").partitionBy(*keys).text(path)
 
 
+def tree_lines(trees: DataFrame) -> DataFrame:
+    """(replicate, ord, line): a tree a line in the order of windows, NA where there is none; for ``write_by`` replicate."""
+    return trees.select("replicate", F.struct("scaffold", "start").alias("ord"), F.coalesce("newick", F.lit("NA")).alias("line"))
+
+
+def tree_data_lines(trees: DataFrame) -> DataFrame:
+    """(ord, line): the windows of the trees, tab-separated, in the order in which ``tree_lines`` has them."""
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("NA")) for c in ("scaffold", "start", "end", "mid", "sites")]
+    return trees.where("replicate = 0").select(F.struct("scaffold", "start").alias("ord"), F.concat_ws("\t", *cells).alias("line"))
+
+
 def spectrum_lines(spectrum: DataFrame, dims: list[int]) -> DataFrame:
     """(ord, line) of a spectrum: the counts per population and the number of sites, tab-separated."""
     cols = [F.col(f"n_{d}") for d in dims]

@@ -4,6 +4,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from locusframe.operators import convert, coding, diversity, intervals, merge, pairs, sites, spectra, summary, windows
 from locusframe.plans import analyses
@@ -191,3 +192,33 @@ def test_repeated_sites_and_genes(spark):
     assert sorted((r.position, r.v) for r in merge.dedup_sites(rows, "o").collect()) == [(1, "a"), (2, "c")]
     genes = spark.createDataFrame([("s", "m1", "+", [(1, 6)])], "scaffold string, mrna string, strand string, cds array<struct<start: long, end: long>>")
     assert [(r.codon, r.place) for r in coding.coding_positions(genes).orderBy("position").collect()] == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1), (1, 2)]
+
+
+def test_bootstrap_trees(spark, tmp_path):
+    r = random.Random(12)
+    rows = [("s", p, s, s % 2, h, r.choice([0, 0, 1, None])) for p in range(1, 301, 3) for s in range(4) for h in (0, 1)]
+    rows += [("t", 5, s, s % 2, h, s // 2) for s in range(4) for h in (0, 1)]  # one site: a replicate is the data
+    calls = spark.createDataFrame(rows, SCHEMA)
+    drawn = summary.resampled(calls.withColumn("k", F.lit(0)), ["scaffold", "k"], 3, 1).collect()
+    assert len(drawn) == 3 * len(rows)
+    site = {}
+    for x in rows:
+        site.setdefault(x[:2], {})[x[2], x[4]] = x[5]
+    got = {}
+    for x in drawn:
+        got.setdefault((x.scaffold, x.replicate, x.position), {})[x.sample, x.hap] = x.allele
+    assert len(got) == 3 * len(site) and all(v in [w for k, w in site.items() if k[0] == x[0]] for x, v in got.items())
+    assert len({tuple(sorted((p, str(v)) for (s, b, p), v in got.items() if b == i)) for i in (1, 2, 3)}) == 3
+    t = analyses.trees_by_window(calls, 100, bootstraps=2, seed=1).collect()
+    plain = {(x.scaffold, x.k): x.newick for x in summary.window_trees(pairs.individual_pairs(pairs.window_pairs(calls, 100), ["scaffold", "k"]), ["scaffold", "k"], "scaffold string, k long").collect()}
+    assert len(t) == 3 * len(plain) and all(x.newick == plain[x.scaffold, x.k] for x in t if x.replicate == 0 or x.scaffold == "t")
+    assert sorted(map(str, t)) == sorted(map(str, analyses.trees_by_window(calls.repartition(7), 100, bootstraps=2, seed=1).collect()))
+    assert {x.newick is None for x in analyses.trees_by_window(calls, 100, min_snps=2, bootstraps=1).where("scaffold = 't'").collect()} == {True}
+    least = min(sum(v is not None for (s, p), site_calls in site.items() if s == "s" and p <= 100 for k, v in site_calls.items() if k == key) for key in site["s", 1])
+    first = lambda n: analyses.trees_by_window(calls, 100, min_per_ind=n).where("scaffold = 's' and k = 0").first().newick
+    assert first(least) is not None and first(least + 1) is None
+    assert analyses.trees_by_window(calls.limit(0), 100, bootstraps=1).count() == 0
+    kept = analyses.trees_by_window(calls, 100, min_snps=2, bootstraps=1)
+    formats.write_by(formats.tree_lines(kept), str(tmp_path / "trees"), "replicate")
+    lines = [x.value for x in spark.read.text(str(tmp_path / "trees" / "replicate=1")).collect()]
+    assert len(lines) == formats.tree_data_lines(kept).count() == 4 and lines[-1] == "NA"
