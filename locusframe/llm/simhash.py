@@ -14,7 +14,9 @@ task as a spanning forest, at most one per fingerprint, and connected components
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -276,9 +278,12 @@ def _once(t: pa.Table, codes: np.ndarray, masks: np.ndarray):
     block, chunk, part = (t.column(c).to_numpy() for c in ("block", "chunk", "part"))
 
     def test(i, j):
-        agree = ~((codes[i] ^ codes[j])[:, None, :] & masks).any(axis=2)
+        key = np.zeros(len(i), np.int64)
+        for r in range(0, len(i), 4096):  # pairs times keys, so some pairs at a time
+            differ = (codes[i[r : r + 4096]] ^ codes[j[r : r + 4096]])[:, None, :] & masks
+            key[r : r + 4096] = (~differ.any(axis=2)).argmax(axis=1)
         # rows of one chunk meet in all its pairs, and count in that with itself
-        return (agree.argmax(axis=1) == block[i]) & ((chunk[i] != chunk[j]) | (part[i] == chunk[i] * (CHUNKS + 1)))
+        return (key == block[i]) & ((chunk[i] != chunk[j]) | (part[i] == chunk[i] * (CHUNKS + 1)))
 
     return test
 
@@ -413,6 +418,30 @@ def exact_keys(n: int, max_bits: int, per_group: int = 2048) -> list[tuple[int,
     return [(b, *c) for c in combinations(range(b), b - max_bits)]
 
 
+def likely_keys(n: int, far: int, miss: float, per_group: int) -> list[tuple[int, ...]]:
+    """Choices of blocks by which 256-bit codes ``far`` bits apart meet but for a share ``miss``.
+
+    Up to ``per_group`` codes a value, each of 22 blocks is a key of 12 bits. A larger ``n``
+    gets keys of 16, 20, ... bits, so that groups do not grow with the corpus: blocks of
+    4 bits are dealt out in permutations, and there are as many keys as ``miss`` asks for.
+    """
+    if n >> 12 <= per_group:
+        return [(BLOCKS, i) for i in range(BLOCKS)]
+    size = 4
+    while n >> (4 * size) > per_group:
+        size += 1
+    b, rng, keys, wanted = 16 * CODES, np.random.default_rng(0), [], 1
+    # the share of pairs by how many blocks their far bits touch, and of keys that such a pair agrees on
+    touch = [sum((-1) ** j * math.comb(t, j) * math.comb(4 * (t - j), far) for j in range(t + 1)) * math.comb(b, t) / math.comb(4 * b, far) for t in range(b + 1)]
+    agree = [math.comb(b - t, size) / math.comb(b, size) for t in range(b + 1)]
+    while sum(p * (1 - a) ** wanted for p, a in zip(touch, agree, strict=True)) > miss:
+        wanted += 1
+    while len(keys) < wanted:
+        order = rng.permutation(b).tolist()
+        keys += [(b, *sorted(order[i : i + size])) for i in range(0, b - size + 1, size)]
+    return keys[:wanted]
+
+
 def _value(n_codes: int, key: tuple[int, ...]):
     """The bits of a key's blocks as one number; ``key`` is the number of blocks and those chosen."""
     bounds = _bounds(n_codes, key[0])
@@ -508,6 +537,8 @@ def near_groups(docs: DataFrame, width: int = 4, max_bits: int = 4) -> DataFrame
 #: For documents by similarity: four words of fingerprint, routed by blocks of them; at
 #: a similarity of 0.8, about 39 of 256 bits differ (standard deviation 6).
 CODES, BLOCKS, MOST = 4, 22, 60
+#: Bits by which texts at the threshold differ on average, and the share of them that may not meet.
+FAR, MISS = 39, 0.03
 #: Of texts' shingle sets, a task holds a pair of chunks of so many at most.
 MAX_TEXTS = 2048
 #: Rows up to which the table of texts in links is broadcast.
@@ -523,11 +554,12 @@ def _shingle_sets(width: int):
     return run
 
 
-def similar_texts(texts: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_texts(texts: DataFrame, width: int = 5, similarity: float = 0.8, keys: list[tuple[int, ...]] | None = None) -> DataFrame:
     """(src, dst): verified links that span the groups of near-copies among ``texts`` (text).
 
     Texts go by the 64-bit hash of the whole text. Candidates have 256-bit SimHash fingerprints of 60 bits
-    or fewer apart that agree on one of 22 blocks (so two texts of similarity 0.9 meet with
+    or fewer apart that agree on one of ``keys`` (by default ``likely_keys``: 22 blocks, more
+    and wider keys from 8 million texts on; two texts of similarity 0.9 meet with
     probability over 0.99, of 0.8 with 0.97). A first pass over the fingerprints marks
     the rows that have a candidate, at most one per row and block; only those get their
     shingle sets, and a second pass verifies each candidate by the Jaccard similarity
@@ -538,7 +570,7 @@ def similar_texts(texts: DataFrame, width: int = 5, similarity: float = 0.8) ->
     t = texts.where(F.length(F.translate("text", BLANKS, "")) > 0).select(F.xxhash64("text").alias("node"), "text")
     words = [f"w{k}" for k in range(CODES)]
     codes = checkpoint(fingerprints(t, width, CODES, ("node",)).groupBy("node").agg(*[F.first(w).alias(w) for w in words]))
-    keys = [(BLOCKS, i) for i in range(BLOCKS)]
+    keys = keys or likely_keys(codes.count(), FAR, MISS, MAX_TEXTS)
     masks = _masks(CODES, keys)
     x = _dealt(_routed(codes, CODES, keys, MAX_TEXTS))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in x.schema)

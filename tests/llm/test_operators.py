@@ -226,6 +226,30 @@ def test_recall_at_the_threshold(spark):
     assert 2 * len(pairs) - len(kept) >= 0.9 * len(pairs)
 
 
+def test_wider_keys_of_a_large_corpus(spark):
+    r = np.random.default_rng(5)
+    for n in (10**6, 10**8, 10**10):
+        keys = simhash.likely_keys(n, simhash.FAR, simhash.MISS, simhash.MAX_TEXTS)
+        masks = simhash._masks(simhash.CODES, keys)
+        bits = np.bitwise_count(masks).sum(axis=1)
+        assert n >> int(bits.max()) <= simhash.MAX_TEXTS and len(set(keys)) == len(keys) and len(keys) < 500
+        differ = np.zeros((4000, 64 * simhash.CODES), np.uint8)
+        for x in differ:
+            x[r.choice(x.size, simhash.FAR, replace=False)] = 1
+        words = np.packbits(differ, axis=1).view(">u8").astype(np.uint64)
+        assert np.mean([(~(w & masks).any(axis=1)).any() for w in words]) >= 0.96
+    random_ = random.Random(23)
+    words = lambda n: [f"w{random_.randrange(9000)}" for _ in range(n)]
+    texts = []
+    for _ in range(60):
+        a = words(120)
+        texts += [" ".join(a), " ".join(a[:119] + words(1)), " ".join(words(120))]
+    wide = simhash.likely_keys(10**8, simhash.FAR, simhash.MISS, simhash.MAX_TEXTS)
+    t = spark.createDataFrame([(x,) for x in texts], "text string")
+    got = [{tuple(sorted(x)) for x in simhash.similar_texts(t, keys=k).collect()} for k in (None, wide)]
+    assert got[0] == got[1] and len(got[0]) == 60
+
+
 def test_near_duplicates_by_their_originals(spark):
     words = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
     whole, cut = words("a", 200), words("a", 190) + " " + words("b", 10)
