@@ -350,10 +350,8 @@ def _verifier(n_codes: int, most: int, masks: np.ndarray, similarity: float):
     """Spanning links of a group's texts of that Jaccard similarity, from codes and shingle sets."""
     schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
 
-    def links(t, codes, group):
+    def links(t, codes, group, sets):
         once, forest = _once(t, codes, masks), _Forest(len(codes))
-        data = t.column("hashes").combine_chunks()
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in data]
         size = np.fromiter(map(len, sets), np.int64, len(sets))
 
         def settled(lo, a, b):  # what verified links have joined needs no other link
@@ -387,8 +385,11 @@ def _verifier(n_codes: int, most: int, masks: np.ndarray, similarity: float):
 
     def run(batches):
         for t in _complete_groups(batches):
+            # the sets stay where they came in; only views of them are put in order
+            views = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("hashes")]
+            t = t.drop_columns(["hashes"]).append_column("row", pa.array(np.arange(len(t))))
             t, codes, group = _gray_sorted(t, n_codes)
-            if edges := links(t, codes, group):
+            if edges := links(t, codes, group, [views[i] for i in t.column("row").to_pylist()]):
                 e = np.array(edges)
                 node = t.column("node").to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(node[e[:, 0]]), pa.array(node[e[:, 1]])], schema=schema)

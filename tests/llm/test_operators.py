@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from locusframe.llm import chat, common, decontam, licenses, lines, mixing, quality_knn, rules, simhash, suffix, urls
@@ -250,6 +251,24 @@ def test_wider_keys_of_a_large_corpus(spark):
     assert got[0] == got[1] and len(got[0]) == 60
 
 
+def test_verifier_does_not_copy_shingle_sets():
+    base = np.arange(10**5, dtype=np.uint64)
+    sets = [(base + np.uint64(i * 10 + 10**6 * (i >= 20))).tobytes() for i in range(40)]
+    n, zero = len(sets), pa.array(np.zeros(40, np.int64))
+    words = {f"w{k}": zero for k in range(simhash.CODES)}
+    cols = {"node": pa.array(np.arange(n)), **words, "block": pa.array(np.zeros(n, np.int32)), "value": zero, "part": zero, "chunk": zero, "hashes": pa.array(sets, pa.binary())}
+    batch, was = pa.RecordBatch.from_pydict(cols), pa.default_memory_pool()
+    run = simhash._verifier(simhash.CODES, simhash.MOST, simhash._masks(simhash.CODES, [(simhash.BLOCKS, i) for i in range(simhash.BLOCKS)]), 0.8)
+    pool = pa.proxy_memory_pool(was)
+    pa.set_memory_pool(pool)
+    try:
+        links = [tuple(sorted(x.values())) for b in run(iter([batch.slice(0, 7), batch.slice(7)])) for x in b.to_pylist()]
+        assert pool.max_memory() < 10**6 < sum(map(len, sets))
+    finally:
+        pa.set_memory_pool(was)
+    assert len(set(links)) == 38 and all((a < 20) == (b < 20) for a, b in links)  # two families, each spanned
+
+
 def test_near_duplicates_by_their_originals(spark):
     words = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
     whole, cut = words("a", 200), words("a", 190) + " " + words("b", 10)
