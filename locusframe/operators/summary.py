@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusframe.operators.joins import broadcast_up_to
+from locusframe.operators.pairs import distance_arrays, whole_keys
 
 QUANTILES = (5, 25, 50, 75, 95)
 
@@ -43,21 +44,63 @@ def jackknife(blocks: pd.DataFrame, statistic) -> dict[str, float]:
     return {"n": n, "mean": pseudo.mean(), "var": var, "sd": var**0.5, "se": (var / n) ** 0.5}
 
 
-def reference_distances(pairs: DataFrame, pops: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean distance of each haplotype to each population; itself counts as 0."""
-    both = pairs.select(*keys, "a", "b", (F.col("diff") / F.col("called")).alias("d"))
-    turned = both.where("a <> b").select(*keys, F.col("b").alias("a"), F.col("a").alias("b"), "d")
-    p = both.unionByName(turned).join(broadcast_up_to(pops.select(F.col("h").alias("b"), "pop")), "b")
-    return p.groupBy(*keys, F.col("a").alias("h"), "pop").agg(F.avg("d").alias("dist"), F.count("*").alias("n"))
+def _reference_distances(pops: DataFrame, n_keys: int):
+    """A function of ``pair_rows``: portions as (key columns, haps, dist, members, n, means).
+
+    Members, numbers of distances and their means are by population, in order of ``names``; a
+    haplotype's distance to itself counts as 0, and a mean without any is NaN.
+    """
+    known = pops.distinct().collect()  # a row per haplotype, whose matrix a task holds
+    names = np.array(sorted({r["pop"] for r in known}), np.int64)
+    of: dict[int, list[int]] = {}
+    for r in known:
+        of.setdefault(r["h"], []).append(int(np.searchsorted(names, r["pop"])))
+
+    def portions(batches):
+        for t in whole_keys(batches, n_keys):
+            for keys, haps, dist in distance_arrays(t, n_keys):
+                members = np.zeros((len(haps), len(names)))
+                for i, h in enumerate(haps.tolist()):
+                    members[i, of.get(h, [])] = 1
+                n = (~np.isnan(dist)).astype(float) @ members
+                with np.errstate(invalid="ignore"):
+                    yield keys, haps, dist, members, n, np.nan_to_num(dist) @ members / n
+
+    return names, portions
+
+
+def _painted(keys: list, haps: np.ndarray, here: np.ndarray, schema: pa.Schema, *columns: np.ndarray) -> pa.RecordBatch:
+    """Rows of the haplotypes that are ``here`` in a window: keys, h and columns."""
+    w, h = np.nonzero(here)
+    return pa.RecordBatch.from_arrays([*[k.take(pa.array(w)) for k in keys], pa.array(haps[h]), *[pa.array(c[w, h]) for c in columns]], schema=schema)
+
+
+def _output(types: str, spark, *columns: tuple) -> tuple[str, pa.Schema]:
+    ddl = ", ".join([types, "h long", *[f"{n} {'double' if t == pa.float64() else 'long'}" for n, t in columns]])
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64()}
+    return ddl, pa.schema([(f.name, kinds[f.dataType.simpleString()]) for f in spark.createDataFrame([], ddl).schema])
 
 
-def paint_delta(pairs: DataFrame, pops: DataFrame, keys: list[str], delta: float, noresult: int = -1) -> DataFrame:
-    """Each haplotype's nearest population, if the second is ``delta`` or more farther."""
-    d = reference_distances(pairs, pops, keys)
-    s = d.groupBy(*keys, "h").agg(F.array_sort(F.collect_list(F.struct("dist", "pop"))).alias("x"))
-    first, second = F.get("x", F.lit(0)), F.get("x", F.lit(1))
-    sure = F.coalesce(second["dist"] - first["dist"] >= delta, F.lit(True))
-    return s.select(*keys, "h", F.when(sure, first["pop"]).otherwise(F.lit(noresult)).cast("long").alias("painted"), first["dist"].alias("dist"))
+#: Decimal places of a mean distance that count: sums of fractions differ by their order beyond, and ties must not.
+PLACES = 12
+
+
+def paint_delta(rows: DataFrame, pops: DataFrame, keys: list[str], types: str, delta: float, noresult: int = -1) -> DataFrame:
+    """Each haplotype's nearest population, if the second is ``delta`` or more farther; ``rows`` are ``pair_rows`` by ``keys``."""
+    names, portions = _reference_distances(pops, len(keys))
+    ddl, schema = _output(types, rows.sparkSession, ("painted", pa.int64()), ("dist", pa.float64()))
+
+    def run(batches):
+        for own, haps, _, _, n, mean in portions(batches):
+            near = np.where(n > 0, mean, np.inf)
+            best = near.argmin(2)
+            first = np.take_along_axis(near, best[..., None], 2)[..., 0]
+            np.put_along_axis(near, best[..., None], np.inf, 2)
+            with np.errstate(invalid="ignore"):
+                sure = near.min(2) - first >= delta
+            yield _painted(own, haps, (n > 0).any(2), schema, np.where(sure, names[best], noresult), np.take_along_axis(mean, best[..., None], 2)[..., 0])
+
+    return rows.mapInArrow(run, ddl)
 
 
 def rank_sum_less(x: np.ndarray, y: np.ndarray) -> float:
@@ -76,19 +119,42 @@ def rank_sum_less(x: np.ndarray, y: np.ndarray) -> float:
     return 0.5 * math.erfc(-z / math.sqrt(2))
 
 
-def paint_rank_sum(pairs: DataFrame, pops: DataFrame, keys: list[str], types: str, p_threshold: float = 0.05, noresult: int = -1) -> DataFrame:
-    """Nearest population if the rank-sum test puts it nearer than every other one."""
-    both = pairs.select(*keys, "a", "b", (F.col("diff") / F.col("called")).alias("d"))
-    turned = both.where("a <> b").select(*keys, F.col("b").alias("a"), F.col("a").alias("b"), "d")
-    p = both.unionByName(turned).join(broadcast_up_to(pops.select(F.col("h").alias("b"), "pop")), "b").withColumnRenamed("a", "h")
+def paint_rank_sum(rows: DataFrame, pops: DataFrame, keys: list[str], types: str, p_threshold: float = 0.05, noresult: int = -1) -> DataFrame:
+    """Nearest population (the lower on ties) if the rank-sum test puts it nearer than every other one.
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        groups = {k: g.to_numpy(float) for k, g in pdf.groupby("pop")["d"]}
-        best = min(groups, key=lambda k: (groups[k].mean(), k))
-        sure = all(rank_sum_less(groups[best], g) <= p_threshold for k, g in groups.items() if k != best)
-        return pd.DataFrame([[*(pdf[k].iloc[0] for k in (*keys, "h")), int(best) if sure else noresult]], columns=[*keys, "h", "painted"])
+    ``rows`` are ``pair_rows`` by ``keys``. The rank sum of x among x and y is what it is among
+    themselves plus how many y each x exceeds (ties: half), so it is counted by comparisons, for
+    many windows at once.
+    """
+    import math
 
-    return p.groupBy(*keys, "h").applyInPandas(kernel, f"{types}, h long, painted long")
+    names, portions = _reference_distances(pops, len(keys))
+    ddl, schema = _output(types, rows.sparkSession, ("painted", pa.int64()))
+
+    def tail(z: np.ndarray) -> np.ndarray:
+        some, at = np.unique(z, return_inverse=True)
+        return np.array([0.5 * math.erfc(-x / math.sqrt(2)) for x in some.tolist()])[at].reshape(z.shape)
+
+    def run(batches):
+        for own, haps, dist, members, n, mean in portions(batches):
+            best = np.where(n > 0, mean.round(PLACES), np.inf).argmin(2)
+            sure = np.ones(best.shape, bool)
+            for p in range(len(names)):
+                mine = np.flatnonzero(members[:, p])
+                w, h = np.nonzero((best == p) & (n[..., p] > 0))
+                step = max(1, (1 << 21) // max(1, len(mine) * len(haps)))
+                for r in (slice(i, i + step) for i in range(0, len(w), step)):
+                    d = dist[w[r], h[r]]
+                    x = d[:, mine, None]
+                    over = ((x > d[:, None, :]).sum(1) + 0.5 * (x == d[:, None, :]).sum(1)) @ members
+                    k, m = n[w[r], h[r]][:, [p]], n[w[r], h[r]]
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        z = (over - k * m / 2) / np.sqrt(k * m * (k + m + 1) / 12)
+                    others = (m > 0) & (np.arange(len(names)) != p)
+                    sure[w[r], h[r]] = ((tail(np.where(others, z, 0)) <= p_threshold) | ~others).all(1)
+            yield _painted(own, haps, (n > 0).any(2), schema, np.where(sure, names[best], noresult))
+
+    return rows.mapInArrow(run, ddl)
 
 
 def missingness(calls: DataFrame, *by: str) -> DataFrame:

@@ -90,15 +90,16 @@ def distance_matrices(calls: DataFrame, size: int | None = None, step: int | Non
     d = pairs.individual_pairs(wp, keys, same)
     if not min_per_ind:
         return d
-    good = pairs.enough_sites(wp, keys, haplotype_pops(calls).select("h").distinct().count(), min_per_ind).withColumn("_ok", F.lit(True))
+    placed = calls if size is None else windows.in_coordinate_windows(calls, size, step)
+    good = pairs.enough_sites(placed, keys, haplotype_pops(calls).select("h").distinct().count(), min_per_ind).withColumn("_ok", F.lit(True))
     d = d.join(good, keys, "left") if keys else d.join(F.broadcast(good.limit(1)), F.lit(True), "left")  # a row at most
     return d.withColumn("dist", F.when(F.col("_ok"), F.col("dist"))).drop("_ok")
 
 
 def paint(calls: DataFrame, size: int, delta: float | None = None, p_threshold: float = 0.05) -> DataFrame:
     """Nearest reference population per haplotype and window, by delta or by rank sum."""
-    wp, pops = pairs.window_pairs(calls, size), haplotype_pops(calls)
-    return summary.paint_delta(wp, pops, KEYS, delta) if delta is not None else summary.paint_rank_sum(wp, pops, KEYS, TYPES, p_threshold)
+    rows, pops = pairs.tile_rows(calls, size).withColumnRenamed("tile", "k"), haplotype_pops(calls)
+    return summary.paint_delta(rows, pops, KEYS, TYPES, delta) if delta is not None else summary.paint_rank_sum(rows, pops, KEYS, TYPES, p_threshold)
 
 
 def trees_by_window(
@@ -119,10 +120,11 @@ def trees_by_window(
         enough &= (F.col("haplotypes") == haplotype_pops(calls).select("h").distinct().count()) & (F.col("min_called") >= min_per_ind)
     good = meta.where(F.col("sites") >= max(min_sites, 1)).join(gates.where(enough), KEYS).select(*KEYS)
     placed = placed.join(good, KEYS, "left_semi")
-    every = placed.withColumn("replicate", F.lit(0).cast("long"))
+    packed = pairs.site_calls(placed, KEYS)  # a drawn site brings all its calls, so sites are drawn as one row
+    every = packed.withColumn("replicate", F.lit(0).cast("long"))
     if bootstraps:
-        every = every.unionByName(summary.resampled(placed, KEYS, bootstraps, seed))
-    trees = summary.window_trees(pairs.individual_pairs(pairs.pair_counts(every, keys, types), keys), keys, types)
+        every = every.unionByName(summary.resampled(packed, KEYS, bootstraps, seed))
+    trees = summary.window_trees(pairs.individual_pairs(pairs.pair_sums(pairs.pair_rows(every, keys, types), keys), keys), keys, types)
     out = meta.withColumn("replicate", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bootstraps).cast("long"))))
     return out.join(trees, keys, "left").select("scaffold", "k", "start", "end", "mid", "sites", "replicate", F.when(F.length("newick") > 0, F.col("newick")).alias("newick"))
 
