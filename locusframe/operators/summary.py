@@ -86,18 +86,21 @@ PLACES = 12
 
 
 def paint_delta(rows: DataFrame, pops: DataFrame, keys: list[str], types: str, delta: float, noresult: int = -1) -> DataFrame:
-    """Each haplotype's nearest population, if the second is ``delta`` or more farther; ``rows`` are ``pair_rows`` by ``keys``."""
+    """Each haplotype's nearest population (the lower on ties), if the second is ``delta`` or more farther.
+
+    ``rows`` are ``pair_rows`` by ``keys``; means are compared to ``PLACES`` places.
+    """
     names, portions = _reference_distances(pops, len(keys))
     ddl, schema = _output(types, rows.sparkSession, ("painted", pa.int64()), ("dist", pa.float64()))
 
     def run(batches):
         for own, haps, _, _, n, mean in portions(batches):
-            near = np.where(n > 0, mean, np.inf)
+            near = np.where(n > 0, mean.round(PLACES), np.inf)
             best = near.argmin(2)
             first = np.take_along_axis(near, best[..., None], 2)[..., 0]
             np.put_along_axis(near, best[..., None], np.inf, 2)
             with np.errstate(invalid="ignore"):
-                sure = near.min(2) - first >= delta
+                sure = (near.min(2) - first).round(PLACES) >= delta
             yield _painted(own, haps, (n > 0).any(2), schema, np.where(sure, names[best], noresult), np.take_along_axis(mean, best[..., None], 2)[..., 0])
 
     return rows.mapInArrow(run, ddl)

@@ -37,3 +37,19 @@ def test_painting_by_rank_sum_in_one_pass_per_window(spark):
         want[k, h] = best if sure else -1
     assert {(r.k, r.h): r.painted for r in out.collect()} == want
     assert len(set(want.values())) > 1
+
+
+def test_painting_by_delta_does_not_depend_on_the_order_of_sums(spark):
+    # distances of h = 0 to population 1 are tenths that sum to exactly 0.1 more than those to population 0
+    def painted(order):
+        near, far = [0.1, 0.2, 0.3], [0.2, 0.3, 0.4]
+        haps = [h for h in order if h]
+        d = dict(zip(haps, near + far, strict=True))
+        pop = {h: int(i >= 3) for i, h in enumerate(haps)} | {0: 2}
+        rows = [("s", 0, 0, [(h, 10, round(10 * d[h])) for h in sorted(haps)])]
+        r = spark.createDataFrame(rows, "scaffold string, k long, a long, pairs array<struct<b: long, called: long, diff: long>>")
+        pops = spark.createDataFrame(list(pop.items()), "h long, pop long")
+        got = summary.paint_delta(r, pops, ["scaffold", "k"], "scaffold string, k long", 0.1)
+        return next(x.painted for x in got.collect() if x.h == 0)
+
+    assert {painted(o) for o in ([0, 1, 2, 3, 4, 5, 6], [0, 3, 2, 1, 6, 5, 4], [0, 2, 3, 1, 4, 6, 5], [0, 6, 2, 4, 3, 5, 1])} == {0}
