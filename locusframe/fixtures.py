@@ -7,6 +7,7 @@ outgroup. The text runs in Spark and in DuckDB alike.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 GENO_SQL = """
 WITH k AS (SELECT CAST(p_partkey AS BIGINT) k FROM {part}),
@@ -32,6 +33,16 @@ FROM c
 """
 
 
+#: Sites that a task of the fixture has; a site has 50 calls, so a task's memory does not grow with the table.
+SITES_A_TASK = 4000
+_SCAFFOLD, _POSITION = "concat('scaf', CAST(k % 5 AS VARCHAR(4)))", "k*10 + 1 + (k*k) % 7"
+#: The same text over sites whose scaffold and position are there already.
+_PLACED_SQL = (
+    GENO_SQL.replace("SELECT CAST(p_partkey AS BIGINT) k FROM {part}", "SELECT k, scaffold, position FROM {sites}").replace("SELECT k, s, p, h,", "SELECT k, scaffold, position, s, p, h,")
+    .replace(f"{_SCAFFOLD} AS scaffold", "scaffold").replace(f"{_POSITION} AS position", "position")
+)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -40,6 +51,11 @@ def geno_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """scaffold, position, sample, pop, hap, allele (0..3 = ACGT, null = missing).
 
     The two small dimension tables meet each part once; this is how the fixture is
-    defined, not a step of any operator.
+    defined, not a step of any operator. A part is a few bytes but gives 50 calls, so sites
+    are dealt out by their number, as a table laid out by site would be: tasks do not grow
+    with the table, and aggregations by site find their rows together.
     """
-    return spark.sql(GENO_SQL, part=table(spark, sf_dir, "part"), nation=table(spark, sf_dir, "nation"))
+    k = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("k"))
+    n = max(1, -(-k.count() // SITES_A_TASK))
+    sites = k.select("k", F.expr(_SCAFFOLD).alias("scaffold"), F.expr(_POSITION).alias("position")).repartition(n, "scaffold", "position")
+    return spark.sql(_PLACED_SQL, sites=sites, nation=table(spark, sf_dir, "nation"))

@@ -15,10 +15,10 @@ BASES = "ACGT"
 COUNTS = ["n_a", "n_c", "n_g", "n_t"]
 
 
-def site_counts(calls: DataFrame, *by: str) -> DataFrame:
-    """Base counts, called haplotypes and all haplotypes per site (and ``by``)."""
+def site_counts(calls: DataFrame, *by: str, **more: Column) -> DataFrame:
+    """Base counts, called haplotypes and all haplotypes per site (and ``by``); ``more`` are further aggregates."""
     counts = [F.count_if(F.col("allele") == i).alias(c) for i, c in enumerate(COUNTS)]
-    return calls.groupBy(*SITE, *by).agg(*counts, F.count("allele").alias("called"), F.count("*").alias("haps"))
+    return calls.groupBy(*SITE, *by).agg(*counts, F.count("allele").alias("called"), F.count("*").alias("haps"), *[x.alias(n) for n, x in more.items()])
 
 
 def counts_array() -> Column:
@@ -77,23 +77,34 @@ def genotypes(calls: DataFrame) -> DataFrame:
     """A row per site and sample: alleles in haplotype order, how many are called."""
     g = calls.groupBy(*SITE, "sample", "pop").agg(
         F.array_sort(F.collect_list(F.struct("hap", "allele"))).alias("x"), F.count("allele").alias("n_called"), F.count("*").alias("ploidy"),
-        F.count_distinct("allele").alias("n_distinct"),
     )
-    return g.withColumn("alleles", F.transform("x", lambda v: v["allele"])).drop("x")
+    g = g.withColumn("alleles", F.transform("x", lambda v: v["allele"])).drop("x")
+    return g.withColumn("n_distinct", F.size(F.array_distinct(F.array_compact("alleles"))).cast("long"))
+
+
+def _per_sample(calls: DataFrame, *by: str) -> DataFrame:
+    """A row per site, sample (and ``by``): base counts, called and all haplotypes, least and greatest allele."""
+    return site_counts(calls, *by, "sample", lo=F.min("allele"), hi=F.max("allele"))
+
+
+def _sums() -> list[Column]:
+    return [F.sum(c).alias(c) for c in (*COUNTS, "called", "haps")]
+
+
+def _genotype_counts() -> list[Column]:
+    """Genotypes fully called, heterozygous and in all, of rows by ``_per_sample``."""
+    full = F.col("called") == F.col("haps")
+    het = (F.col("lo") < F.col("hi")) | ((F.col("called") > 0) & ~full)
+    return [F.count_if(full).alias("full_calls"), F.count_if(het).alias("het_calls"), F.count("*").alias("n_samples")]
 
 
 def call_metrics(calls: DataFrame) -> DataFrame:
-    """Per site: genotypes fully called, partly missing, heterozygous and in all.
+    """Per site: genotypes fully called, heterozygous and in all.
 
     A genotype is heterozygous if it has more than one symbol, a missing allele being a
     symbol; the share's denominator takes fully called genotypes only.
     """
-    per = calls.groupBy(*SITE, "sample").agg(
-        F.count("allele").alias("c"), F.count("*").alias("p"), (F.count_distinct("allele") + F.max(F.col("allele").isNull().cast("int"))).alias("symbols")
-    )
-    return per.groupBy(*SITE).agg(
-        F.count_if(F.col("c") == F.col("p")).alias("full_calls"), F.count_if(F.col("symbols") > 1).alias("het_calls"), F.count("*").alias("n_samples")
-    )
+    return _per_sample(calls).groupBy(*SITE).agg(*_genotype_counts())
 
 
 def filter_sites(
@@ -101,7 +112,8 @@ def filter_sites(
     max_het: float | None = None, min_freq: float | None = None, max_freq: float | None = None,
 ) -> DataFrame:
     """Sites that pass all population-free filters, with the metrics they were judged by."""
-    m = site_counts(calls).join(call_metrics(calls), SITE)
+    # one aggregation by site and sample, then by site: no join, and no second pass over the calls
+    m = _per_sample(calls.where("scaffold is not null and position is not null")).groupBy(*SITE).agg(*_sums(), *_genotype_counts())
     m = m.withColumn("n_alleles", n_alleles()).withColumn("second", second_count())
     m = m.withColumn("het", F.try_divide(F.col("het_calls").cast("double"), F.col("full_calls").cast("double")))
     m = m.withColumn("second_freq", F.try_divide(F.col("second").cast("double"), F.col("called").cast("double")))
@@ -122,9 +134,9 @@ def population_filter(
     calls: DataFrame, min_pop_calls: int = 0, fixed: bool = False, min_pop_alleles: int = 0, max_pop_alleles: int = 4, nearly_fixed: float | None = None
 ) -> DataFrame:
     """Sites that pass the filters over populations."""
-    full = calls.groupBy(*SITE, "pop", "sample").agg((F.count("allele") == F.count("*")).alias("ok"))
-    full = full.groupBy(*SITE, "pop").agg(F.count_if("ok").alias("pop_calls"))
-    per = base_frequencies(site_counts(calls, "pop")).withColumn("k", n_alleles()).join(full, [*SITE, "pop"])
+    calls = calls.where("scaffold is not null and position is not null and pop is not null")
+    per = site_counts(calls, "pop", "sample").groupBy(*SITE, "pop").agg(*_sums(), F.count_if(F.col("called") == F.col("haps")).alias("pop_calls"))
+    per = base_frequencies(per).withColumn("k", n_alleles())
     spread = F.greatest(*[F.max(f"f{c[1:]}") - F.min(f"f{c[1:]}") for c in COUNTS])
     s = per.groupBy(*SITE).agg(
         F.min("pop_calls").alias("min_calls"), F.min("k").alias("min_k"), F.max("k").alias("max_k"), spread.alias("spread"),

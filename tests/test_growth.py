@@ -53,3 +53,32 @@ def test_painting_by_delta_does_not_depend_on_the_order_of_sums(spark):
         return next(x.painted for x in got.collect() if x.h == 0)
 
     assert {painted(o) for o in ([0, 1, 2, 3, 4, 5, 6], [0, 3, 2, 1, 6, 5, 4], [0, 2, 3, 1, 4, 6, 5], [0, 6, 2, 4, 3, 5, 1])} == {0}
+
+
+def test_fixture_is_dealt_out_by_sites(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(fixtures, "SITES_A_TASK", 20, raising=False)
+    g = fixtures.geno_view(spark, sf)
+    assert g.rdd.getNumPartitions() == 10
+    assert g.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] <= 50 * 60
+    plain = spark.sql(fixtures.GENO_SQL, part=fixtures.table(spark, sf, "part"), nation=fixtures.table(spark, sf, "nation"))
+    assert g.schema == plain.schema and g.exceptAll(plain).isEmpty() and plain.exceptAll(g).isEmpty()
+    # the one exchange is that of the sites, before they have calls
+    for df in (sites.filter_sites(g, max_het=0.4), sites.population_filter(g, min_pop_calls=4)):
+        assert plan(df).count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan(df)
+
+
+def test_site_filters_against_brute_force(spark):
+    calls, rows = random_calls(spark, 8, 40, 5, 0.3)
+    at = {}
+    for _, p, i, pop, h, a in rows:
+        at.setdefault(p, {}).setdefault((pop, i), []).append(a)
+    got = {r.position: r for r in sites.filter_sites(calls, min_calls=0, min_alleles=0).collect()}
+    pops = {r.position: r for r in sites.population_filter(calls).collect()}
+    for p, g in at.items():
+        found = [a for v in g.values() for a in v if a is not None]
+        full = [v for v in g.values() if None not in v]
+        assert (got[p].called, got[p].haps, got[p].n_samples) == (len(found), sum(map(len, g.values())), len(g))
+        assert (got[p].full_calls, got[p].het_calls) == (len(full), sum(len(set(v)) > 1 for v in g.values()))
+        each = [sum(None not in v for k, v in g.items() if k[0] == q) for q in {k[0] for k in g}]
+        assert pops[p].min_calls == min(each) and pops[p].n_alleles == len(set(found))
