@@ -64,10 +64,14 @@ def expand_ambiguity(seq: Column) -> Column:
     )
 
 
+def pieces(seq: Column, size: int) -> Column:
+    """A text cut into pieces of ``size`` letters (the last may be shorter), in one pass over it."""
+    return F.regexp_extract_all(seq, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
+
 def codons(seq: Column) -> Column:
-    """Whole codons of a sequence."""
-    n = F.floor(F.length(seq) / 3).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(seq, i * 3 + 1, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    """Whole codons of a sequence, in one pass over it; none of null."""
+    return F.regexp_extract_all(F.coalesce(seq, F.lit("")), F.lit("(?s)..."), F.lit(0))
 
 
 def translate(seq: Column) -> Column:
@@ -76,9 +80,9 @@ def translate(seq: Column) -> Column:
 
 
 def count_stops(seq: Column, terminal: bool = False) -> Column:
-    aa = translate(seq)
-    aa = aa if terminal else F.substring(aa, F.lit(1), F.greatest(F.length(aa) - 1, F.lit(0)))
-    return (F.length(aa) - F.length(F.replace(aa, F.lit("_"), F.lit("")))).cast("long")
+    """Stop codons; the last codon counts only if ``terminal``."""
+    inner = seq if terminal else F.substring(seq, F.lit(1), F.greatest(F.floor(F.length(seq) / 3) * 3 - 3, F.lit(0)).cast("int"))
+    return F.size(F.filter(codons(inner), lambda c: c.isin(*[k for k, v in genetic_code().items() if v == "_"]))).cast("long")
 
 
 def possible_codons(sets: Column) -> Column:

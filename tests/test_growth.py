@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from locusframe import fixtures
-from locusframe.operators import sites, summary
+from locusframe.functions import bases as B
+from locusframe.operators import convert, ld, sites, summary
 from locusframe.plans import analyses
 from tests.test_convert import SCHEMA, random_calls
 
@@ -82,3 +83,14 @@ def test_site_filters_against_brute_force(spark):
         assert (got[p].full_calls, got[p].het_calls) == (len(full), sum(len(set(v)) > 1 for v in g.values()))
         each = [sum(None not in v for k, v in g.items() if k[0] == q) for q in {k[0] for k in g}]
         assert pops[p].min_calls == min(each) and pops[p].n_alleles == len(set(found))
+
+
+def test_codons_are_read_in_one_pass(spark):
+    rng = random.Random(1)
+    text = "".join(rng.choices("ACGTN", k=300_001))
+    df = spark.createDataFrame([(text,), ("TA",), ("",), (None,), ("TAATAA",)], "s string")
+    out = df.select(B.translate(F.col("s")).alias("t"), B.count_stops(F.col("s")).alias("n"), B.count_stops(F.col("s"), True).alias("all"))
+    assert "substring(s#" not in plan(df.select(B.translate(F.col("s"))))
+    code = B.genetic_code()
+    aa = "".join(code.get(text[i : i + 3], "X") for i in range(0, 300_000, 3))
+    assert [tuple(r) for r in out.collect()] == [(aa, aa[:-1].count("_"), aa.count("_")), ("", 0, 0), ("", 0, 0), ("", 0, 0), ("__", 1, 2)]
