@@ -971,7 +971,7 @@ def window_trees_bootstrap(g, *_):
 
 def _sequences(g):
     """A sequence per scaffold and haplotype: its letters in site order."""
-    return g.groupBy("scaffold", "sample", "hap").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", sites.letter(F.col("allele")).alias("b")))), lambda v: v["b"]), "").alias("seq"))
+    return convert.window_sequences(g, "scaffold", stretch=convert.STRETCH).select("scaffold", "sample", "hap", "seq")
 
 
 _SEQ = "SELECT scaffold, sample, hap, string_agg(CASE allele WHEN 0 THEN 'A' WHEN 1 THEN 'C' WHEN 2 THEN 'G' WHEN 3 THEN 'T' ELSE 'N' END, '' ORDER BY position) AS seq FROM g GROUP BY 1, 2, 3"
@@ -1123,8 +1123,8 @@ def seq_to_geno(g, *_):
 
 @query(sql("g", f"SELECT scaffold, position, string_agg(base, ' ' ORDER BY name) AS line FROM (SELECT scaffold, row_number() OVER (PARTITION BY scaffold, sample, hap ORDER BY position) AS position, sample || '_' || substr('AB', CAST(hap + 1 AS BIGINT), 1) AS name, {_LET.format(a='allele')} AS base FROM g) GROUP BY 1, 2"))
 def seq_to_geno_lines(g, *_):
-    x = convert.sequences_to_sites(_sequences(g).select("scaffold", convert.alternating_name(F.col("sample"), F.col("hap")).alias("name"), "seq"))
-    return convert.sites_to_lines(x).select(*SITE, F.array_join(F.transform("samples", lambda v: v["gt"]), " ").alias("line"))
+    x = _sequences(g).select("scaffold", convert.alternating_name(F.col("sample"), F.col("hap")).alias("name"), "seq")
+    return convert.sequences_to_lines(x).select(*SITE, F.array_join(F.transform("samples", lambda v: v["gt"]), " ").alias("line"))
 
 
 @query(sql("g", f"SELECT scaffold, (position - 1) // {W} AS k, sample, hap, min(position) AS first_site, max(position) AS last_site, string_agg({_LET.format(a='allele')}, '' ORDER BY position) AS seq FROM g GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2"))
@@ -1134,7 +1134,7 @@ def geno_to_seq_windows(g, *_):
 
 @query(sql("g", f"SELECT scaffold, sample, hap, min(position) AS first_site, max(position) AS last_site, string_agg({_LET.format(a='allele')}, '' ORDER BY position) AS seq FROM g GROUP BY 1, 2, 3"))
 def geno_to_seq_contigs(g, *_):
-    return convert.window_sequences(g, "scaffold")
+    return convert.window_sequences(g, "scaffold", stretch=convert.STRETCH)
 
 
 @query(sql("g", """SELECT sample, hap, scaffold || ':' || a || '-' || z || ':' || o AS name, CASE WHEN o = '-' THEN reverse(translate(s, 'ACGTN', 'TGCAN')) ELSE s END AS seq FROM

@@ -22,32 +22,70 @@ def select_samples(calls: DataFrame, keep: list | None = None, drop: list | None
     return calls.where(~F.col("sample").isin(*drop)) if drop else calls
 
 
+#: Letters of the pieces in which long sequences are taken up, so that no step goes through a sequence for each of its letters.
+PIECE = 256
+#: Positions of a scaffold whose letters are joined first.
+STRETCH = 50_000
+
+
+def _in_pieces(seqs: DataFrame, name: str) -> DataFrame:
+    """scaffold, name, t, piece: sequences by pieces, dealt out."""
+    n = int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return seqs.select("scaffold", name, F.posexplode(B.pieces(F.col("seq"), PIECE)).alias("t", "piece")).repartition(n, "scaffold", "t")
+
+
 def sequences_to_sites(seqs: DataFrame, name: str = "name") -> DataFrame:
     """scaffold, position, name, base: a row per letter of aligned sequences (scaffold, name, seq).
 
     Positions count from 1 in each sequence. A set of single contigs is given with its
     names as ``scaffold``; several alignments have a scaffold each.
     """
-    return seqs.select("scaffold", F.col(name), F.posexplode(F.filter(F.split("seq", ""), lambda x: x != "")).alias("i", "base")).select("scaffold", (F.col("i") + 1).cast("long").alias("position"), name, "base")
+    letters = F.posexplode(F.filter(F.split("piece", ""), lambda x: x != "")).alias("i", "base")
+    return _in_pieces(seqs, name).select("scaffold", name, "t", letters).select("scaffold", (F.col("t").cast("long") * PIECE + F.col("i") + 1).alias("position"), name, "base")
+
+
+def _order(order: list[str] | None) -> Column:
+    return F.col("name") if order is None else F.array_position(F.array(*map(F.lit, order)), F.col("name"))
 
 
 def sites_to_lines(sites: DataFrame, order: list[str] | None = None) -> DataFrame:
     """(scaffold, position, samples): ``sequences_to_sites`` as genotype rows, names in order."""
     x = sites if order is None else sites.where(F.col("name").isin(*order))
-    at = F.col("name") if order is None else F.array_position(F.array(*map(F.lit, order)), F.col("name"))
-    cells = F.transform(F.array_sort(F.collect_list(F.struct(at.alias("o"), "name", "base"))), lambda v: F.struct(v["name"].alias("sample"), v["base"].alias("gt")))
+    cells = F.transform(F.array_sort(F.collect_list(F.struct(_order(order).alias("o"), "name", "base"))), lambda v: F.struct(v["name"].alias("sample"), v["base"].alias("gt")))
     return x.groupBy(*SITE).agg(cells.alias("samples"))
 
 
-def window_sequences(placed: DataFrame, *keys: str, min_sites: int = 1) -> DataFrame:
+def sequences_to_lines(seqs: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """(scaffold, position, samples): ``sites_to_lines`` of ``sequences_to_sites`` of (scaffold, name, seq).
+
+    Pieces of all sequences meet, and are read across where they are; no letter is a row of its own.
+    """
+    x = seqs if order is None else seqs.where(F.col("name").isin(*order))
+    x = _in_pieces(x, "name").groupBy("scaffold", "t").agg(F.array_sort(F.collect_list(F.struct(_order(order).alias("o"), "name", "piece"))).alias("v"))
+    width = F.array_max(F.transform("v", lambda v: F.length(v["piece"])))
+    x = x.select("scaffold", "t", "v", F.explode(F.sequence(F.lit(1), width)).alias("i"))
+    here = F.filter(F.transform("v", lambda v: F.struct(v["name"].alias("sample"), F.substring(v["piece"], F.col("i"), F.lit(1)).alias("gt"))), lambda v: v["gt"] != "")
+    return x.select("scaffold", (F.col("t").cast("long") * PIECE + F.col("i")).alias("position"), here.alias("samples"))
+
+
+def window_sequences(placed: DataFrame, *keys: str, min_sites: int = 1, stretch: int | None = None) -> DataFrame:
     """keys, sample, hap, first_site, last_site, seq: each haplotype's letters per window.
 
     ``placed`` are calls with the windows' keys; with the scaffold alone as key the
-    windows are contigs. Missing calls are N.
+    windows are contigs. Missing calls are N. For long windows letters are joined by
+    stretches of so many positions first, so that a task has a window's text, not its calls.
     """
-    g = placed.groupBy(*keys, "sample", "hap").agg(F.array_sort(F.collect_list(F.struct("position", letter(F.col("allele")).alias("b")))).alias("x"))
-    g = g.where(F.size("x") >= min_sites)
-    return g.select(*keys, "sample", "hap", F.col("x")[0]["position"].alias("first_site"), F.element_at("x", -1)["position"].alias("last_site"), F.array_join(F.transform("x", lambda v: v["b"]), "").alias("seq"))
+    own = [*keys, "sample", "hap"]
+    stretches = [F.floor(F.col("position") / stretch).alias("_s")] if stretch else []
+    g = placed.groupBy(*own, *stretches).agg(F.array_sort(F.collect_list(F.struct("position", letter(F.col("allele")).alias("b")))).alias("x"))
+    ends = [F.col("x")[0]["position"].alias("first_site"), F.element_at("x", -1)["position"].alias("last_site")]
+    text = F.array_join(F.transform("x", lambda v: v["b"]), "").alias("seq")
+    if not stretch:
+        return g.where(F.size("x") >= min_sites).select(*own, *ends, text)
+    g = g.select(*own, "_s", F.size("x").alias("_n"), *ends, text).groupBy(*own).agg(
+        F.sum("_n").alias("_n"), F.min("first_site").alias("first_site"), F.max("last_site").alias("last_site"), F.array_sort(F.collect_list(F.struct("_s", "seq"))).alias("x")
+    )
+    return g.where(F.col("_n") >= min_sites).select(*own, "first_site", "last_site", F.array_join(F.transform("x", lambda v: v["seq"]), "").alias("seq"))
 
 
 def subset_sequences(seqs: DataFrame, regions: DataFrame, left: int = 0, right: int = 0, keep_names: bool = False) -> DataFrame:
@@ -56,18 +94,23 @@ def subset_sequences(seqs: DataFrame, regions: DataFrame, left: int = 0, right:
     Null ends reach to the ends of the sequence; regions are widened by ``left`` and
     ``right`` and cut off at the ends; a minus strand gives the reverse complement. Names tell
     the piece, unless the whole sequence is taken or names are kept. Regions of unknown names
-    give nothing.
+    give nothing. A region is read from the pieces of ``PIECE`` letters that it meets, so it
+    costs its own length, wherever it lies.
     """
-    x = seqs.join(broadcast_up_to(regions), F.col("name") == F.col("chrom"))
-    n = F.length("seq").cast("long")
+    others = [c for c in seqs.columns if c not in ("name", "seq")]
+    cut = seqs.select(*others, "name", B.pieces(F.col("seq"), PIECE).alias("_pieces"), F.length("seq").cast("long").alias("_n"))
+    # dealt out evenly; without this exchange generated code would cut a sequence up anew for each region
+    cut = cut.repartition(int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    x = cut.join(broadcast_up_to(regions), F.col("name") == F.col("chrom"))
     whole = F.col("start").isNull() & F.col("end").isNull() & (F.col("strand") == "+")
     a = F.greatest(F.lit(1).cast("long"), F.coalesce("start", F.lit(1)) - left)
-    z = F.least(n, F.coalesce("end", n) + right)
-    x = x.withColumns({"_a": F.when(whole, 1).otherwise(a), "_z": F.when(whole, n).otherwise(z)})
-    piece = F.substring("seq", F.col("_a").cast("int"), F.greatest(F.lit(0), F.col("_z") - F.col("_a") + 1).cast("int"))
+    z = F.least("_n", F.coalesce("end", "_n") + right)
+    a, z = F.when(whole, 1).otherwise(a), F.when(whole, F.col("_n")).otherwise(z)
+    lo, hi = F.floor((a - 1) / PIECE), F.floor((z - 1) / PIECE)
+    near = F.array_join(F.slice("_pieces", (lo + 1).cast("int"), F.greatest(F.lit(0), hi - lo + 1).cast("int")), "")
+    piece = F.substring(near, (a - lo * PIECE).cast("int"), F.greatest(F.lit(0), z - a + 1).cast("int"))
     piece = F.when(F.col("strand") == "-", B.reverse_complement(piece)).otherwise(piece)
-    label = F.concat("name", F.lit(":"), F.col("_a").cast("string"), F.lit("-"), F.col("_z").cast("string"), F.lit(":"), "strand")
-    others = [c for c in seqs.columns if c not in ("name", "seq")]
+    label = F.concat("name", F.lit(":"), a.cast("string"), F.lit("-"), z.cast("string"), F.lit(":"), "strand")
     return x.select(*others, (F.col("name") if keep_names else F.when(whole, F.col("name")).otherwise(label)).alias("name"), piece.alias("seq"))
 
 

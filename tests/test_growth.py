@@ -94,3 +94,41 @@ def test_codons_are_read_in_one_pass(spark):
     code = B.genetic_code()
     aa = "".join(code.get(text[i : i + 3], "X") for i in range(0, 300_000, 3))
     assert [tuple(r) for r in out.collect()] == [(aa, aa[:-1].count("_"), aa.count("_")), ("", 0, 0), ("", 0, 0), ("", 0, 0), ("__", 1, 2)]
+
+
+def test_regions_read_the_pieces_they_meet(spark):
+    rng = random.Random(2)
+    seqs = {n: "".join(rng.choices("ACGT", k=k)) for n, k in (("a", 1000), ("b", convert.PIECE), ("c", 1), ("d", 0))}
+    regions = [(n, s, s + rng.randrange(-3, 600), rng.choice("+-")) for n in "abcde" for s in rng.sample(range(1, 1100), 40)] + [("a", None, 700, "+"), ("a", 300, None, "-"), ("b", None, None, "+")]
+    q = spark.createDataFrame(list(seqs.items()), "name string, seq string")
+    r = spark.createDataFrame(regions, "chrom string, start long, end long, strand string")
+    out = convert.subset_sequences(q, r, 2, 1)
+    assert "substring(seq" not in plan(out)
+    want = []
+    for n, s, e, strand in regions:
+        if n in seqs:
+            t = seqs[n]
+            whole = s is None and e is None and strand == "+"
+            a, z = (1, len(t)) if whole else (max(1, (s or 1) - 2), min(len(t), (len(t) if e is None else e) + 1))
+            x = t[a - 1 : max(a - 1, z)]
+            want.append((n if whole else f"{n}:{a}-{z}:{strand}", x if strand == "+" else x[::-1].translate(str.maketrans("ACGT", "TGCA"))))
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+
+
+def test_lines_are_read_across_sequences(spark):
+    rng = random.Random(3)
+    rows = [(s, n, "".join(rng.choices("ACGTN", k=k))) for s in ("x", "y") for n, k in (("q", 600), ("p", 600), ("r", 599), ("e", 0))]
+    seqs = spark.createDataFrame(rows, "scaffold string, name string, seq string")
+    read = lambda df: sorted((r.scaffold, r.position, [tuple(v) for v in r.samples]) for r in df.collect())
+    for order in (None, ["r", "q"]):
+        got = read(convert.sequences_to_lines(seqs, order))
+        assert got == read(convert.sites_to_lines(convert.sequences_to_sites(seqs), order)) and len(got) == 1200
+        names = order or ["p", "q", "r"]
+        assert got[0][2] == [(n, next(t for s, m, t in rows if s == "x" and m == n)[0]) for n in names]
+
+
+def test_long_windows_are_joined_by_stretches(spark):
+    calls, rows = random_calls(spark, 9, 50, 3, 0.2)
+    read = lambda df: sorted(map(tuple, df.select("sample", "hap", "first_site", "last_site", "seq").collect()))
+    assert read(convert.window_sequences(calls, "scaffold", stretch=40)) == read(convert.window_sequences(calls, "scaffold"))
+    assert convert.window_sequences(calls, "scaffold", stretch=40, min_sites=51).isEmpty()
