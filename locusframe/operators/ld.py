@@ -4,41 +4,79 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from locusframe.operators.pairs import key_starts, site_calls, whole_keys
+
+
+#: Sites of a block; all pairs of two blocks are compared at once, so a window of any size takes bounded memory.
+BLOCK = 128
+
+
+def _ld_block(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+    """n, d, d_prime, r, r2 and whether they count, of all sites of x with all of y (bases x sites x haplotypes, one-hot)."""
+    nx, ny = x @ y.sum(0).T, x.sum(0) @ y.transpose(0, 2, 1)
+    n = nx.sum(0)
+    ok = ((nx > 0).sum(0) == 2) & ((ny > 0).sum(0) == 2)
+    i, j = nx.argmax(0), ny.argmax(0)
+    both = (x[:, None] @ y.transpose(0, 2, 1)[None]).reshape(16, *n.shape)
+    take = lambda v, at: np.take_along_axis(v, at[None], 0)[0].astype(float)
+    n = n.astype(float)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        p, q = take(nx, i) / n, take(ny, j) / n
+        d = take(both, i * 4 + j) / n - p * q
+        top = np.where(d < 0, np.maximum(-p * q, -(1 - p) * (1 - q)), np.minimum(p * (1 - q), (1 - p) * q))
+        spread = p * (1 - p) * q * (1 - q)
+        return n, d, d / top, d / np.sqrt(spread), d * d / spread, ok
+
 
 def ld_pairs(calls: DataFrame, keys: list[str], max_distance: int | None = None) -> DataFrame:
     """D, D', r and r2 of site pairs pos_a < pos_b of a window, over shared haplotypes.
 
     Both sites must be biallelic there; the reference allele is the most common one, the
-    lower base on ties. An equi-join by window (and haplotype), pre-aggregated to a row
-    per site: a site's haplotypes travel as one array.
+    lower base on ties. A site's haplotypes travel as one array; a window's sites are in one
+    task, which counts all pairs of two blocks of sites by matrix products.
     """
     k = [*dict.fromkeys([*keys, "scaffold"])]
-    vec = F.transform(F.array_sort(F.collect_list(F.struct("sample", "hap", F.coalesce("allele", F.lit(-1)).alias("allele")))), lambda x: x["allele"])
-    s = calls.groupBy(*k, "position").agg(vec.alias("v"))
-    a, b = s.withColumnsRenamed({"position": "pos_a", "v": "x"}), s.withColumnsRenamed({"position": "pos_b", "v": "y"})
-    p = a.join(b, k).where("pos_a < pos_b")
-    if max_distance is not None:
-        p = p.where(F.col("pos_b") - F.col("pos_a") <= max_distance)
-    both = F.filter(F.arrays_zip("x", "y"), lambda z: (z["x"] >= 0) & (z["y"] >= 0))
-    p = p.select(*k, "pos_a", "pos_b", both.alias("z")).withColumn("n", F.size("z"))
-    count = lambda f: F.size(F.filter("z", f)).cast("double")
-
-    def seen(side: str, base: int):
-        return F.size(F.filter("z", lambda z: z[side] == base))
-
-    for side, name in (("x", "a"), ("y", "b")):
-        per = F.array(*[F.struct((-seen(side, i)).alias("neg"), F.lit(i).alias("base")) for i in range(4)])
-        p = p.withColumn(f"_{name}", F.array_sort(per)).where(f"_{name}[0].neg < 0 and _{name}[1].neg < 0 and _{name}[2].neg = 0")
-        p = p.withColumn(f"p{name}", -F.col(f"_{name}")[0]["neg"] / F.col("n"))
-    pab = count(lambda z: (z["x"] == F.col("_a")[0]["base"]) & (z["y"] == F.col("_b")[0]["base"])) / F.col("n")
-    pa, pb = F.col("pa"), F.col("pb")
-    p = p.withColumn("d", pab - pa * pb)
-    top = F.when(F.col("d") < 0, F.greatest(-pa * pb, -(1 - pa) * (1 - pb))).otherwise(F.least(pa * (1 - pb), (1 - pa) * pb))
-    r = F.col("d") / F.sqrt(pa * (1 - pa) * pb * (1 - pb))
-    return p.select(*k, "pos_a", "pos_b", F.col("n").cast("long").alias("n"), "d", F.try_divide(F.col("d"), top).alias("d_prime"), r.alias("r"), (r * r).alias("r2"))
+    sites = site_calls(calls, k).where(F.size("v") > 0).select(*k, "position", "v")
+    n = int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sites = sites.repartition(n, *k).sortWithinPartitions(*k, "position")
+    types = [(f.name, f.dataType.simpleString()) for f in sites.schema.fields[: len(k)]]
+    at = sites.schema["position"].dataType.simpleString()
+    columns = [*types, ("pos_a", at), ("pos_b", at), ("n", "bigint"), *[(c, "double") for c in ("d", "d_prime", "r", "r2")]]
+
+    def run(batches):
+        for own, position, h, allele, ends in windows_of(batches, len(k)):
+            haps, at = np.unique(h, return_inverse=True)
+            x = np.zeros((4, len(position), len(haps)), np.float32)
+            x[allele, np.repeat(np.arange(len(position)), np.diff(ends)), at] = 1
+            for a in range(0, len(position), BLOCK):
+                for b in range(a, len(position), BLOCK):
+                    p, q = position[a : a + BLOCK], position[b : b + BLOCK]
+                    if max_distance is not None and q[0] - p[-1] > max_distance:
+                        break
+                    *stats, ok = _ld_block(x[:, a : a + BLOCK], x[:, b : b + BLOCK])
+                    gap = q[None] - p[:, None]
+                    i, j = np.nonzero(ok & (gap > 0) & (gap <= (gap.max() if max_distance is None else max_distance)))
+                    if len(i):
+                        stats[0] = stats[0].astype(np.int64)
+                        rest = [pa.array(v) for v in (p[i], q[j], *[v[i, j] for v in stats])]
+                        yield pa.RecordBatch.from_arrays([*[pa.repeat(v, len(i)) for v in own], *rest], names=[c for c, _ in columns])
+
+    def windows_of(batches, n_keys):
+        for t in whole_keys(batches, n_keys):
+            flat = [c.combine_chunks() for c in t.columns]
+            position, v = flat[n_keys].to_numpy(zero_copy_only=False), flat[n_keys + 1]
+            ends = np.append(0, np.cumsum(v.value_lengths().to_numpy(zero_copy_only=False)))
+            h, allele = (v.flatten().field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            first = np.flatnonzero(key_starts(flat[:n_keys]))
+            for a, z in zip(first.tolist(), np.append(first[1:], t.num_rows).tolist(), strict=True):
+                s = slice(ends[a], ends[z])
+                yield [c[a] for c in flat[:n_keys]], position[a:z], h[s], allele[s], ends[a : z + 1]
+
+    return sites.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in columns))
 
 
 def _r2(x: np.ndarray, y: np.ndarray) -> float:

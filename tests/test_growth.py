@@ -132,3 +132,25 @@ def test_long_windows_are_joined_by_stretches(spark):
     read = lambda df: sorted(map(tuple, df.select("sample", "hap", "first_site", "last_site", "seq").collect()))
     assert read(convert.window_sequences(calls, "scaffold", stretch=40)) == read(convert.window_sequences(calls, "scaffold"))
     assert convert.window_sequences(calls, "scaffold", stretch=40, min_sites=51).isEmpty()
+
+
+def test_ld_of_blocks_against_brute_force(spark):
+    calls, rows = random_calls(spark, 11, ld.BLOCK + 30, 4, 0.2)
+    out = ld.ld_pairs(calls, [], 3000)
+    assert "Join" not in plan(out)
+    at = {}
+    for _, p, i, _, h, a in rows:
+        if a is not None:
+            at.setdefault(p, {})[2 * i + h] = a
+    want = {}
+    for p, q in itertools.combinations(sorted(at), 2):
+        z = [(at[p][h], at[q][h]) for h in at[p] if h in at[q]]
+        x, y = [v[0] for v in z], [v[1] for v in z]
+        if q - p <= 3000 and len(set(x)) == len(set(y)) == 2:
+            top = lambda v: min(set(v), key=lambda b: (-v.count(b), b))
+            pa, pb = x.count(top(x)) / len(z), y.count(top(y)) / len(z)
+            d = z.count((top(x), top(y))) / len(z) - pa * pb
+            want[p, q] = (len(z), d, d * d / (pa * (1 - pa) * pb * (1 - pb)))
+    got = {(r.pos_a, r.pos_b): (r.n, r.d, r.r2) for r in out.collect()}
+    assert got.keys() == want.keys() and len(got) > 100
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
