@@ -38,14 +38,16 @@ def coding_sites(genes: DataFrame, alleles: DataFrame, ignore_conflicts: bool =
 
 def cds_alignments(genes: DataFrame, calls: DataFrame) -> DataFrame:
     """(mrna, sample, hap, sequence): each haplotype's coding sequence, missing as N."""
-    p = coding_positions(genes).withColumn("i", F.col("codon") * 3 + F.col("place"))
-    haps = calls.select("sample", "hap").distinct()
-    n = p.groupBy("mrna").agg(F.max("i").alias("last"))
-    x = p.join(calls, ["scaffold", "position"])
+    p = coding_positions(genes).select("scaffold", "position", "mrna", "strand", (F.col("codon") * 3 + F.col("place")).alias("i"))
+    size = F.size(B.cds_positions(F.col("cds"), F.col("strand"), trim=True))
+    n = genes.groupBy("mrna").agg((F.max(size) - 1).cast("long").alias("last"))
+    # a site's calls meet the genes as one row
+    packed = calls.where("sample is not null and hap is not null").groupBy("scaffold", "position").agg(F.collect_list(F.struct("sample", "hap", "allele")).alias("v"))
+    # positions are many more rows than the genes by whose size Spark would broadcast them
+    x = p.hint("merge").join(packed, ["scaffold", "position"]).select("mrna", "strand", "i", "v")
+    # a gene's calls are in one task, of as many as the session has: they look small where Spark would merge partitions
+    x = x.repartition(int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions")), "mrna").select("mrna", "strand", "i", F.inline("v"))
     base = letter(F.col("allele"))
     x = x.withColumn("b", F.when(F.col("strand") == "-", B.complement(base)).otherwise(base))
     got = x.groupBy("mrna", "sample", "hap").agg(F.map_from_entries(F.collect_list(F.struct("i", "b"))).alias("m"))
-    seen = got.join(n, "mrna").join(haps, ["sample", "hap"], "left_semi")
-    return seen.select("mrna", "sample", "hap", F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.col("last")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit("N"))), "").alias("sequence"))
-
-
+    return got.join(n, "mrna").select("mrna", "sample", "hap", F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.col("last")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit("N"))), "").alias("sequence"))
