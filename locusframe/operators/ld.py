@@ -40,7 +40,7 @@ def ld_pairs(calls: DataFrame, keys: list[str], max_distance: int | None = None)
     task, which counts all pairs of two blocks of sites by matrix products.
     """
     k = [*dict.fromkeys([*keys, "scaffold"])]
-    sites = site_calls(calls, k).where(F.size("v") > 0).select(*k, "position", "v")
+    sites = site_calls(calls, k).where(F.size("h") > 0).select(*k, "position", "h", "allele")
     n = int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sites = sites.repartition(n, *k).sortWithinPartitions(*k, "position")
     types = [(f.name, f.dataType.simpleString()) for f in sites.schema.fields[: len(k)]]
@@ -68,9 +68,9 @@ def ld_pairs(calls: DataFrame, keys: list[str], max_distance: int | None = None)
     def windows_of(batches, n_keys):
         for t in whole_keys(batches, n_keys):
             flat = [c.combine_chunks() for c in t.columns]
-            position, v = flat[n_keys].to_numpy(zero_copy_only=False), flat[n_keys + 1]
-            ends = np.append(0, np.cumsum(v.value_lengths().to_numpy(zero_copy_only=False)))
-            h, allele = (v.flatten().field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            position = flat[n_keys].to_numpy(zero_copy_only=False)
+            ends = np.append(0, np.cumsum(flat[n_keys + 1].value_lengths().to_numpy(zero_copy_only=False)))
+            h, allele = (c.flatten().to_numpy(zero_copy_only=False) for c in flat[n_keys + 1 :])
             first = np.flatnonzero(key_starts(flat[:n_keys]))
             for a, z in zip(first.tolist(), np.append(first[1:], t.num_rows).tolist(), strict=True):
                 s = slice(ends[a], ends[z])

@@ -225,4 +225,6 @@ def resampled(placed: DataFrame, keys: list[str], replicates: int, seed: int = 0
     d = d.select(*keys, "replicate", "at", F.explode(F.sequence(F.lit(0), F.size("at") - 1)).alias("draw"))
     pick = F.pmod(F.xxhash64(F.lit(seed), "replicate", *keys, "draw"), F.size("at")).cast("int")
     d = d.select(*keys, "replicate", F.get("at", pick).alias("position"), (F.get("at", F.lit(0)) + F.col("draw")).alias("drawn"))
-    return placed.join(d, [*keys, "position"]).drop("position").withColumnRenamed("drawn", "position")
+    # dealt out by a fixed number: drawn sites pack so well that Spark would merge them into a few large tasks
+    n, by = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), [*keys, "position"]
+    return placed.repartition(n, *by).join(d.repartition(n, *by), by).drop("position").withColumnRenamed("drawn", "position")

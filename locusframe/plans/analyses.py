@@ -119,8 +119,7 @@ def trees_by_window(
     if min_per_ind:
         enough &= (F.col("haplotypes") == haplotype_pops(calls).select("h").distinct().count()) & (F.col("min_called") >= min_per_ind)
     good = meta.where(F.col("sites") >= max(min_sites, 1)).join(gates.where(enough), KEYS).select(*KEYS)
-    placed = placed.join(good, KEYS, "left_semi")
-    packed = pairs.site_calls(placed, KEYS)  # a drawn site brings all its calls, so sites are drawn as one row
+    packed = pairs.site_calls(placed, KEYS).join(good, KEYS, "left_semi")  # a drawn site brings all its calls, so it travels as one row
     every = packed.withColumn("replicate", F.lit(0).cast("long"))
     if bootstraps:
         every = every.unionByName(summary.resampled(packed, KEYS, bootstraps, seed))

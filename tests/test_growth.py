@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from locusframe import fixtures
 from locusframe.functions import bases as B
-from locusframe.operators import convert, ld, sites, summary
+from locusframe.operators import coding, convert, ld, pairs, sites, summary
 from locusframe.plans import analyses
 from tests.test_convert import SCHEMA, random_calls
 
@@ -154,3 +154,33 @@ def test_ld_of_blocks_against_brute_force(spark):
     got = {(r.pos_a, r.pos_b): (r.n, r.d, r.r2) for r in out.collect()}
     assert got.keys() == want.keys() and len(got) > 100
     assert all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_trees_draw_sites_as_one_row(spark):
+    calls, _ = random_calls(spark, 12, 60, 4, 0.2)
+    out = analyses.trees_by_window(calls, 200, bootstraps=1, seed=3)
+    packed = pairs.site_calls(calls, ["scaffold"])
+    assert packed.columns == ["scaffold", "position", "h", "allele"] and packed.count() == 60
+    # calls meet no draw: sites and draws do
+    assert "sample" not in next(x for x in plan(summary.resampled(packed, ["scaffold"], 1)).splitlines() if "Join" in x)
+    drawn = summary.resampled(packed, ["scaffold"], 1, 3).groupBy("position").count()
+    assert drawn.agg(F.max("count"), F.count("*")).first() == (1, 60)
+    assert out.where("replicate = 1 and newick is not null").count() == out.where("replicate = 0 and newick is not null").count() > 0
+
+
+def test_gene_alignments_join_a_row_per_site(spark):
+    calls, rows = random_calls(spark, 13, 80, 3, 0.2)
+    first = min(r[1] for r in rows)
+    genes = spark.createDataFrame([("s", "m1", "+", [(first, first + 29)]), ("s", "m2", "-", [(first + 40, first + 61), (first + 5, first + 9)])], "scaffold string, mrna string, strand string, cds array<struct<start: long, end: long>>")
+    out = coding.cds_alignments(genes, calls)
+    assert "SortMergeJoin [scaffold" in plan(out) and "collect_list(struct(sample" in plan(out).split("SortMergeJoin [scaffold")[-1]
+    at = {(r[1], r[2], r[4]): r[5] for r in rows}
+    haps = {(r[2], r[4]) for r in rows}
+    places = {"m1": list(range(first, first + 30)), "m2": [*range(first + 5, first + 10), *range(first + 40, first + 62)][::-1][:27]}
+    letters = {"m1": "ACGT", "m2": "TGCA"}
+    want = {}
+    for m, p in places.items():
+        for s, h in haps:
+            if any((x, s, h) in at for x in p):
+                want[m, s, h] = "".join("N" if at.get((x, s, h)) is None else letters[m][at[x, s, h]] for x in p)
+    assert {(r.mrna, r["sample"], r.hap): r.sequence for r in out.collect()} == want
